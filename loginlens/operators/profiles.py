@@ -173,9 +173,9 @@ class Profile:
     spread: DataFrame
 
     def write(self, path: str) -> "Profile":
-        """Write a new snapshot; an existing one is never overwritten in place."""
+        """Write a snapshot to a directory of its own, replacing an earlier attempt."""
         for f in fields(self):
-            getattr(self, f.name).write.mode("errorifexists").parquet(f"{path}/{f.name}")
+            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
         return Profile.read(self.totals.sparkSession, path)
 
     @classmethod

@@ -18,8 +18,12 @@ HOME_CITIES = (
 
 
 def logins_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_logins(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def derive_logins(events: DataFrame) -> DataFrame:
     """event_id, user_id, timestamp, latitude, longitude, device_id, ip_address."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("user_id", "uid")
+    events = events.withColumnRenamed("user_id", "uid")
     uid, event = F.col("uid"), F.col("event_id")
     habitual = uid % 3 == 0
     nine = F.col("ts") - F.make_interval(hours=F.hour("ts") - 9)
@@ -48,3 +52,24 @@ def logins_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lon > 180, lon - 360.0).otherwise(lon).alias("longitude"),
         device.alias("device_id"),
         address.alias("ip_address"))
+
+
+def raw_logins(logins: DataFrame) -> DataFrame:
+    """The same logins as untyped text with a share of defective values.
+
+    Times, coordinates, devices and addresses are spoilt on fixed id patterns,
+    the way exported files are: unparsable, out of range or missing.
+    """
+    event = F.col("event_id")
+    ip = (F.when(event % 37 == 0, "300.1.1.1").when(event % 43 == 0, F.lit(None).cast("string"))
+          .otherwise(F.col("ip_address")))
+    return logins.select(
+        "event_id", "user_id",
+        F.when(event % 47 == 0, "not a time")
+        .otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),
+        F.when(event % 53 == 0, "abc").when(event % 59 == 0, "95.5")
+        .when(event % 61 == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("latitude").cast("string")).alias("latitude"),
+        F.when(event % 67 == 0, "-180.5").otherwise(F.col("longitude").cast("string")).alias("longitude"),
+        F.when(event % 71 == 0, F.lit(None).cast("string")).otherwise(F.col("device_id")).alias("device_id"),
+        ip.alias("ip_address"))
