@@ -57,14 +57,14 @@ def replay_scores(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
     A user's first login has no past: all three scores are neutral.
     """
     state = replay_state(logins, skew)
-    first = F.col("total_logins") == 0
-    total = F.nullif(F.col("total_logins"), F.lit(0))
+    # Null instead of zero for a first login, so that shares of nothing stay null.
+    total = F.col("_total")
+    first = total.isNull()
     share = F.when(F.col("device_count") > 0, F.col("device_count") / total * 100)
-    scored = scoring.velocity_columns(state.withColumn("total_logins", total))
+    scored = scoring.velocity_columns(state.withColumn("_total", F.nullif("total_logins", F.lit(0))))
     neutral = F.lit(scoring.NEUTRAL)
     return scored.select(
-        USER, EVENT, TIME, F.coalesce("total_logins", F.lit(0)).alias("total_logins"),
-        "device_count", "hour_count", "day_count",
+        USER, EVENT, TIME, "total_logins", "device_count", "hour_count", "day_count",
         F.when(first, neutral).otherwise(scoring.device_score(share)).alias("device_score"),
         F.when(first, neutral).otherwise(
             scoring.time_score(F.col("hour_count"), F.col("day_count"), total)).alias("time_score"),

@@ -104,7 +104,7 @@ def _(spark, sf):
 
 
 def _write_csv(df, path, sep=","):
-    df.write.csv(path, header=True, sep=sep, timestampNTZFormat=TIME_TEXT, timestampFormat=TIME_TEXT)
+    df.write.options(header=True, sep=sep, timestampNTZFormat=TIME_TEXT).csv(path)
 
 
 @query("scan_csv", _FILE_ROWS, "logins")
@@ -125,7 +125,7 @@ def _(spark, sf):
 @query("scan_json", _FILE_ROWS, "logins")
 def _(spark, sf):
     path = run_dir(spark, "json")
-    files_view(logins(spark, sf)).write.json(path, timestampNTZFormat=TIME_TEXT, timestampFormat=TIME_TEXT)
+    files_view(logins(spark, sf)).write.option("timestampNTZFormat", TIME_TEXT).json(path)
     rows = readers.scan_json(spark, path, readers.FILE_SCHEMA, multi_line=False, timestampFormat=TIME_TEXT)
     return _plain_time(rows, "login_time")
 
@@ -270,9 +270,9 @@ def _(spark, sf):
 
 
 @query("extract_documents", """
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS INTEGER) AS position, line AS "text"
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS "position", line AS "text"
   FROM (SELECT doc_id, unnest(string_split("text", chr(10))) AS line,
-               unnest(range(0, len(string_split("text", chr(10))))) AS at FROM documents)
+               unnest(range(0, len(string_split("text", chr(10))))) AS n FROM documents)
   WHERE regexp_matches(line, '\\S')""")
 def _(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -619,7 +619,7 @@ def _(spark, sf):
 @query("chunk_id", f"""SELECT event_id, user_id, CAST(floor((row_number() OVER (PARTITION BY user_id
   ORDER BY "timestamp", event_id) - 1) / {CHUNK_SIZE}) AS BIGINT) AS chunk_id FROM logins""", "logins")
 def _(spark, sf):
-    return chunks.chunk_id(logins(spark, sf).select(EVENT, USER, TIME), CHUNK_SIZE)
+    return chunks.chunk_id(logins(spark, sf).select(EVENT, USER, TIME), CHUNK_SIZE).drop(TIME)
 
 
 @query("sort_logins", _FILE_ROWS, "logins")
