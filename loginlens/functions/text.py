@@ -99,8 +99,12 @@ def yes_no(flag="is_anomalous") -> Column:
 
 
 def fixed_decimals(number, places: int) -> Column:
-    """Number with exactly ``places`` decimals and no digit grouping."""
-    return F.format_string(f"%.{places}f", _col(number))
+    """Number with exactly ``places`` decimals and no digit grouping.
+
+    ``format_number`` rounds the exact binary value, like C's printf; Java's
+    own format string would round the shortest decimal text instead.
+    """
+    return F.call_function("format_number", _col(number), F.lit("0." + "0" * places))
 
 
 def popup_text() -> Column:

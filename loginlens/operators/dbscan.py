@@ -123,6 +123,7 @@ def _decide(pairs: DataFrame, members: DataFrame, side: float, eps: float) -> li
     if open_boxes.isEmpty():
         return found
     level, factor = 0, 1
+    members = durable(members)
     while True:
         level, factor = level + 1, factor * SPLIT
         # Box numbers are relative to the cell, so that splits nest exactly.
@@ -149,17 +150,16 @@ def _decide(pairs: DataFrame, members: DataFrame, side: float, eps: float) -> li
             return found
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node each node is connected to.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node each node with an edge is connected to.
 
     Every round takes the neighbours' smallest label and then follows labels
     one hop further, so long chains shorten geometrically.
     """
-    both = durable(edges.select("left", "right").unionByName(
-        edges.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("label"))
-    if both.isEmpty():
-        return labels
+    both = edges.select("left", "right").unionByName(
+        edges.select(F.col("right").alias("left"), F.col("left").alias("right")))
+    labels = durable(both.groupBy(F.col("left").alias("node")).agg(
+        F.least(F.min("right"), F.col("node")).alias("label")))
     while True:
         heard = (both.join(labels.withColumnRenamed("node", "right"), "right")
                  .groupBy(F.col("left").alias("node")).agg(F.min("label").alias("_heard")))
@@ -174,6 +174,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def cell_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of every core cell; a cell without edges is its own component."""
+    own = nodes.select("node", F.col("node").alias("_own"))
+    if edges.isEmpty():
+        return own.withColumnRenamed("_own", "label")
+    return (own.join(connected_components(edges), "node", "left")
+            .select("node", F.coalesce("label", "_own").alias("label")))
+
+
 def core_sites(sites: DataFrame, pairs: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Sites with at least ``min_samples`` logins within eps, their own included."""
     cells = sites.groupBy(*CELL).agg(F.sum("weight").alias("cell_weight"))
@@ -203,15 +212,15 @@ def dbscan(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES)
     features = login_features(logins)
     sites = durable(scaled_sites(features, eps))
     pairs = durable(thin_neighbours(sites, eps, min_samples))
-    cores = core_sites(sites, pairs, min_samples)
+    cores = durable(core_sites(sites, pairs, min_samples))
     side = eps / math.sqrt(2) * (1 - 1e-9)
     nodes = durable(cores.groupBy(*CELL).agg(F.min("earliest").alias("node"), *_bbox()))
-    members = durable(cores.join(nodes.select(*CELL, "node"), list(CELL)))
+    members = cores.join(nodes.select(*CELL, "node"), list(CELL))
     cell_pairs = durable(_cell_pairs(nodes, eps))
     edges = cell_pairs.where("touch").select("left", "right")
     for more in _decide(cell_pairs, members, side, eps):
         edges = edges.unionByName(more)
-    labels = connected_components(nodes, edges)
+    labels = durable(cell_labels(nodes, edges))
     core_labels = members.select(USER, "node", F.col("earliest").alias("site")).join(labels, "node").select(
         USER, "site", "label")
     borders = (pairs.join(core_labels.select("site"), "site", "left_anti")
