@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from loginlens.operators.patterns import NUMERIC, device_scale, elbow_k, standardize
 from loginlens.schema import EVENT, TIME, USER
-from loginlens.session import durable
+from loginlens.session import durable, spread_evenly
 
 MAX_K = 9
 ROUNDS = 100
@@ -182,7 +182,7 @@ def kmeans_fits(features: DataFrame, local_sites: int = LOCAL_SITES) -> tuple[Da
     sizes = sites.groupBy(USER).agg(F.count("*").alias("_n"))
     small = sites.join(sizes.where(F.col("_n") <= local_sites), USER, "left_semi")
     large = sites.join(sizes.where(F.col("_n") > local_sites), USER, "left_semi")
-    fits = small.groupBy(USER).applyInPandas(_fit_user, _LABELS)
+    fits = spread_evenly(small, USER).groupBy(USER).applyInPandas(_fit_user, _LABELS)
     if not large.isEmpty():
         fits = fits.unionByName(_fit_large(large))
     return sites, durable(fits)

@@ -14,6 +14,7 @@ from loginlens.functions import clock, stats
 from loginlens.operators.segments import SKEW, SkewPolicy, latest
 from loginlens.schema import (ADVANCED_MIN_ROWS, EVENT, HISTORY_LIMIT, MAHALANOBIS_MIN_ROWS,
                               NEUTRAL, TIME, USER)
+from loginlens.session import spread_evenly
 
 RIDGE = 1e-6
 PIVOT_FLOOR = 1e-9
@@ -159,7 +160,7 @@ class IsolationForest:
         tree = np.repeat(np.arange(trees), self.sample)
         x, c = x.reshape(-1, numeric.shape[1]), c.reshape(-1)
         node = np.zeros(len(tree), dtype=int)
-        np.add.at(self.size, (tree, node), 1)
+        self._count(tree, node, slots)
         live = np.ones(len(tree), dtype=bool)
         for _ in range(self.depth):
             if not live.any():
@@ -197,10 +198,13 @@ class IsolationForest:
             moved = split[group]
             target = members[moved]
             node[target] = 2 * node[target] + 1 + right[moved]
-            np.add.at(self.size, (tree[target], node[target]), 1)
+            self._count(tree[target], node[target], slots)
             live[members[~moved]] = False
         self.offset = np.percentile(self.scores(numeric, category), 100 * CONTAMINATION)
 
+    def _count(self, tree: np.ndarray, node: np.ndarray, slots: int) -> None:
+        self.size += np.bincount(tree * slots + node, minlength=self.size.size).reshape(self.size.shape)
+
     def scores(self, numeric: np.ndarray, category: np.ndarray) -> np.ndarray:
         """Negative anomaly score of each row, lower is stranger."""
         trees = np.arange(len(self.column))[:, None]
@@ -272,5 +276,8 @@ def isolation_forest_scores(logins: DataFrame, history: DataFrame, skew: SkewPol
               .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks"))
     # Fresh column ids: logins and history usually stem from one table.
     copies = copies.toDF(*copies.columns)
+    # Growing trees costs far more than the few bytes of input, so keep all
+    # partitions: AQE would merge them by size.
+    spread, copies = (spread_evenly(df, USER, "chunk") for df in (spread, copies))
     return (spread.groupBy(USER, "chunk").cogroup(copies.groupBy(USER, "chunk"))
             .applyInPandas(_score_chunk, _SCORED))

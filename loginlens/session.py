@@ -61,3 +61,11 @@ def durable(df: DataFrame) -> DataFrame:
     path = run_dir(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash by key into the session's full partition count, exempt from AQE merging.
+
+    For stages whose cost lies in computing rather than in bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
