@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loginlens.operators.patterns import NOISE, feature_stats, login_features
+from loginlens.operators.segments import SKEW, SkewPolicy, join_per_user
 from loginlens.schema import EVENT, TIME, USER
 from loginlens.session import durable
 
@@ -37,7 +38,7 @@ GROUP = (USER, "device_id", "day")
 CELL = (*GROUP, "hour", "i", "j")
 
 
-def scaled_sites(features: DataFrame, eps: float = EPS) -> DataFrame:
+def scaled_sites(features: DataFrame, eps: float = EPS, skew: SkewPolicy = SKEW) -> DataFrame:
     """Distinct places in feature space with their login count and earliest login."""
     if not 0 < eps < MAX_EPS:
         raise ValueError(f"eps must lie between 0 and {MAX_EPS:.4f}: beyond it weekdays may mix")
@@ -47,7 +48,7 @@ def scaled_sites(features: DataFrame, eps: float = EPS) -> DataFrame:
     sites = features.groupBy(*GROUP, "hour", "latitude", "lon_unwrapped").agg(
         F.count("*").alias("weight"), F.min(F.struct(TIME, EVENT)).alias("earliest"),
         F.first("hour_sin").alias("_hs"), F.first("hour_cos").alias("_hc"))
-    return (sites.join(stats, USER)
+    return (join_per_user(sites, stats, skew)
             .withColumns({"u": F.col("latitude") / F.col("latitude_std"),
                           "v": F.col("lon_unwrapped") / F.col("lon_unwrapped_std"),
                           "p": F.col("_hs") / F.col("hour_sin_std"),
@@ -196,21 +197,25 @@ def _site_keys() -> list[str]:
     return [*GROUP, "hour", "latitude", "lon_unwrapped"]
 
 
-def core_logins(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def core_logins(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
+                skew: SkewPolicy = SKEW) -> DataFrame:
     """Logins that are DBSCAN core points."""
-    features = login_features(logins)
-    sites = durable(scaled_sites(features, eps))
+    skew = skew.measured(logins)
+    features = login_features(logins, skew)
+    sites = durable(scaled_sites(features, eps, skew))
     cores = core_sites(sites, thin_neighbours(sites, eps, min_samples), min_samples)
     return features.join(cores.select(*_site_keys()), _site_keys(), "left_semi")
 
 
-def dbscan(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def dbscan(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
+           skew: SkewPolicy = SKEW) -> DataFrame:
     """Logins with ``cluster``: 0, 1, ... by each cluster's earliest core login, -1 is noise.
 
     A border login within reach of several clusters joins the lowest-numbered.
     """
-    features = login_features(logins)
-    sites = durable(scaled_sites(features, eps))
+    skew = skew.measured(logins)
+    features = login_features(logins, skew)
+    sites = durable(scaled_sites(features, eps, skew))
     pairs = durable(thin_neighbours(sites, eps, min_samples))
     cores = durable(core_sites(sites, pairs, min_samples))
     side = eps / math.sqrt(2) * (1 - 1e-9)

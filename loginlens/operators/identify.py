@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loginlens.operators.dbscan import EPS, MIN_SAMPLES, dbscan
 from loginlens.operators.kmeans import kmeans
 from loginlens.operators.patterns import cluster_stats, login_features
+from loginlens.operators.segments import SKEW, SkewPolicy
 from loginlens.schema import EVENT, USER
 from loginlens.session import durable
 
@@ -18,16 +19,19 @@ def undivided_users(labelled: DataFrame) -> DataFrame:
             .where(F.col("_a") == F.col("_b")).select(USER))
 
 
-def label_logins(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def label_logins(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
+                 skew: SkewPolicy = SKEW) -> DataFrame:
     """Logins with their cluster number; -1 is noise."""
-    dense = durable(dbscan(logins, eps, min_samples))
+    skew = skew.measured(logins)
+    dense = durable(dbscan(logins, eps, min_samples, skew))
     undivided = undivided_users(dense)
     rest = logins.join(undivided, USER, "left_semi")
-    split = kmeans(login_features(rest))
+    split = kmeans(login_features(rest, skew), skew=skew)
     relabelled = dense.join(undivided, USER, "left_semi").drop("cluster").join(split, [USER, EVENT])
     return dense.join(undivided, USER, "left_anti").unionByName(relabelled)
 
 
-def identify_patterns(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def identify_patterns(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
+                      skew: SkewPolicy = SKEW) -> DataFrame:
     """Cluster statistics of every user, one row per (user, cluster)."""
-    return cluster_stats(durable(label_logins(logins, eps, min_samples)))
+    return cluster_stats(durable(label_logins(logins, eps, min_samples, skew)))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loginlens.operators.patterns import NUMERIC, device_scale, elbow_k, standardize
+from loginlens.operators.segments import SKEW, SkewPolicy
 from loginlens.schema import EVENT, TIME, USER
 from loginlens.session import durable, spread_evenly
 
@@ -35,9 +36,9 @@ _LABELS = T.StructType([
     T.StructField("inertia", T.DoubleType())])
 
 
-def kmeans_sites(features: DataFrame) -> DataFrame:
+def kmeans_sites(features: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
     """Distinct standardised logins with multiplicity; ``rank_time``/``site`` order ties."""
-    scaled = standardize(features).join(device_scale(features), [USER, "device_id"])
+    scaled = standardize(features, skew).join(device_scale(features), [USER, "device_id"])
     return (scaled.groupBy(USER, "device_id", "device_weight", *Z)
             .agg(F.count("*").alias("weight"), F.min(F.struct(TIME, EVENT)).alias("_first"))
             .select(USER, "device_id", "device_weight", *Z, "weight",
@@ -176,9 +177,10 @@ def _fit_large(sites: DataFrame, max_k: int = MAX_K) -> DataFrame:
         USER, "site", F.col("k").cast("int").alias("k"), F.col("c").cast("int").alias("cluster"), "inertia")
 
 
-def kmeans_fits(features: DataFrame, local_sites: int = LOCAL_SITES) -> tuple[DataFrame, DataFrame]:
+def kmeans_fits(features: DataFrame, local_sites: int = LOCAL_SITES,
+                skew: SkewPolicy = SKEW) -> tuple[DataFrame, DataFrame]:
     """Sites, and their cluster with the inertia for every k tried."""
-    sites = durable(kmeans_sites(features))
+    sites = durable(kmeans_sites(features, skew))
     sizes = sites.groupBy(USER).agg(F.count("*").alias("_n"))
     small = sites.join(sizes.where(F.col("_n") <= local_sites), USER, "left_semi")
     large = sites.join(sizes.where(F.col("_n") > local_sites), USER, "left_semi")
@@ -188,12 +190,12 @@ def kmeans_fits(features: DataFrame, local_sites: int = LOCAL_SITES) -> tuple[Da
     return sites, durable(fits)
 
 
-def kmeans_labels(features: DataFrame, local_sites: int = LOCAL_SITES) -> DataFrame:
+def kmeans_labels(features: DataFrame, local_sites: int = LOCAL_SITES, skew: SkewPolicy = SKEW) -> DataFrame:
     """(user, device, place and time) sites with the cluster of the elbow k.
 
     A user whose logins are all alike, or with a single login, is one cluster.
     """
-    sites, fits = kmeans_fits(features, local_sites)
+    sites, fits = kmeans_fits(features, local_sites, skew)
     logins = sites.groupBy(USER).agg(F.sum("weight").alias("_logins"))
     inertias = (fits.select(USER, "k", "inertia").distinct().join(logins, USER)
                 .where(F.col("k") < F.least(F.lit(10), F.col("_logins"))))
@@ -203,7 +205,8 @@ def kmeans_labels(features: DataFrame, local_sites: int = LOCAL_SITES) -> DataFr
     return fits.join(wanted, [USER, "k"]).join(sites.drop("weight"), [USER, "site"])
 
 
-def kmeans(features: DataFrame, local_sites: int = LOCAL_SITES) -> DataFrame:
+def kmeans(features: DataFrame, local_sites: int = LOCAL_SITES, skew: SkewPolicy = SKEW) -> DataFrame:
     """Cluster number of every login, by (user, event)."""
-    labels = kmeans_labels(features, local_sites).select(USER, "device_id", *Z, "cluster")
-    return standardize(features).join(labels, [USER, "device_id", *Z]).select(USER, EVENT, "cluster")
+    skew = skew.measured(features)
+    labels = kmeans_labels(features, local_sites, skew).select(USER, "device_id", *Z, "cluster")
+    return standardize(features, skew).join(labels, [USER, "device_id", *Z]).select(USER, EVENT, "cluster")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loginlens.functions import clock, stats
-from loginlens.operators.segments import SKEW, SkewPolicy, latest
+from loginlens.operators.segments import SKEW, SkewPolicy, join_per_user, latest
 from loginlens.schema import (ADVANCED_MIN_ROWS, EVENT, HISTORY_LIMIT, MAHALANOBIS_MIN_ROWS,
                               NEUTRAL, TIME, USER)
 from loginlens.session import spread_evenly
@@ -105,14 +105,12 @@ def mahalanobis_distance(lat="latitude", lon="longitude", ts=TIME) -> Column:
     return F.sqrt(F.when(square < 0, 0.0).otherwise(square))
 
 
-def with_mahalanobis(logins: DataFrame, model: DataFrame, min_rows: int = MAHALANOBIS_MIN_ROWS,
-                     squared: bool = False) -> DataFrame:
-    """Add ``mahalanobis_score`` and ``mahalanobis_details``.
+_MODEL = ("history_rows", "mean_lat", "mean_lon", "mean_hour", "degenerate", "p1", "p2", "p3", "l21", "l31", "l32")
 
-    The chi-square CDF is applied to the distance; ``squared=True`` applies it
-    to the squared distance, which is the textbook form.
-    """
-    joined = logins.join(model, USER, "left").withColumn("_d", mahalanobis_distance())
+
+def mahalanobis_columns(joined: DataFrame, min_rows: int = MAHALANOBIS_MIN_ROWS, squared: bool = False) -> DataFrame:
+    """Score and details of logins that carry their user's model columns."""
+    rows = joined.withColumn("_d", mahalanobis_distance())
     tested = F.col("_d") * F.col("_d") if squared else F.col("_d")
     enough = F.coalesce(F.col("history_rows") >= min_rows, F.lit(False)) & F.col("_d").isNotNull()
     score = F.when(enough, stats.chi2_cdf_3(tested)).otherwise(NEUTRAL)
@@ -122,9 +120,18 @@ def with_mahalanobis(logins: DataFrame, model: DataFrame, min_rows: int = MAHALA
         F.when(enough, 3).alias("degrees_of_freedom"),
         F.when(enough, F.col("degenerate")).alias("degenerate"),
         F.when(~enough, "Insufficient data").alias("message"))
-    return (joined.withColumn("mahalanobis_score", score)
-            .withColumn("mahalanobis_details", details)
-            .drop("_d", *[c for c in model.columns if c != USER]))
+    return (rows.withColumn("mahalanobis_score", score)
+            .withColumn("mahalanobis_details", details).drop("_d", *_MODEL))
+
+
+def with_mahalanobis(logins: DataFrame, model: DataFrame, min_rows: int = MAHALANOBIS_MIN_ROWS,
+                     squared: bool = False, skew: SkewPolicy = SKEW) -> DataFrame:
+    """Add ``mahalanobis_score`` and ``mahalanobis_details``.
+
+    The chi-square CDF is applied to the distance; ``squared=True`` applies it
+    to the squared distance, which is the textbook form.
+    """
+    return mahalanobis_columns(join_per_user(logins, model, skew, "left"), min_rows, squared)
 
 
 # --- Isolation forest --------------------------------------------------------
@@ -262,7 +269,7 @@ def _model_columns(df: DataFrame) -> DataFrame:
 
 
 def isolation_forest_scores(logins: DataFrame, history: DataFrame, skew: SkewPolicy = SKEW,
-                            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                            chunk_rows: int = CHUNK_ROWS, login_skew: SkewPolicy = SKEW) -> DataFrame:
     """Score logins against a forest of their user's recent history.
 
     The forest is seeded by the user, so it can be grown again for every chunk
@@ -270,7 +277,7 @@ def isolation_forest_scores(logins: DataFrame, history: DataFrame, skew: SkewPol
     and the bounded history, never a whole user.
     """
     chunks = logins.groupBy(USER).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("_chunks"))
-    spread = (_model_columns(logins).join(chunks, USER)
+    spread = (join_per_user(_model_columns(logins), chunks, login_skew)
               .withColumn("chunk", F.pmod(F.xxhash64(EVENT), F.col("_chunks")).cast("int")).drop("_chunks"))
     copies = (_model_columns(recent_history(history, skew)).join(chunks, USER)
               .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks"))

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from loginlens.functions import clock
 from loginlens.operators.profiles import shift_antimeridian, standard_distance, user_devices
-from loginlens.operators.segments import SKEW, Ordered, SkewPolicy
+from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, join_per_user
 from loginlens.schema import EVENT, TIME, USER
 
 NUMERIC = ("latitude", "lon_unwrapped", "hour_sin", "hour_cos", "day_sin", "day_cos")
 NOISE = -1
 
 
-def login_features(logins: DataFrame) -> DataFrame:
+def login_features(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
     """Latitude, unwrapped longitude and four cyclic columns; device stays a category."""
-    return (shift_antimeridian(logins)
+    return (shift_antimeridian(logins, skew)
             .withColumns({**clock.cyclic_time(), "hour": clock.login_hour(), "day": clock.login_day()})
             .select(USER, EVENT, TIME, "latitude", "longitude", "device_id", *NUMERIC[1:], "hour", "day"))
 
@@ -37,11 +37,11 @@ def feature_stats(features: DataFrame) -> DataFrame:
         *[scale(c) for c in NUMERIC])
 
 
-def standardize(features: DataFrame) -> DataFrame:
+def standardize(features: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
     """z-scores per user in columns named ``<feature>_z``."""
     stats = feature_stats(features).drop("n")
     z = {f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in NUMERIC}
-    return (features.join(stats, USER).withColumns(z)
+    return (join_per_user(features, stats, skew).withColumns(z)
             .drop(*[f"{c}_{s}" for c in NUMERIC for s in ("mean", "std")]))
 
 
@@ -62,7 +62,8 @@ def distance_to_previous(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFram
     The one-hot part needs no wide vector: equal devices add nothing, two
     different devices add the sum of their weights.
     """
-    scaled = standardize(login_features(logins)).join(device_scale(logins), [USER, "device_id"])
+    skew = skew.measured(logins)
+    scaled = standardize(login_features(logins, skew), skew).join(device_scale(logins), [USER, "device_id"])
     point = F.struct("device_id", "device_weight", *[f"{c}_z" for c in NUMERIC])
     pairs = Ordered.of(scaled, skew).previous("_prev", point).result().where("_prev IS NOT NULL")
     numeric = sum((F.pow(F.col(f"{c}_z") - F.col(f"_prev.{c}_z"), F.lit(2.0)) for c in NUMERIC), F.lit(0.0))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loginlens.functions import clock, geo
-from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, latest
+from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, join_per_user, latest
 from loginlens.schema import EVENT, HISTORY_LIMIT, ORDER, TIME, USER
+from loginlens.session import durable
 
 CELL = ("cell_lat", "cell_lon")
 GAP_FIELDS = ("mean_gap_h", "std_gap_h", "min_gap_h", "max_gap_h", "median_gap_h")
@@ -114,21 +115,28 @@ def geo_mean_center(logins: DataFrame, *keys: str) -> DataFrame:
         F.col("_points").alias("points"))
 
 
-def standard_distance(logins: DataFrame, *keys: str) -> DataFrame:
-    """Root mean square distance to the mean centre; 0 for a single point."""
+def standard_distance(logins: DataFrame, *keys: str, skew: SkewPolicy = SKEW) -> DataFrame:
+    """Root mean square distance to the mean centre; 0 for a single point.
+
+    Groups are the user, or the user and one more column.
+    """
     keys = keys or (USER,)
     center = geo_mean_center(logins, *keys)
     away = geo.haversine_km("latitude", "longitude", "center_lat", "center_lon")
-    return (logins.select(*keys, "latitude", "longitude").join(center, list(keys))
-            .groupBy(*keys, "center_lat", "center_lon", "points")
+    points = logins.select(*keys, "latitude", "longitude")
+    if keys == (USER,):
+        placed = join_per_user(points, center, skew)
+    else:
+        placed = points.join(center, list(keys))
+    return (placed.groupBy(*keys, "center_lat", "center_lon", "points")
             .agg(F.sqrt(F.avg(away * away)).alias("_rms"))
             .select(*keys, "center_lat", "center_lon", "points",
                     F.when(F.col("points") <= 1, 0.0).otherwise(F.col("_rms")).alias("std_distance")))
 
 
-def geo_variance(logins: DataFrame) -> DataFrame:
+def geo_variance(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
     """Five dispersion fields per user, all equal to the standard distance."""
-    spread = standard_distance(logins, USER)
+    spread = standard_distance(logins, USER, skew=skew)
     return spread.select(USER, *[F.col("std_distance").alias(name) for name in SPREAD_FIELDS])
 
 
@@ -152,10 +160,10 @@ def longitude_range(logins: DataFrame, *keys: str) -> DataFrame:
         (F.max("longitude") - F.min("longitude")).alias("lon_range"))
 
 
-def shift_antimeridian(logins: DataFrame) -> DataFrame:
+def shift_antimeridian(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
     """Add ``lon_unwrapped``: longitudes of wide-spread users on 0..360."""
     spread = longitude_range(logins, USER)
-    return (logins.join(spread, USER)
+    return (join_per_user(logins, spread, skew)
             .withColumn("lon_unwrapped", geo.unwrap_longitude("longitude", "lon_range", "points"))
             .drop("points", "lon_range"))
 
@@ -189,10 +197,33 @@ class Profile:
                                 for f in fields(self)})
 
 
+def user_counters(logins: DataFrame) -> dict[str, DataFrame]:
+    """Totals, devices, hours and days from one scan and one shuffle.
+
+    Grouping sets count all four at once; the result is stored by part, and
+    each table reads its own part only.
+    """
+    rows = logins.select(USER, "device_id", clock.login_hour().alias("hour"), clock.login_day().alias("day"), TIME)
+    user, device, hour, day = (F.col(c) for c in (USER, "device_id", "hour", "day"))
+    counted = rows.groupingSets([[user], [user, device], [user, hour], [user, day]], user, device, hour, day).agg(
+        F.grouping_id().cast("int").alias("part"), F.count("*").alias("count"),
+        F.min(TIME).alias("first_seen"), F.max(TIME).alias("last_seen"))
+    stored = durable(counted, "part")
+    # The grouping id has one bit per column left out, for device, hour and day.
+    totals, devices, hours, days = (stored.where(F.col("part") == part) for part in (7, 3, 5, 6))
+    return {
+        "totals": totals.select(USER, F.col("count").alias("total_logins"),
+                                F.col("first_seen").alias("first_login"), F.col("last_seen").alias("last_login")),
+        "devices": _with_share(devices.select(USER, "device_id", "count", "first_seen", "last_seen")),
+        "hours": hours.select(USER, "hour", "count"),
+        "days": days.select(USER, "day", "count"),
+    }
+
+
 def build_profile(logins: DataFrame, skew: SkewPolicy = SKEW) -> Profile:
-    return Profile(user_totals(logins), user_devices(logins), user_locations(logins),
-                   user_hours(logins), user_days(logins), login_gaps(logins, skew),
-                   geo_variance(logins))
+    skew = skew.measured(logins)
+    return Profile(**user_counters(logins), locations=user_locations(logins),
+                   gaps=login_gaps(logins, skew), spread=geo_variance(logins, skew))
 
 
 def _merge_counts(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -231,19 +262,21 @@ def merge_profiles(old: Profile, batch: DataFrame, stored: DataFrame,
     users in the batch are recomputed from their newest stored events (which
     include the batch); a user new in this batch gets them from the batch.
     """
-    touched = user_totals(batch)
+    counted = user_counters(batch)
+    touched = counted["totals"]
     known = touched.join(old.totals.select(USER), USER, "left_semi").select(USER)
     recent = latest(stored.join(known, USER, "left_semi"), HISTORY_LIMIT, skew)
     fresh = batch.join(old.totals.select(USER), USER, "left_anti")
-    rows = recent.select(*LOGIN_METRIC_COLUMNS).unionByName(fresh.select(*LOGIN_METRIC_COLUMNS))
+    # Read several times below, and recency ranking is costly: keep it.
+    rows = durable(recent.select(*LOGIN_METRIC_COLUMNS).unionByName(fresh.select(*LOGIN_METRIC_COLUMNS)))
     return Profile(
         totals=merge_totals(old.totals, touched),
-        devices=merge_devices(old.devices, user_devices(batch)),
+        devices=merge_devices(old.devices, counted["devices"]),
         locations=merge_locations(old.locations, user_locations(batch)),
-        hours=_merge_counts(old.hours, user_hours(batch), USER, "hour"),
-        days=_merge_counts(old.days, user_days(batch), USER, "day"),
+        hours=_merge_counts(old.hours, counted["hours"], USER, "hour"),
+        days=_merge_counts(old.days, counted["days"], USER, "day"),
         gaps=upsert(old.gaps, login_gaps(rows, skew)),
-        spread=upsert(old.spread, geo_variance(rows)))
+        spread=upsert(old.spread, geo_variance(rows, skew)))
 
 
 LOGIN_METRIC_COLUMNS = (USER, EVENT, TIME, "latitude", "longitude")
@@ -251,13 +284,14 @@ LOGIN_METRIC_COLUMNS = (USER, EVENT, TIME, "latitude", "longitude")
 
 def apply_logins(profile: Profile, logins: DataFrame) -> Profile:
     """Counter update after scoring: no metric is recomputed, new users get none."""
+    counted = user_counters(logins)
     return replace(
         profile,
-        totals=merge_totals(profile.totals, user_totals(logins)),
-        devices=merge_devices(profile.devices, user_devices(logins)),
+        totals=merge_totals(profile.totals, counted["totals"]),
+        devices=merge_devices(profile.devices, counted["devices"]),
         locations=merge_locations(profile.locations, user_locations(logins)),
-        hours=_merge_counts(profile.hours, user_hours(logins), USER, "hour"),
-        days=_merge_counts(profile.days, user_days(logins), USER, "day"))
+        hours=_merge_counts(profile.hours, counted["hours"], USER, "hour"),
+        days=_merge_counts(profile.days, counted["days"], USER, "day"))
 
 
 def upsert(existing: DataFrame, updates: DataFrame, key: str = USER) -> DataFrame:

@@ -13,7 +13,7 @@ exist, whatever the data volume. That proves the broadcasts below safe.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,46 +28,81 @@ SEGMENT = "segment"
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a user is cut up: above ``share`` of all rows and above ``min_rows``."""
+    """When a user is cut up: above ``share`` of all rows and above ``min_rows``.
+
+    ``measured`` fixes the list of hot users of one table, so that the steps of
+    a job count them once. Which users are on it affects speed only: results
+    are the same with any list.
+    """
 
     share: float = 1 / QUANTILES
     min_rows: int = 1_000_000
+    known: DataFrame | None = None
+    is_measured: bool = False
 
     def limit(self, total_rows: int) -> int:
         return int(max(self.min_rows, total_rows * self.share))
 
+    def measured(self, logins: DataFrame) -> "SkewPolicy":
+        if self.is_measured:
+            return self
+        return replace(self, known=self._count(logins), is_measured=True)
+
+    def hot(self, logins: DataFrame) -> DataFrame | None:
+        """(user, rows, segments) of hot users, at most 1/share of them; None for none."""
+        return self.measured(logins).known
+
+    def _count(self, logins: DataFrame) -> DataFrame | None:
+        total = logins.count()
+        limit = self.limit(total)
+        if total <= limit:
+            return None
+        segments = F.least(F.ceil(F.col("rows") / limit), F.lit(QUANTILES)).cast("int")
+        hot = durable(logins.groupBy(USER).agg(F.count("*").alias("rows"))
+                      .where(F.col("rows") > limit).withColumn("segments", segments))
+        return None if hot.isEmpty() else hot
+
 
 SKEW = SkewPolicy()
 
 
-def hot_users(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame | None:
-    """Hot users with their row count and segment bounds; None when there are none."""
-    total = logins.count()
-    limit = skew.limit(total)
-    if total <= limit:
-        return None
-    hot = durable(logins.groupBy(USER).agg(F.count("*").alias("rows"))
-                  .where(F.col("rows") > limit))
-    if hot.isEmpty():
-        return None
+def segment_bounds(logins: DataFrame, hot: DataFrame) -> DataFrame:
+    """(user, bounds): times that cut a hot user's history into parts of similar size."""
     steps = [i / QUANTILES for i in range(1, QUANTILES)]
-    cuts = (logins.join(F.broadcast(hot), USER)
-            .groupBy(USER, "rows")
+    cuts = (logins.join(F.broadcast(hot.select(USER, "segments")), USER)
+            .groupBy(USER, "segments")
             .agg(F.percentile_approx(clock.micros_since_epoch(TIME), steps).alias("q")))
-    wanted = F.least(F.ceil(F.col("rows") / limit), F.lit(QUANTILES)).cast("int")
     picked = F.transform(
-        F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))),
-        lambda i: F.element_at("q", F.greatest(F.floor(i * QUANTILES / wanted), F.lit(1)).cast("int")))
+        F.sequence(F.lit(1), F.greatest(F.col("segments") - 1, F.lit(1))),
+        lambda i: F.element_at("q", F.greatest(F.floor(i * QUANTILES / F.col("segments")), F.lit(1)).cast("int")))
     # Approximate quantiles may differ between evaluations, so fix them once.
-    return durable(cuts.select(USER, "rows", F.array_distinct(picked).alias("bounds")))
+    return durable(cuts.select(USER, F.array_distinct(picked).alias("bounds")))
+
 
+def join_per_user(rows: DataFrame, table: DataFrame, skew: SkewPolicy = SKEW, how: str = "inner") -> DataFrame:
+    """Join logins with a table keyed by user, without gathering a hot user's logins.
 
-def cut_segments(logins: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Add the segment number: 0 for ordinary users, 0..k for hot ones."""
+    The logins of hot users are salted by a hash of the row, and the few table
+    rows of those users are copied to every salt. Copies are bounded: at most
+    1/share users, with twice as many salts in total.
+    """
+    hot = skew.hot(rows)
     if hot is None:
+        return rows.join(table, USER, how)
+    marks = F.broadcast(hot.select(USER, F.col("segments").alias("_salts")))
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_salts").cast("bigint")))
+    left = rows.join(marks, USER, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("bigint"))
+    right = table.join(marks, USER, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    return left.join(right, [USER, "_salt"], how).drop("_salt")
+
+
+def cut_segments(logins: DataFrame, bounds: DataFrame | None) -> DataFrame:
+    """Add the segment number: 0 for ordinary users, 1..k for hot ones."""
+    if bounds is None:
         return logins.withColumn(SEGMENT, F.lit(0))
     at = clock.micros_since_epoch(TIME)
-    return (logins.join(F.broadcast(hot.select(USER, "bounds")), USER, "left")
+    return (logins.join(F.broadcast(bounds), USER, "left")
             .withColumn("_at", at)
             .withColumn(SEGMENT, F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(
                 F.size(F.filter("bounds", lambda b: b <= F.col("_at"))) + 1))
@@ -89,9 +124,11 @@ class Ordered:
 
     @classmethod
     def of(cls, logins: DataFrame, skew: SkewPolicy = SKEW) -> "Ordered":
-        hot = hot_users(logins, skew)
-        keys = [USER] if hot is None else [USER, SEGMENT]
-        return cls(cut_segments(logins, hot).repartition(*keys), hot is not None)
+        hot = skew.hot(logins)
+        if hot is None:
+            return cls(cut_segments(logins, None).repartition(USER))
+        rows = cut_segments(logins, segment_bounds(logins, hot))
+        return cls(rows.repartition(USER, SEGMENT), True)
 
     def _next(self, rows: DataFrame) -> "Ordered":
         return Ordered(rows, self.is_hot)
@@ -167,7 +204,7 @@ def latest(logins: DataFrame, n: int, skew: SkewPolicy = SKEW) -> DataFrame:
     hot users that is repeated on salted groups first, so that no task receives
     more than salts * n rows of one user.
     """
-    hot = hot_users(logins, skew)
+    hot = skew.hot(logins)
     newest = (F.col(TIME).desc(), F.col(EVENT).desc())
     if hot is not None:
         salt = F.pmod(F.xxhash64(EVENT), F.lit(QUANTILES))

@@ -68,7 +68,7 @@ def process_logins(batch: DataFrame, store: str, batch_id: int, previous: int |
             stored.join(touched, USER, "left_semi"), HISTORY_LIMIT, skew).drop("recency")
     stats = durable(stats)
     profile.write(f"{target}/profile")
-    patterns = identify_patterns(source)
+    patterns = identify_patterns(source, skew=skew)
     if previous is not None:
         patterns = upsert(old.patterns, patterns)
     patterns.write.mode("overwrite").parquet(f"{target}/patterns")

@@ -51,7 +51,7 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loginlens-{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut lineage: write the rows to the shared folder and read them back.
 
     Lost executors then cost no recomputation. Unlike a checkpoint, a Parquet
@@ -59,7 +59,7 @@ def durable(df: DataFrame) -> DataFrame:
     size, so joins against it are planned from a measured number.
     """
     path = run_dir(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from loginlens.operators import chunks, layers, profiles, replay
-from loginlens.operators.segments import Ordered, SkewPolicy, hot_users, latest
+from loginlens.operators.segments import Ordered, SkewPolicy, join_per_user, latest
 
 HOT = SkewPolicy(share=0.01, min_rows=5)
 
@@ -60,8 +60,8 @@ def test_merge_equals_rebuild(logins, cut):
 
 
 def test_skewed_plan_gives_the_same_results(logins):
-    assert hot_users(logins, HOT).count() == 15
-    assert hot_users(logins) is None
+    assert HOT.hot(logins).count() == 15
+    assert SkewPolicy().hot(logins) is None
     assert Ordered.of(logins, HOT).rows.select("user_id", "segment").distinct().count() > 60
     for run in (profiles.gap_to_next, layers.trajectory_segments, replay.replay_state, replay.replay_scores,
                 lambda d, *s: chunks.chunk_id(d, 7, *s), lambda d, *s: latest(d, 10, *s)):
@@ -73,13 +73,32 @@ def test_skewed_plan_gives_the_same_results(logins):
     assert a.keys() == b.keys() and all(a[u] == pytest.approx(b[u]) for u in a)
 
 
+def test_salted_join_equals_plain_join(logins):
+    totals = profiles.user_totals(logins).where("user_id <> 'user3'")
+    for how in ("inner", "left"):
+        plain = logins.join(totals, "user_id", how)
+        assert rows_of(plain) == rows_of(join_per_user(logins, totals, HOT, how), *plain.columns)
+    spread = {r.user_id: r.std_distance for r in profiles.standard_distance(logins, "user_id").collect()}
+    salted = {r.user_id: r.std_distance for r in profiles.standard_distance(logins, "user_id", skew=HOT).collect()}
+    assert spread == pytest.approx(salted)
+
+
+def test_counters_from_one_pass(logins):
+    counted = profiles.user_counters(logins)
+    single = {"totals": profiles.user_totals, "devices": profiles.user_devices, "hours": profiles.user_hours,
+              "days": profiles.user_days}
+    for name, alone in single.items():
+        want = alone(logins)
+        assert rows_of(want) == rows_of(counted[name], *want.columns)
+
+
 def test_one_user_with_a_third_of_all_rows(spark, logins):
     heavy = logins.where("user_id = 'user1'").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(7))))
     heavy = (heavy.withColumn("event_id", F.col("event_id") + F.col("copy") * 100000)
              .withColumn("timestamp", F.col("timestamp") + F.make_interval(secs=F.col("copy"))).drop("copy"))
     skewed = logins.where("user_id <> 'user1'").unionByName(heavy)
     policy = SkewPolicy(share=0.1, min_rows=50)
-    assert [r.user_id for r in hot_users(skewed, policy).collect()] == ["user1"]
+    assert [r.user_id for r in policy.hot(skewed).collect()] == ["user1"]
     assert rows_of(replay.replay_scores(skewed)) == rows_of(replay.replay_scores(skewed, policy))
 
 
