@@ -57,7 +57,8 @@ def clean_file(df: DataFrame, order: bool = True) -> DataFrame:
     require_columns(df, FILE_COLUMNS)
     if any(df.schema[c].dataType.typeName() == "string" for c in ("latitude", "longitude")):
         df = coerce_numeric(df)
-    kept = drop_null_coords(parse_timestamps(df, "login_time")).where(valid_coordinates())
+    # The range test also rejects missing coordinates.
+    kept = parse_timestamps(df, "login_time").where(valid_coordinates())
     return kept.orderBy("id", "login_time") if order else kept
 
 

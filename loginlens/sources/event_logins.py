@@ -29,7 +29,8 @@ def derive_logins(events: DataFrame) -> DataFrame:
     nine = F.col("ts") - F.make_interval(hours=F.hour("ts") - 9)
     city = (F.when(event % 29 == 0, (uid + 3) % 8).when(event % 31 == 0, (uid + 5) % 8)
             .otherwise(uid % 8).cast("int"))
-    k = F.get_json_object("props", "$.k").cast("int")
+    # props is {"k": n}; cutting the text is cheaper than a JSON parser per use.
+    k = F.substring_index(F.substring_index("props", ":", -1), "}", 1).cast("int")
 
     def of_city(axis: int):
         return F.element_at(F.array(*[F.lit(float(c[axis])) for c in HOME_CITIES]), city + 1)
