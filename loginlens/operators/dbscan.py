@@ -25,7 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loginlens.operators.patterns import NOISE, feature_stats, login_features
+from loginlens.functions import clock, geo
+from loginlens.operators.patterns import NOISE, SITE, feature_frame, with_site
 from loginlens.operators.segments import SKEW, SkewPolicy, join_per_user
 from loginlens.schema import EVENT, TIME, USER
 from loginlens.session import durable
@@ -38,23 +39,22 @@ GROUP = (USER, "device_id", "day")
 CELL = (*GROUP, "hour", "i", "j")
 
 
-def scaled_sites(features: DataFrame, eps: float = EPS, skew: SkewPolicy = SKEW) -> DataFrame:
+def scaled_sites(logins: DataFrame, eps: float = EPS, skew: SkewPolicy = SKEW) -> DataFrame:
     """Distinct places in feature space with their login count and earliest login."""
     if not 0 < eps < MAX_EPS:
         raise ValueError(f"eps must lie between 0 and {MAX_EPS:.4f}: beyond it weekdays may mix")
     side = eps / math.sqrt(2) * (1 - 1e-9)
-    stats = feature_stats(features).select(
-        USER, *[f"{c}_std" for c in ("latitude", "lon_unwrapped", "hour_sin", "hour_cos")])
-    sites = features.groupBy(*GROUP, "hour", "latitude", "lon_unwrapped").agg(
-        F.count("*").alias("weight"), F.min(F.struct(TIME, EVENT)).alias("earliest"),
-        F.first("hour_sin").alias("_hs"), F.first("hour_cos").alias("_hc"))
-    return (join_per_user(sites, stats, skew)
+    placed = with_site(logins).groupBy(*SITE).agg(
+        F.count("*").alias("weight"), F.min(F.struct(TIME, EVENT)).alias("earliest"))
+    hour_sin, hour_cos = clock.cyclic(F.col("hour"), 24)
+    return (join_per_user(placed, feature_frame(logins), skew)
+            .withColumn("lon_unwrapped", geo.unwrap_longitude("longitude", "lon_range", "points"))
             .withColumns({"u": F.col("latitude") / F.col("latitude_std"),
                           "v": F.col("lon_unwrapped") / F.col("lon_unwrapped_std"),
-                          "p": F.col("_hs") / F.col("hour_sin_std"),
-                          "q": F.col("_hc") / F.col("hour_cos_std")})
+                          "p": hour_sin / F.col("hour_sin_std"),
+                          "q": hour_cos / F.col("hour_cos_std")})
             .withColumns({"i": F.floor(F.col("u") / side), "j": F.floor(F.col("v") / side)})
-            .select(*CELL, "latitude", "lon_unwrapped", "weight", "earliest", "u", "v", "p", "q"))
+            .select(*CELL, "latitude", "longitude", "weight", "earliest", "u", "v", "p", "q"))
 
 
 def _squared(du: Column, dv: Column, a: str, b: str) -> Column:
@@ -193,18 +193,13 @@ def core_sites(sites: DataFrame, pairs: DataFrame, min_samples: int = MIN_SAMPLE
             .drop("cell_weight", "_near"))
 
 
-def _site_keys() -> list[str]:
-    return [*GROUP, "hour", "latitude", "lon_unwrapped"]
-
-
 def core_logins(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
                 skew: SkewPolicy = SKEW) -> DataFrame:
     """Logins that are DBSCAN core points."""
     skew = skew.measured(logins)
-    features = login_features(logins, skew)
-    sites = durable(scaled_sites(features, eps, skew))
+    sites = durable(scaled_sites(logins, eps, skew))
     cores = core_sites(sites, thin_neighbours(sites, eps, min_samples), min_samples)
-    return features.join(cores.select(*_site_keys()), _site_keys(), "left_semi")
+    return with_site(logins).join(cores.select(*SITE), list(SITE), "left_semi")
 
 
 def dbscan(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
@@ -214,8 +209,7 @@ def dbscan(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
     A border login within reach of several clusters joins the lowest-numbered.
     """
     skew = skew.measured(logins)
-    features = login_features(logins, skew)
-    sites = durable(scaled_sites(features, eps, skew))
+    sites = durable(scaled_sites(logins, eps, skew))
     pairs = durable(thin_neighbours(sites, eps, min_samples))
     cores = durable(core_sites(sites, pairs, min_samples))
     side = eps / math.sqrt(2) * (1 - 1e-9)
@@ -236,7 +230,7 @@ def dbscan(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
         "cluster", F.row_number().over(Window.partitionBy(USER).orderBy("label")) - 1)
     site_cluster = (core_labels.unionByName(borders).join(numbered, [USER, "label"])
                     .select(F.col("site").alias("earliest"), "cluster"))
-    by_place = sites.join(site_cluster, "earliest").select(*_site_keys(), "cluster")
-    return (features.join(by_place, _site_keys(), "left")
+    by_place = sites.join(site_cluster, "earliest").select(*SITE, "cluster")
+    return (with_site(logins).join(by_place, list(SITE), "left")
             .withColumn("cluster", F.coalesce("cluster", F.lit(NOISE)).cast("int"))
             .select(USER, EVENT, TIME, "latitude", "longitude", "device_id", "cluster"))

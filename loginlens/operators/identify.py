@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loginlens.operators.dbscan import EPS, MIN_SAMPLES, dbscan
 from loginlens.operators.kmeans import kmeans
-from loginlens.operators.patterns import cluster_stats, login_features
+from loginlens.operators.patterns import cluster_stats
 from loginlens.operators.segments import SKEW, SkewPolicy
 from loginlens.schema import EVENT, USER
 from loginlens.session import durable
@@ -26,7 +26,7 @@ def label_logins(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAM
     dense = durable(dbscan(logins, eps, min_samples, skew))
     undivided = undivided_users(dense)
     rest = logins.join(undivided, USER, "left_semi")
-    split = kmeans(login_features(rest, skew), skew=skew)
+    split = kmeans(rest, skew=skew)
     relabelled = dense.join(undivided, USER, "left_semi").drop("cluster").join(split, [USER, EVENT])
     return dense.join(undivided, USER, "left_anti").unionByName(relabelled)
 

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loginlens.operators.patterns import NUMERIC, device_scale, elbow_k, standardize
-from loginlens.operators.segments import SKEW, SkewPolicy
+from loginlens.functions import clock, geo
+from loginlens.operators.patterns import NUMERIC, SITE, device_scale, elbow_k, feature_frame, with_site
+from loginlens.operators.segments import SKEW, SkewPolicy, join_per_user
 from loginlens.schema import EVENT, TIME, USER
 from loginlens.session import durable, spread_evenly
 
@@ -36,13 +37,17 @@ _LABELS = T.StructType([
     T.StructField("inertia", T.DoubleType())])
 
 
-def kmeans_sites(features: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
-    """Distinct standardised logins with multiplicity; ``rank_time``/``site`` order ties."""
-    scaled = standardize(features, skew).join(device_scale(features), [USER, "device_id"])
-    return (scaled.groupBy(USER, "device_id", "device_weight", *Z)
-            .agg(F.count("*").alias("weight"), F.min(F.struct(TIME, EVENT)).alias("_first"))
-            .select(USER, "device_id", "device_weight", *Z, "weight",
-                    F.col(f"_first.{TIME}").cast("timestamp").alias("rank_time"),
+def kmeans_sites(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
+    """Distinct logins with multiplicity and z-scores; ``rank_time``/``site`` order ties."""
+    placed = with_site(logins).groupBy(*SITE).agg(
+        F.count("*").alias("weight"), F.min(F.struct(TIME, EVENT)).alias("_first"))
+    hour, day = clock.cyclic(F.col("hour"), 24), clock.cyclic(F.col("day"), 7)
+    framed = (join_per_user(placed, feature_frame(logins), skew)
+              .withColumns({"lon_unwrapped": geo.unwrap_longitude("longitude", "lon_range", "points"),
+                            "hour_sin": hour[0], "hour_cos": hour[1], "day_sin": day[0], "day_cos": day[1]}))
+    z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std")).alias(f"{c}_z") for c in NUMERIC]
+    return (framed.join(device_scale(logins), [USER, "device_id"])
+            .select(*SITE, "device_weight", *z, "weight", F.col(f"_first.{TIME}").cast("timestamp").alias("rank_time"),
                     F.col(f"_first.{EVENT}").alias("site")))
 
 
@@ -91,9 +96,9 @@ def _fit_user(pdf: pd.DataFrame) -> pd.DataFrame:
     w_device = np.zeros(device.max() + 1)
     w_device[device] = w_point
     x = pdf[list(Z)].to_numpy(float)
-    logins = int(weight.sum())
+    total = int(weight.sum())
     # k below min(10, logins); more clusters than distinct logins cannot be filled.
-    top = max(1, min(MAX_K, logins - 1))
+    top = max(1, min(MAX_K, total - 1))
     parts = []
     for k in range(1, min(max(top, 2), len(pdf)) + 1):
         labels, inertia = _lloyd(x, device, w_point, w_device, weight, k)
@@ -177,10 +182,10 @@ def _fit_large(sites: DataFrame, max_k: int = MAX_K) -> DataFrame:
         USER, "site", F.col("k").cast("int").alias("k"), F.col("c").cast("int").alias("cluster"), "inertia")
 
 
-def kmeans_fits(features: DataFrame, local_sites: int = LOCAL_SITES,
+def kmeans_fits(logins: DataFrame, local_sites: int = LOCAL_SITES,
                 skew: SkewPolicy = SKEW) -> tuple[DataFrame, DataFrame]:
     """Sites, and their cluster with the inertia for every k tried."""
-    sites = durable(kmeans_sites(features, skew))
+    sites = durable(kmeans_sites(logins, skew))
     sizes = sites.groupBy(USER).agg(F.count("*").alias("_n"))
     small = sites.join(sizes.where(F.col("_n") <= local_sites), USER, "left_semi")
     large = sites.join(sizes.where(F.col("_n") > local_sites), USER, "left_semi")
@@ -190,14 +195,14 @@ def kmeans_fits(features: DataFrame, local_sites: int = LOCAL_SITES,
     return sites, durable(fits)
 
 
-def kmeans_labels(features: DataFrame, local_sites: int = LOCAL_SITES, skew: SkewPolicy = SKEW) -> DataFrame:
-    """(user, device, place and time) sites with the cluster of the elbow k.
+def kmeans_labels(logins: DataFrame, local_sites: int = LOCAL_SITES, skew: SkewPolicy = SKEW) -> DataFrame:
+    """Distinct logins of each user with the cluster of the elbow k.
 
     A user whose logins are all alike, or with a single login, is one cluster.
     """
-    sites, fits = kmeans_fits(features, local_sites, skew)
-    logins = sites.groupBy(USER).agg(F.sum("weight").alias("_logins"))
-    inertias = (fits.select(USER, "k", "inertia").distinct().join(logins, USER)
+    sites, fits = kmeans_fits(logins, local_sites, skew)
+    sizes = sites.groupBy(USER).agg(F.sum("weight").alias("_logins"))
+    inertias = (fits.select(USER, "k", "inertia").distinct().join(sizes, USER)
                 .where(F.col("k") < F.least(F.lit(10), F.col("_logins"))))
     largest = fits.groupBy(USER).agg(F.max("k").alias("_max"))
     wanted = (largest.join(elbow_k(inertias), USER, "left")
@@ -205,8 +210,8 @@ def kmeans_labels(features: DataFrame, local_sites: int = LOCAL_SITES, skew: Ske
     return fits.join(wanted, [USER, "k"]).join(sites.drop("weight"), [USER, "site"])
 
 
-def kmeans(features: DataFrame, local_sites: int = LOCAL_SITES, skew: SkewPolicy = SKEW) -> DataFrame:
+def kmeans(logins: DataFrame, local_sites: int = LOCAL_SITES, skew: SkewPolicy = SKEW) -> DataFrame:
     """Cluster number of every login, by (user, event)."""
-    skew = skew.measured(features)
-    labels = kmeans_labels(features, local_sites, skew).select(USER, "device_id", *Z, "cluster")
-    return standardize(features, skew).join(labels, [USER, "device_id", *Z]).select(USER, EVENT, "cluster")
+    labels = kmeans_labels(logins, local_sites, skew.measured(logins))
+    # Joined on raw columns: recomputed z-scores may differ in their last bit.
+    return with_site(logins).join(labels.select(*SITE, "cluster"), list(SITE)).select(USER, EVENT, "cluster")

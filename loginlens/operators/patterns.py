@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loginlens.functions import clock
+from loginlens.functions import clock, geo
 from loginlens.operators.profiles import shift_antimeridian, standard_distance, user_devices
 from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, join_per_user
 from loginlens.schema import EVENT, TIME, USER
 
 NUMERIC = ("latitude", "lon_unwrapped", "hour_sin", "hour_cos", "day_sin", "day_cos")
 NOISE = -1
+#: Logins that agree on these columns are one point in feature space.
+SITE = (USER, "device_id", "day", "hour", "latitude", "longitude")
 
 
 def login_features(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
@@ -27,22 +29,46 @@ def device_indicators(logins: DataFrame) -> DataFrame:
                          F.lit(1).alias("value"))
 
 
-def feature_stats(features: DataFrame) -> DataFrame:
-    """Mean and population std of every numeric feature per user; a zero std counts as 1."""
-    def scale(name: str) -> Column:
-        std = F.stddev_pop(name)
-        return F.when(std < 1e-12, 1.0).otherwise(std).alias(f"{name}_std")
-    return features.groupBy(USER).agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in NUMERIC],
-        *[scale(c) for c in NUMERIC])
+def with_site(logins: DataFrame) -> DataFrame:
+    """Logins with the hour and weekday that complete their site columns."""
+    return logins.withColumns({"hour": clock.login_hour(), "day": clock.login_day()})
 
 
-def standardize(features: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
+def feature_frame(logins: DataFrame) -> DataFrame:
+    """One row per user: mean and population std of every numeric feature.
+
+    Whether a user's longitudes must be unwrapped depends on their spread, so
+    both readings are aggregated and the right one is picked: one pass in all.
+    A zero std counts as 1.
+    """
+    east = F.when(F.col("longitude") < 0, F.col("longitude") + 360).otherwise(F.col("longitude"))
+    values = {"latitude": F.col("latitude"), "_plain": F.col("longitude"), "_east": east, **clock.cyclic_time()}
+    stats = logins.groupBy(USER).agg(
+        F.count("*").alias("points"), (F.max("longitude") - F.min("longitude")).alias("lon_range"),
+        *[F.avg(c).alias(f"{n}_mean") for n, c in values.items()],
+        *[F.stddev_pop(c).alias(f"{n}_std") for n, c in values.items()])
+    wide = (F.col("points") > 1) & (F.col("lon_range") > 180)
+
+    def pick(kind: str) -> Column:
+        return F.when(wide, F.col(f"_east_{kind}")).otherwise(F.col(f"_plain_{kind}"))
+
+    chosen = stats.withColumns({"lon_unwrapped_mean": pick("mean"), "lon_unwrapped_std": pick("std")})
+    scales = [F.when(F.col(f"{c}_std") < 1e-12, 1.0).otherwise(F.col(f"{c}_std")).alias(f"{c}_std") for c in NUMERIC]
+    return chosen.select(USER, "points", "lon_range", *[f"{c}_mean" for c in NUMERIC], *scales)
+
+
+def with_frame(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
+    """Feature columns of every login together with its user's means and scales."""
+    base = logins.select(USER, EVENT, TIME, "latitude", "longitude", "device_id")
+    return (join_per_user(base, feature_frame(base), skew)
+            .withColumns({"lon_unwrapped": geo.unwrap_longitude("longitude", "lon_range", "points"),
+                          **clock.cyclic_time(), "hour": clock.login_hour(), "day": clock.login_day()}))
+
+
+def standardize(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
     """z-scores per user in columns named ``<feature>_z``."""
-    stats = feature_stats(features).drop("n")
-    z = {f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in NUMERIC}
-    return (join_per_user(features, stats, skew).withColumns(z)
-            .drop(*[f"{c}_{s}" for c in NUMERIC for s in ("mean", "std")]))
+    z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std")).alias(f"{c}_z") for c in NUMERIC]
+    return with_frame(logins, skew).select(USER, EVENT, TIME, "device_id", *z)
 
 
 def device_scale(logins: DataFrame) -> DataFrame:
@@ -63,7 +89,7 @@ def distance_to_previous(logins: DataFrame, skew: SkewPolicy = SKEW) -> DataFram
     different devices add the sum of their weights.
     """
     skew = skew.measured(logins)
-    scaled = standardize(login_features(logins, skew), skew).join(device_scale(logins), [USER, "device_id"])
+    scaled = standardize(logins, skew).join(device_scale(logins), [USER, "device_id"])
     point = F.struct("device_id", "device_weight", *[f"{c}_z" for c in NUMERIC])
     pairs = Ordered.of(scaled, skew).previous("_prev", point).result().where("_prev IS NOT NULL")
     numeric = sum((F.pow(F.col(f"{c}_z") - F.col(f"_prev.{c}_z"), F.lit(2.0)) for c in NUMERIC), F.lit(0.0))

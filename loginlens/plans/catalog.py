@@ -766,7 +766,7 @@ def _(spark, sf):
 @query("standardize", "SELECT event_id, user_id, " + ", ".join(
     f"round({c}_z, 4) + 0.0 AS {c}_z" for c in patterns.NUMERIC) + " FROM logins_z", "logins_z")
 def _(spark, sf):
-    rows = patterns.standardize(patterns.login_features(logins(spark, sf)))
+    rows = patterns.standardize(logins(spark, sf))
     return rows.select(EVENT, USER, *[(F.round(f"{c}_z", 4) + 0.0).alias(f"{c}_z") for c in patterns.NUMERIC])
 
 
@@ -800,7 +800,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = logins(spark, sf)
     undivided = identify.undivided_users(dbscan.dbscan(rows))
-    return kmeans.kmeans(patterns.login_features(rows.join(undivided, USER, "left_semi")))
+    return kmeans.kmeans(rows.join(undivided, USER, "left_semi"))
 
 
 @query("isolation_forest_score")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from loginlens.operators import dbscan, identify, kmeans, patterns
+from loginlens.operators.segments import SkewPolicy
 
 
 def brute_force(rows, eps=0.5, min_samples=5):
@@ -89,6 +90,12 @@ def test_labels_do_not_depend_on_partitioning(small):
     assert a == b
 
 
+def test_skewed_plan_gives_the_same_clusters(small):
+    hot = SkewPolicy(share=0.01, min_rows=5)
+    assert rows_of(identify.label_logins(small), "event_id", "cluster") == rows_of(
+        identify.label_logins(small, skew=hot), "event_id", "cluster")
+
+
 def test_eps_limit(small):
     with pytest.raises(ValueError, match="eps"):
         dbscan.dbscan(small, eps=0.9)
@@ -100,7 +107,7 @@ def test_single_login_is_one_cluster(make):
 
 
 def test_large_users_fit_like_small_ones(logins):
-    rows = patterns.login_features(logins.where("user_id IN ('user1', 'user4')").where(F.col("event_id") < 420))
+    rows = logins.where("user_id IN ('user1', 'user4')").where(F.col("event_id") < 420)
     sites, fits = kmeans.kmeans_fits(rows)
     columns = ("user_id", "site", "k", "cluster")
     assert rows_of(fits.where("k <= 3"), *columns) == rows_of(kmeans._fit_large(sites, max_k=3), *columns)
@@ -108,8 +115,7 @@ def test_large_users_fit_like_small_ones(logins):
 
 def test_kmeans_separates_two_places(make):
     rows = [(e, "a", f"2024-01-01 10:{e:02d}:00", 10.0 + 40 * (e % 2) + e * 1e-3, 20.0, "d") for e in range(12)]
-    df = patterns.login_features(make(rows))
-    sites, fits = kmeans.kmeans_fits(df)
+    sites, fits = kmeans.kmeans_fits(make(rows))
     two = {r.site: r.cluster for r in fits.where("k = 2").collect()}
     assert len({two[e] for e in range(0, 12, 2)}) == 1 and two[0] != two[1]
 

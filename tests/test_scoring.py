@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from loginlens.operators import outliers, patterns, profiles, replay, scoring
+from loginlens.operators.segments import SkewPolicy
 from loginlens.schema import WEIGHTS
 
 CUT = "2024-01-20"
@@ -80,6 +81,15 @@ def test_scores_stay_in_range_and_weights_sum_to_one(past, fresh):
     assert min(bounds) >= 0 and max(bounds) <= 1 and out.count() == fresh.count()
 
 
+def test_skewed_plan_scores_the_same(past, fresh):
+    profile, clusters = profiles.build_profile(past), one_cluster(past)
+    columns = ("event_id", "combined_score", "is_anomalous", "stored")
+    plain = scoring.analyze_logins(fresh, profile, clusters, past, isolation=False)
+    split = scoring.analyze_logins(fresh, profile, clusters, past, isolation=False,
+                                   skew=SkewPolicy(share=0.01, min_rows=5))
+    assert rows_of(plain, *columns) == rows_of(split, *columns)
+
+
 def test_replay_of_the_last_login_equals_the_batch_score(logins):
     last = logins.groupBy("user_id").agg(F.max(F.struct("timestamp", "event_id")).alias("m"))
     last = last.select(F.col("m.event_id").alias("event_id"))
