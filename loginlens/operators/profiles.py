@@ -318,32 +318,43 @@ def flat_profile(profile: Profile) -> DataFrame:
     return out
 
 
-def nested_profile(profile: Profile) -> DataFrame:
-    """Map-typed view, one row per user.
+MAP_ENTRIES = 10_000
 
-    A row holds all distinct devices and cells of its user; restrict the
-    profile with :meth:`Profile.of_users` first when looking users up.
+
+def _map_parts(table: DataFrame, key, value, name: str, entries: int) -> DataFrame:
+    """(user, part, map): a user's pairs, split by hash once they exceed ``entries``."""
+    sizes = table.groupBy(USER).agg(F.ceil(F.count("*") / entries).alias("_parts"))
+    pairs = F.collect_list(F.struct(key.alias("key"), value.alias("value")))
+    part = F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")
+    return (table.join(sizes, USER).groupBy(USER, part.alias("part"))
+            .agg(F.map_from_entries(pairs).alias(name)))
+
+
+def nested_profile(profile: Profile, entries: int = MAP_ENTRIES) -> DataFrame:
+    """Map-typed view with the whole profile of a user in one row, ``part`` 0.
+
+    Only a user with more than ``entries`` devices or cells gets further rows
+    with the rest of the maps, so that no row grows without bound.
     """
-    def as_map(table, key, value, name):
-        pairs = F.collect_list(F.struct(key.alias("key"), value.alias("value")))
-        return table.groupBy(USER).agg(F.map_from_entries(pairs).alias(name))
-
-    devices = as_map(profile.devices, F.col("device_id"),
-                     F.struct("count", "percentage", "first_seen", "last_seen"), "devices")
-    places = as_map(profile.locations,
-                    F.concat_ws("_", F.format_string("%.3f", F.col("cell_lat") / 1000.0),
-                                F.format_string("%.3f", F.col("cell_lon") / 1000.0)),
-                    F.struct("count", "lat", "lon", "first_seen", "last_seen"), "locations")
-    hours = as_map(profile.hours, F.col("hour"), F.col("count"), "hour_distribution")
-    days = as_map(profile.days, F.col("day"), F.col("count"), "day_of_week_distribution")
-    metrics = (profile.gaps.join(profile.spread, USER, "full").select(
+    devices = _map_parts(profile.devices, F.col("device_id"),
+                         F.struct("count", "percentage", "first_seen", "last_seen"), "devices", entries)
+    cell = F.concat_ws("_", F.format_string("%.3f", F.col("cell_lat") / 1000.0),
+                       F.format_string("%.3f", F.col("cell_lon") / 1000.0))
+    places = _map_parts(profile.locations, cell, F.struct("count", "lat", "lon", "first_seen", "last_seen"),
+                        "locations", entries)
+
+    def as_map(table, key, name):
+        return table.groupBy(USER).agg(F.map_from_entries(F.collect_list(F.struct(key, "count"))).alias(name))
+
+    metrics = profile.gaps.join(profile.spread, USER, "full").select(
         USER, F.struct(F.struct(*GAP_FIELDS).alias("login_velocity"),
-                       F.struct(*SPREAD_FIELDS).alias("geo_variance")).alias("behavioral_metrics")))
-    out = profile.totals
-    for part in (devices, places, hours, days, metrics):
-        out = out.join(part, USER, "left")
-    return out.withColumn("time_patterns", F.struct("hour_distribution", "day_of_week_distribution")).drop(
-        "hour_distribution", "day_of_week_distribution")
+                       F.struct(*SPREAD_FIELDS).alias("geo_variance")).alias("behavioral_metrics"))
+    out = (profile.totals.join(as_map(profile.hours, "hour", "hour_distribution"), USER, "left")
+           .join(as_map(profile.days, "day", "day_of_week_distribution"), USER, "left")
+           .join(metrics, USER, "left"))
+    out = out.withColumn("time_patterns", F.struct("hour_distribution", "day_of_week_distribution"))
+    return (devices.join(places, [USER, "part"], "full")
+            .join(out.drop("hour_distribution", "day_of_week_distribution"), USER))
 
 
 def ingest_stats(batch: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -136,10 +136,9 @@ def _(spark, sf):
     path = run_dir(spark, "envelope")
     event = F.struct(USER, F.date_format(TIME, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(TIME),
                      "latitude", "longitude", "device_id", "ip_address")
-    # One small envelope per user and hour of history; many are never gathered.
-    (logins(spark, sf).groupBy(USER, F.date_trunc("hour", TIME).alias("h"))
-     .agg(F.collect_list(event).alias("login_events"))
-     .select(F.to_json(F.struct("login_events"))).write.text(path))
+    # One envelope per line and event: nothing is gathered to build them.
+    envelope = F.struct(F.array(event).alias("login_events"))
+    logins(spark, sf).select(F.to_json(envelope)).write.text(path)
     rows = spark.read.schema(readers.ENVELOPE_SCHEMA).json(path).select(F.inline("login_events"))
     return _plain_time(rows, TIME)
 
@@ -219,9 +218,8 @@ def _(spark, sf):
 def _(spark, sf):
     rows = logins(spark, sf)
     wanted = profiles.build_profile(rows).of_users(_before(rows, o.NOON_OF_FIRST_DAY))
-    return profiles.nested_profile(wanted).select(
-        USER, "total_logins", "first_login", "last_login", F.size("devices").cast("bigint").alias("devices"),
-        F.size("locations").cast("bigint").alias("locations"))
+    return profiles.nested_profile(wanted).groupBy(USER, "total_logins", "first_login", "last_login").agg(
+        F.sum(F.size("devices")).alias("devices"), F.sum(F.size("locations")).alias("locations"))
 
 
 @query("upsert_profiles", """
@@ -987,10 +985,10 @@ def _(spark, sf):
 
 # --- Streaming ---------------------------------------------------------------
 
-def _login_stream(spark, sf):
+def _login_stream(spark, sf, **options):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return derive_logins(events)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").options(**options)
+    return derive_logins(reader.parquet(sf))
 
 
 def _run_to_end(writer, path, checkpoint):
@@ -1000,7 +998,7 @@ def _run_to_end(writer, path, checkpoint):
 @query("stream_scores", _REPLAY_SQL, "replay")
 def _(spark, sf):
     work = run_dir(spark, "stream")
-    scores = stream_scores(_login_stream(spark, sf))
+    scores = stream_scores(_login_stream(spark, sf, maxFilesPerTrigger=1))
     _run_to_end(scores.writeStream.format("parquet").outputMode("append"), f"{work}/out", f"{work}/state")
     return _plain_time(spark.read.parquet(f"{work}/out"), TIME)
 
