@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +30,44 @@ def build_session(app_name: str = "loginlens", master: str | None = None,
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Functions of the package are pickled by name, so a worker must be able to
+    import it wherever the job was started from.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_loginlens_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="loginlens-code-"), "loginlens_code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._loginlens_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from the session.
 
-    A machine-local folder is used only where the session names none (tests).
+    A machine-local folder is made only in local mode, where driver and workers
+    share the machine; a cluster session that names no folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         current = tempfile.mkdtemp(prefix="loginlens-")
         spark.sparkContext.setCheckpointDir(current)
     return current.rstrip("/")
