@@ -27,18 +27,20 @@ CUTS = {
 }
 PLAIN = re.compile(f" ?[^{WHITE}]+")
 LONGEST = 64
-REMEMBER = 1_500_000
+#: Pieces remembered in one generation; the older of two generations is dropped.
+REMEMBER = 600_000
 
 
 class Encoder:
     """Texts to token ids as little-endian unsigned integers of `dtype`."""
 
-    def __init__(self, path: str, cut: str, dtype: str = "<u4") -> None:
+    def __init__(self, path: str, cut: str, dtype: str = "<u4", remember: int = REMEMBER) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut, self.dtype = cut, np.dtype(dtype)
+        self.cut, self.dtype, self.remember = cut, np.dtype(dtype), remember
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
@@ -46,9 +48,12 @@ class Encoder:
             return [self._bytes(e.ids) for e in
                     self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         pieces = [CUTS[self.cut].findall(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list(set(chain.from_iterable(pieces)) - self.known.keys())
+        if len(self.known) > self.remember:
+            self.known, self.older = {}, self.known
+        new = set(chain.from_iterable(pieces)) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new = list(new - again)
         long = {}
         if new:
             short = [p for p in new if len(p) <= LONGEST and PLAIN.fullmatch(p)]
@@ -82,9 +87,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cut: str, dtype: str) -> Encoder:
+def encoder(path: str, cut: str, dtype: str, remember: int = REMEMBER) -> Encoder:
     """One encoder per worker process, so that what it remembers outlives a task."""
-    return Encoder(path, cut, dtype)
+    return Encoder(path, cut, dtype, remember)
 
 
 def id_type(vocabulary_size: int) -> str:

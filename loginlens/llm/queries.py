@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import packing, token_files
-from loginlens.llm.common import table
-from loginlens.session import run_dir
+from loginlens.llm import chat, decontaminate, packing, rollups, sharding, token_files, vptree
+from loginlens.llm.common import fingerprint, table, with_row_id
+from loginlens.session import durable, run_dir
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,39 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_row_id(table(spark, sf_dir, "documents"))
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "alignments")
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year of one corpus: all documents come in, repeats go, then all are counted with a newer tokenizer.
+
+    The last two batches are committed twice, as a job that is run again would.
+    """
+    old, new = "byte_bpe_50k", "word_bpe_49k"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = rollups.count_tokens(docs.withColumn("same", fingerprint("text")), tokenizer(f"{old}.json"), "bytes", "n_old")
+    counted = rollups.count_tokens(counted, tokenizer(f"{new}.json"), "words", "n_new")
+    counted = durable(counted.drop("text"))
+    first = counted.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    repeats = counted.join(first.where("copies > 1").select("same", F.col("doc_id").alias("kept")), "same").where(
+        ~F.col("doc_id").eqNullSafe(F.col("kept")))
+    remaining = counted.join(first.select("same", "doc_id"), ["same", "doc_id"], "left_semi")
+    store = rollups.Rollup(spark, run_dir(spark, "rollup"))
+    store.commit("0001-insert", counted.select(*rollups.change(1, F.col("n_old"), old)))
+    for _ in range(2):
+        store.commit("0002-delete", repeats.select(*rollups.change(-1, F.col("n_old"), old)))
+        store.commit("0003-revise", remaining.select(*rollups.change(-1, F.col("n_old"), old)).unionByName(
+            remaining.select(*rollups.change(1, F.col("n_new"), new))))
+    store.compact()
+    return store.totals()
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_token_files(docs, run_dir(spark, "tokens"), tokenizer("word_bpe_49k.json"),
@@ -31,8 +64,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(encoded, width=2)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at this factor is measured against brute force in the tests."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vptree.build_index(vectors), vectors.where("vec_id % 20 = 0"), k=20, factor=0.25)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 24)
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op5_token_rollup": op5_token_rollup,
     "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
+    "op8_nearest": op8_nearest,
+    "op10_sharding": op10_sharding,
+}
+ORACLES = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op3_chat_formatting": chat.ORACLE,
 }
-ORACLES: dict[str, str] = {}
