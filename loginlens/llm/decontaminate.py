@@ -40,9 +40,8 @@ NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words; null and wordless texts have none."""
-    edges = F.regexp_replace(F.lower(text), f"^{NOT_WORD}|{NOT_WORD}$", "")
-    return F.when(F.length(edges) > 0, F.split(edges, NOT_WORD)).otherwise(F.array().cast("array<string>"))
+    """Lower-case words; a wordless text has one empty word, a null text none."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " ")), " ")
 
 
 def seed(words: Column, at: Column, mask: str) -> Column:
@@ -52,21 +51,33 @@ def seed(words: Column, at: Column, mask: str) -> Column:
 
 
 def _seeded(rows: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
-    """One row per mask and position of `words`: `mask` number, `h`, `at`."""
-    spots = rows.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+    """One row per mask and position of `words` that it fits: the hash `h` and the position `at`.
+
+    Both steps are generators within one compiled stage, so the word list is
+    never copied per position.
+    """
+    last = F.greatest(F.size("words") - 1, F.lit(0))
+    spots = rows.select(*keep, "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     hashes = F.array(*[seed(F.col("words"), F.col("at"), m) for m in masks])
     return spots.select(*keep, "words", "at", F.posexplode(hashes).alias("mask", "h")).where("h is not null")
 
 
-def _close(ours: Column, theirs: Column, width: int, substitutions: int) -> Column:
-    """Whether equally long word lists agree but for `substitutions` places over some `width` words in a row."""
-    count = F.size(ours)
-    differ = F.filter(F.sequence(F.lit(0), count - 1), lambda i: ~F.get(ours, i).eqNullSafe(F.get(theirs, i)))
+def _close(pair: Column, width: int, substitutions: int) -> Column:
+    """Whether the equally long lists `pair.ours`, `pair.theirs` agree but for `substitutions` places
+    over some `width` words in a row.
+
+    The list of differing places, with a wall at either end, has the answer: a
+    stretch with that few differences lies between two walls that far apart.
+    """
+    count = F.size(pair["ours"])
+    differ = F.filter(F.sequence(F.lit(0), count - 1),
+                      lambda i: ~F.get(pair["ours"], i).eqNullSafe(F.get(pair["theirs"], i)))
     walls = F.concat(F.array(F.lit(-1)), differ, F.array(count))
     skip = substitutions + 1
-    wide = F.exists(F.sequence(F.lit(0), F.size(walls) - 1 - skip),
-                    lambda j: F.get(walls, j + skip) - F.get(walls, j) > width)
-    return (count >= width) & F.when(F.size(walls) > skip + 1, wide).otherwise(True)
+    far = lambda w: F.when(F.size(w) > skip, F.exists(
+        F.sequence(F.lit(0), F.size(w) - 1 - skip),
+        lambda j: F.get(w, j + skip) - F.get(w, j) > width)).otherwise(F.lit(True))
+    return (count >= width) & F.exists(F.array(walls), far)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, substitutions: int = SUBSTITUTIONS,
@@ -93,16 +104,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, subs
         F.slice("item_words", F.col("at") - left + 1, left + reach).alias("item_near")))
     if seeds.count() <= broadcast_rows:
         seeds = F.broadcast(seeds)
-    ours = docs.select("_row", "doc_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST)
-    hits = _seeded(ours, every, ["_row", "doc_id"]).join(seeds, ["mask", "h"])
+    ours = docs.select("_row", "doc_id", words_of(F.col("text")).alias("words"))
+    hits = _seeded(ours, every, ["_row", "doc_id"]).drop("mask").join(seeds, "h")
     back = F.least("at", "item_left")
     ahead = F.least(F.size("words") - F.col("at"), F.size("item_near") - F.col("item_left"))
     near = hits.select(
         "_row", "doc_id", "item_id", "mask", (F.col("at") - F.col("item_at")).alias("shift"),
         F.slice("words", F.col("at") - back + 1, back + ahead).alias("ours"),
         F.slice("item_near", F.col("item_left") - back + 1, back + ahead).alias("theirs"))
-    verified = near.where(F.when(F.col("mask") >= len(masks), F.col("ours") == F.col("theirs"))
-                          .otherwise(_close(F.col("ours"), F.col("theirs"), width, substitutions)))
+    # A generator and not a filter: Spark would move a filter into the join and out of the compiled stage.
+    same = lambda p: F.when(p["exact"], p["ours"] == p["theirs"]).otherwise(_close(p, width, substitutions))
+    pairs = F.filter(F.array(F.struct("ours", "theirs", (F.col("mask") >= len(masks)).alias("exact"))), same)
+    verified = near.select("_row", "doc_id", "item_id", "shift", F.explode(pairs))
     return (verified.select("_row", "doc_id", "item_id", "shift").distinct()
             .groupBy("_row", "doc_id", "item_id").agg(F.count("*").alias("alignments")))
 

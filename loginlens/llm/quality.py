@@ -119,31 +119,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             .sort_values("doc_id", kind="stable"))
     texts = rows["text"].tolist()
     model: dict = {"weights": {}, "traits": {}}
+    half = np.arange(len(texts)) % 2 == 0
+    # Words weighed on one half describe the other, lest the model trust them too much; the final
+    # weights are those of all.
+    crossed = [{}, {}]
     marked = {}
     for trait, column, bad in (("low", "q", 0), ("toxic", "t", 1)):
         known = rows[column].notna().to_numpy()
-        unfit = (rows[column] == bad).to_numpy()[known]
+        unfit = (rows[column] == bad).to_numpy()
         marked[trait] = (known, unfit)
-        usable = 0 < unfit.sum() < len(unfit)
-        held = [t for t, k in zip(texts, known) if k]
-        # Words are weighed on one half and the model fitted on the other, lest it trust them too much.
-        half = np.arange(len(held)) % 2 == 0
-        model["weights"][trait] = word_weights([t for t, h in zip(held, half) if h], unfit[half]) if usable else {}
-        model["traits"][trait] = {"half": half, "usable": usable}
-    if texts:
-        every = np.array([features(t, model["weights"]) for t in texts])
-        model["mean"], model["scale"] = every.mean(axis=0), every.std(axis=0) + 1e-6
+        usable = 0 < unfit[known].sum() < known.sum()
+        for weights, part in ((crossed[0], known & half), (crossed[1], known & ~half), (model["weights"], known)):
+            both = usable and 0 < unfit[part].sum() < part.sum()
+            weights[trait] = word_weights([t for t, p in zip(texts, part) if p], unfit[part]) if both else {}
+    if not texts:
+        return model
+    every = np.array([features(t, crossed[int(h)]) for t, h in zip(texts, half)])
+    model["mean"], model["scale"] = every.mean(axis=0), every.std(axis=0) + 1e-6
     for trait in TRAITS:
         known, unfit = marked[trait]
-        state = model["traits"].pop(trait)
-        if not state["usable"]:
+        if not model["weights"][trait]:
             continue
-        other = ~state["half"]
-        if len(set(unfit[other].tolist())) < 2:
-            other[:] = True
-        x = (every[known] - model["mean"]) / model["scale"]
-        base = float(np.clip(unfit.mean(), 1e-4, 1 - 1e-4))
-        model["traits"][trait] = {"beta": fit_logistic(x[other], unfit[other].astype(float)), "base": base}
+        x, y = (every[known] - model["mean"]) / model["scale"], unfit[known].astype(float)
+        base = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
+        model["traits"][trait] = {"beta": fit_logistic(x, y), "base": base}
     return model
 
 

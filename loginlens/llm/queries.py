@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import chat, decontaminate, packing, rollups, sharding, token_files, vptree
+from loginlens.llm import chat, decontaminate, line_join, order_minhash, packing, quality, rollups, sharding, token_files, vptree
 from loginlens.llm.common import fingerprint, table, with_row_id
 from loginlens.session import durable, run_dir
 
@@ -22,10 +22,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "alignments")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources; a source's languages are its paths."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = durable(quality.with_evidence(docs.select("doc_id", "source", "lang", "text"), model).drop("text"))
+    sites = quality.site_rates(scored, "source", "lang", model)
+    return quality.decide(scored, sites, "source", "lang").drop("_host", "_path")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_row_id(table(spark, sf_dir, "documents")).select("_row", "doc_id", "text")
+    return order_minhash.groups(rows).drop("_row")
+
+
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A year of one corpus: all documents come in, repeats go, then all are counted with a newer tokenizer.
 
@@ -70,17 +84,26 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vptree.build_index(vectors), vectors.where("vec_id % 20 = 0"), k=20, factor=0.25)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per line: its document and number, its class of equal lines, and how many other lines are linked."""
+    rows = with_row_id(table(spark, sf_dir, "documents")).select("_row", "doc_id", "text")
+    return line_join.judged_lines(rows).drop("_row").withColumnRenamed("at", "line_no")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_order_minhash": op4_order_minhash,
     "op5_token_rollup": op5_token_rollup,
     "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
     "op8_nearest": op8_nearest,
+    "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {

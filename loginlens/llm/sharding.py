@@ -43,6 +43,33 @@ def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS
     for i in np.argsort(-scaled.sum(axis=1), kind="stable"):
         chosen[i] = int(np.argmax(residual @ scaled[i]))
         residual[chosen[i]] -= scaled[i]
+    return level(vectors[:, 0], chosen, shards)
+
+
+def level(sizes: np.ndarray, chosen: np.ndarray, shards: int, rounds: int = 400) -> np.ndarray:
+    """Exchange vectors between the fullest and the emptiest shard while that narrows their gap in bytes."""
+    load = np.bincount(chosen, weights=sizes, minlength=shards)
+    for _ in range(rounds):
+        high, low = int(load.argmax()), int(load.argmin())
+        gap = load[high] - load[low]
+        ours, theirs = np.flatnonzero(chosen == high), np.append(np.flatnonzero(chosen == low), -1)
+        give = np.append(sizes, 0.0)[theirs]
+        order = np.argsort(give, kind="stable")
+        # For each of ours, the one of theirs whose exchange moves nearest to half the gap.
+        want = sizes[ours] - gap / 2
+        at = np.clip(np.searchsorted(give[order], want), 1, max(1, len(order) - 1))
+        near = [np.abs(want - give[order][np.clip(at - d, 0, len(order) - 1)]) for d in (0, 1)]
+        best = np.minimum(*near)
+        i = int(best.argmin()) if len(best) else -1
+        if i < 0 or best[i] >= gap / 2 - 1e-12 * max(1.0, gap):
+            break
+        j = theirs[order[np.clip(at[i] - (0 if near[0][i] <= near[1][i] else 1), 0, len(order) - 1)]]
+        moved = sizes[ours[i]] - (sizes[j] if j >= 0 else 0.0)
+        chosen[ours[i]] = low
+        if j >= 0:
+            chosen[j] = high
+        load[high] -= moved
+        load[low] += moved
     return chosen
 
 
