@@ -3,10 +3,14 @@
 A text is cut only where every encoding of the whole is the joined encodings of
 the parts, so the ids are those of one call on the whole text:
 
-* `words`: the tokenizer drops white space, and none of its rules look across it.
+* `words`: the tokenizer drops white space, none of its rules look across it, and
+  it lowers letters first (so those of ASCII may be lowered before).
 * `bytes`: byte-level rules in which a single space opens the word after it. A
   cut before a space, or around a newline, is safe where the neighbours are not
   white space themselves. Longer runs of white space stay with what follows.
+
+Both also cut between a letter and a point or comma, so that a word is known with
+and without one.
 * `whole`: no cutting, for any other tokenizer.
 """
 
@@ -21,9 +25,11 @@ import numpy as np
 
 #: White space as Unicode and the tokenizers' patterns define it (fixed values).
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and marks of punctuation between which every pattern cuts; a subset of either is enough.
+LETTER, POINT = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f", ".,;:!?|"
 CUTS = {
-    "words": re.compile(f"[^{WHITE}]+"),
-    "bytes": re.compile(f"\n(?=[^{WHITE}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"),
+    "words": re.compile(f"[{LETTER}]++(?=[{POINT}])|[^{WHITE}]+"),
+    "bytes": re.compile(f"\n(?=[^{WHITE}])| ?[{LETTER}]++(?=[{POINT}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"),
 }
 PLAIN = re.compile(f" ?[^{WHITE}]+")
 LONGEST = 64
@@ -47,6 +53,9 @@ class Encoder:
         if self.cut == "whole":
             return [self._bytes(e.ids) for e in
                     self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if self.cut == "words":  # no special token is spelt in capitals, so none may come into being
+            texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+                     if t and "<|" not in t else t for t in texts]
         pieces = [CUTS[self.cut].findall(t) if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
@@ -74,7 +83,7 @@ class Encoder:
         found: list[bytes] = []
         for first in range(0, len(pieces), 20_000):
             some = pieces[first:first + 20_000]
-            parts = [p if p[0] == " " else "\n" + p for p in some]
+            parts = [p if p[0] == " " else "\n" + p for p in some]  # a space or newline starts anew
             ends = np.cumsum([len(p) for p in parts])
             own = ends - [len(p) for p in some]
             encoded = self.tokenizer.encode("".join(parts), add_special_tokens=False)

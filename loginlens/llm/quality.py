@@ -48,6 +48,8 @@ TRAITS = ("low", "toxic")
 WORD = re.compile(r"\w+")
 BATCH = 256
 
+PREFIXES = (3, 5)
+
 _CLASS = np.zeros(256, dtype=np.int64)
 for _i in range(256):
     _c = chr(_i)
@@ -55,6 +57,14 @@ for _i in range(256):
                   else 5 if _c in "\r\n\t" else 6 if _c in ".,;:" else 7 if _c in "!?" else 8 if _i > 127 else 9)
 
 
+def marks(words: set[str] | Counter) -> set[str]:
+    """The words of a text and how they begin; beginnings stand for words too rare to be learned."""
+    found = set(words)
+    for k in PREFIXES:
+        found.update(["^" + w for w in {w[:k] for w in words}])
+    return found
+
+
 def features(text: str, weights: dict[str, dict[str, float]]) -> list[float]:
     """Shape of a text and, per trait, its most telling words."""
     raw = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)], minlength=10)
@@ -67,9 +77,10 @@ def features(text: str, weights: dict[str, dict[str, float]]) -> list[float]:
            sum(map(operator.eq, words, words[1:])) / n, max(distinct.values(), default=0) / n,
            raw[2] / letters, raw[3] / letters, raw[7] / n, raw[9] / n, raw[6] / n, raw[8] / letters,
            sum(map(len, words)) / n / 10, len(lines) / n, len(set(lines)) / len(lines)]
+    told_by = marks(distinct)
     for trait in TRAITS:
         table = weights[trait]
-        told = sorted((table[w] for w in distinct if w in table), reverse=True)
+        told = sorted([table[w] for w in told_by & table.keys()], reverse=True)
         top = [max(0.0, x) for x in told[:3]] + [0.0] * 3
         out += [top[0], top[1], top[2], sum(told) / math.sqrt(len(distinct) + 1.0)]
     return out
@@ -79,7 +90,7 @@ def word_weights(texts: list[str], unfit: np.ndarray) -> dict[str, float]:
     """Smoothed log ratio of the document frequencies of words, the most telling ones."""
     both = [Counter(), Counter()]
     for text, bad in zip(texts, unfit):
-        both[int(bad)].update(set(WORD.findall(text.lower())))
+        both[int(bad)].update(marks(set(WORD.findall(text.lower()))))
     n = [max(1, int((unfit == k).sum())) for k in (0, 1)]
     table = {}
     for word in both[0].keys() | both[1].keys():
