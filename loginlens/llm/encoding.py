@@ -28,8 +28,8 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and marks of punctuation between which every pattern cuts; a subset of either is enough.
 LETTER, POINT = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f", ".,;:!?|"
 CUTS = {
-    "words": re.compile(f"[{LETTER}]++(?=[{POINT}])|[^{WHITE}]+"),
-    "bytes": re.compile(f"\n(?=[^{WHITE}])| ?[{LETTER}]++(?=[{POINT}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"),
+    "words": re.compile(f"[{LETTER}]++(?:(?=[{POINT}])|[^{WHITE}]*)|[^{WHITE}]+"),
+    "bytes": re.compile(f" ?[{LETTER}]++(?:(?=[{POINT}])|[^{WHITE}]*)|\n(?=[^{WHITE}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"),
 }
 PLAIN = re.compile(f" ?[^{WHITE}]+")
 LONGEST = 64
