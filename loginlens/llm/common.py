@@ -29,8 +29,24 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
         df.select("_metadata.file_path", "_metadata.row_index")
     except Exception:  # not a file scan: Spark cannot resolve the column
         df = durable(df)
-    return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"),
-                                   F.col("_metadata.row_index").alias("at")).alias(name))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (name, "_metadata")]
+    return df.select(*kept, F.struct(F.xxhash64("_metadata.file_path").alias("file"),
+                                     F.col("_metadata.row_index").alias("at")).alias(name))
+
+
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """`_row`, the needed columns, and `_doc` with all columns, so that no name of theirs can clash."""
+    rows = docs
+    try:
+        docs.select("_metadata.row_index")
+    except Exception:  # not a file scan
+        rows = durable(docs)
+    return with_row_id(rows.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "_metadata"))
+
+
+def uncarried(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of `docs` out of `_doc`, some of them replaced."""
+    return rows.select(*[changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def div(a: Column | int, b: Column | int) -> Column:

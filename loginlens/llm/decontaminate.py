@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loginlens.llm.common import with_row_id
+from loginlens.llm.common import carried, uncarried
 from loginlens.session import durable
 
 WIDTH = 13
@@ -84,7 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, subs
                  masks: tuple[str, ...] = MASKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows `_row, doc_id, item_id, alignments`: a document row that repeats an item, and at how many shifts.
 
-    `docs` has `_row` (see `with_row_id`), `doc_id`, `text`; `benchmark` has
+    `docs` has `_row` (see `common.with_row_id`), `doc_id`, `text`; `benchmark` has
     `item_id, text`. The masks must be lossless for (width, substitutions).
     """
     items = (benchmark.select("item_id", words_of(F.col("text")).alias("item_words"))
@@ -122,9 +122,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, subs
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The documents that repeat no benchmark item, with their columns."""
-    rows = with_row_id(docs)
+    rows = carried(docs, "doc_id", "text")
     hit = durable(contaminated(rows, benchmark, **options).select("_row").distinct())
-    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+    return uncarried(rows.join(hit, "_row", "left_anti"), docs)
 
 
 ORACLE = r"""

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loginlens.llm.common import components, fingerprint, with_row_id
+from loginlens.llm.common import carried, components, fingerprint, uncarried
 from loginlens.session import durable
 
 WORD = re.compile(r"\w+")
@@ -262,6 +262,6 @@ def groups(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each group, with all its columns."""
-    rows = with_row_id(docs)
+    rows = carried(docs, "doc_id", "text")
     kept = durable(groups(rows.select("_row", "doc_id", "text"), least).where("keep").select("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return uncarried(rows.join(kept, "_row", "left_semi"), docs)

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loginlens.llm.common import uncarried
 from loginlens.session import durable
 
 SAMPLE = 8_000
@@ -236,3 +237,10 @@ def classify(docs: DataFrame, train: DataFrame, labels: DataFrame, host: str, pa
     model = fit(train, labels, sample)
     scored = durable(with_evidence(docs, model))
     return decide(scored, site_rates(scored, host, path, model), host, path)
+
+
+def drop_unfit(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int = SAMPLE) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    rows = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return uncarried(classify(rows, rows, labels, "host", "path", sample).where("keep"), docs)
