@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -59,10 +59,11 @@ class Encoder:
         pieces = [CUTS[self.cut].findall(t) if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
-        new = set(chain.from_iterable(pieces)) - self.known.keys()
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new = list(new - again)
+        new = list(filterfalse(self.known.__contains__, set(chain.from_iterable(pieces))))
+        if self.older:
+            again = [p for p in new if p in self.older]
+            self.known.update((p, self.older[p]) for p in again)
+            new = [p for p in new if p not in self.older]
         long = {}
         if new:
             short = [p for p in new if len(p) <= LONGEST and PLAIN.fullmatch(p)]

@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,7 @@ def items(text: str, width: int = SHINGLE) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))], dtype=np.uint64)
     if len(_known) > REMEMBER:
         _known.clear()
-    for w in set(words) - _known.keys():
+    for w in filterfalse(_known.__contains__, set(words)):
         _known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
     codes = np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
     span = min(width, len(codes))

@@ -167,8 +167,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, factor: float, block:
         own = rows["query_id"].to_numpy(np.int64)
         plain = np.array(rows["embedding"].tolist(), dtype=np.float64).reshape(len(own), -1)
         lifted = np.column_stack([plain, np.zeros(len(own))])
-        _, names = search(tree["tree"], tree["vectors"], tree["ids"], lifted, own, k, factor)
-        real = names.ravel() < np.iinfo(np.int64).max
+        away, names = search(tree["tree"], tree["vectors"], tree["ids"], lifted, own, k, factor)
+        real = np.isfinite(away.ravel())
         at = np.searchsorted(tree["ids"], names.ravel()[real])
         owner = np.repeat(np.arange(len(own)), k)[real]
         score = (plain[owner] * tree["vectors"][at, :-1]).sum(axis=1)

@@ -40,15 +40,15 @@ def test_factor_one_is_exact(embedded):
     assert found(index, frame.where("vec_id % 20 = 0"), 1.0) == brute(vectors, ids, 20)
 
 
-def test_recall_at_the_production_factor(embedded):
+def test_recall_at_the_production_factor():
     rng = np.random.default_rng(4)
-    vectors = rng.normal(size=(6_000, 64)) * rng.uniform(0.5, 2, size=(6_000, 1))
+    vectors = rng.normal(size=(6_000, 64)) * np.exp(rng.normal(size=(6_000, 1)))  # norms of a heavy tail
     lifted = np.column_stack([vectors, np.sqrt(np.maximum((vectors ** 2).sum(1).max() - (vectors ** 2).sum(1), 0))])
     ids, tree = np.arange(6_000), vptree.build(lifted)
     own = ids[ids % 20 == 0]
     queries = np.column_stack([vectors[own], np.zeros(len(own))])
     want = brute(vectors, ids, 20)
-    for factor, least in ((1.0, 1.0), (0.25, 0.95)):
+    for factor, least in ((1.0, 1.0), (0.9, 0.95)):
         _, names = vptree.search(tree, lifted, ids, queries, own, 20, factor)
         recall = np.mean([len(set(want[int(q)]) & set(n.tolist())) / 20 for q, n in zip(own, names)])
         assert recall >= least

@@ -108,8 +108,8 @@ def test_packing_keeps_the_mixture_in_every_round(spark):
     for number in sorted(at.unique())[:-1]:
         share = rows[at == number].groupby("source")["length"].sum() / rows[at == number]["length"].sum()
         assert (share - total).abs().max() < 0.15
-    wanted = packed(docs, targets={"big": 0.2, "middle": 0.4, "small": 0.4})
-    first = wanted[wanted["sequence_id"] < 32].groupby("source")["length"].sum()
+    wanted = packed(docs, targets={"big": 0.2, "middle": 0.4, "small": 0.4}, round_sequences=8)
+    first = wanted[wanted["sequence_id"] < 8].groupby("source")["length"].sum()
     assert abs(first["big"] / first.sum() - 0.2) < 0.05
     assert wanted["length"].sum() == rows["length"].sum()
 
