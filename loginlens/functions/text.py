@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,18 +15,30 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(T.StringType())
-def _ipv6_network(addresses: pd.Series) -> pd.Series:
-    """The /48 network of valid IPv6 text; anything else comes back unchanged."""
-    def network(text):
-        if text is None or ":" not in text:
-            return text
-        try:
-            plain = ipaddress.IPv6Address(text.split("%", 1)[0])
-            return str(ipaddress.IPv6Network((plain, 48), strict=False).network_address)
-        except ValueError:
-            return text
-    return addresses.map(network)
+def ipv6_groups(ip) -> Column:
+    """The eight groups of a valid IPv6 address, lower case; null for other text.
+
+    A dotted quad may end the address, `::` may stand once for one or more zero
+    groups, and a zone after `%` is ignored.
+    """
+    address = F.regexp_replace(F.lower(_col(ip)), "%[^%]+$", "")
+    quad = F.split(F.substring_index(address, ":", -1), r"\.")
+    octet = lambda i: F.get(quad, F.lit(i)).try_cast("int")
+    pair = lambda i: F.lower(F.hex(octet(i) * 256 + octet(i + 1)))
+    dotted = F.substring_index(address, ":", -1).rlike(IPV4_PATTERN)
+    head = F.substring(address, F.lit(1), F.length(address) - F.length(F.substring_index(address, ":", -1)))
+    plain = F.when(dotted, F.concat(head, pair(0), F.lit(":"), pair(2))).otherwise(address)
+    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+    short = plain.contains("::")
+    left = groups(F.when(short, F.substring_index(plain, "::", 1)).otherwise(plain))
+    right = groups(F.when(short, F.substring_index(plain, "::", -1)).otherwise(F.lit("")))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+    every = F.concat(left, F.when(short, zeros).otherwise(F.array().cast("array<string>")), right)
+    once = F.length(plain) - F.length(F.replace(plain, F.lit("::"), F.lit(""))) <= 2
+    sound = (plain.contains(":") & once & ~plain.contains(":::") & (F.size(every) == 8)
+             & (~short | (F.size(left) + F.size(right) <= 7))
+             & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
+    return F.when(sound, every)
 
 
 def anonymize_ipv4(ip="ip_address") -> Column:
@@ -39,20 +48,18 @@ def anonymize_ipv4(ip="ip_address") -> Column:
 
 
 def anonymize_ip(ip="ip_address") -> Column:
-    """IPv4 to its /24 and IPv6 to its /48 network; invalid text is unchanged.
-
-    IPv6 needs canonical text, hence a Python worker. Use :func:`anonymize_ipv4`
-    where the column is known to hold IPv4 only.
-    """
+    """IPv4 to its /24 and IPv6 to its /48 network; invalid text is unchanged."""
     ip = _col(ip)
-    return F.when(ip.contains(":"), _ipv6_network(ip)).otherwise(anonymize_ipv4(ip))
+    kept = F.transform(F.slice(ipv6_groups(ip), 1, 3), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    # Everything after the first three groups is zero, so the text ends in `::`, which takes in zeros before it.
+    network = F.concat(F.regexp_replace(F.array_join(kept, ":"), "(^|:)0(:0)*$", ""), F.lit("::"))
+    return F.when(ip.contains(":"), F.coalesce(network, ip)).otherwise(anonymize_ipv4(ip))
 
 
 def valid_ip(ip="ip_address") -> Column:
-    """Parseable address (IPv4 exactly, IPv6 by its alphabet); null is allowed."""
+    """Whether the text is an IPv4 or IPv6 address; null is allowed."""
     ip = _col(ip)
-    return ip.isNull() | ip.rlike(IPV4_PATTERN) | (
-        ip.contains(":") & ip.rlike(r"^[0-9A-Fa-f:.]{2,45}$"))
+    return ip.isNull() | ip.rlike(IPV4_PATTERN) | ipv6_groups(ip).isNotNull()
 
 
 def merge_maps(left, right, data_type: T.DataType) -> Column:

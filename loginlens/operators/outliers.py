@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from loginlens.functions import clock, stats
 from loginlens.operators.segments import SKEW, SkewPolicy, join_per_user, latest
-from loginlens.schema import (ADVANCED_MIN_ROWS, EVENT, HISTORY_LIMIT, MAHALANOBIS_MIN_ROWS,
-                              NEUTRAL, TIME, USER)
+from loginlens.schema import (ADVANCED_MIN_ROWS, EVENT, HISTORY_LIMIT, INSUFFICIENT,
+                              MAHALANOBIS_MIN_ROWS, NEUTRAL, TIME, USER)
 from loginlens.session import spread_evenly
 
 RIDGE = 1e-6
@@ -24,9 +24,9 @@ CONTAMINATION = 0.1
 CHUNK_ROWS = 20_000
 
 
-def recent_history(history: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
-    """The newest events of each user that the outlier models learn from."""
-    return latest(history, HISTORY_LIMIT, skew)
+def recent_history(history: DataFrame, skew: SkewPolicy = SKEW, history_limit: int | None = HISTORY_LIMIT) -> DataFrame:
+    """The newest events of each user that the outlier models learn from; all of them without a limit."""
+    return history if history_limit is None else latest(history, history_limit, skew)
 
 
 # --- Mahalanobis -------------------------------------------------------------
@@ -75,12 +75,13 @@ def _factor(s: dict[str, Column]) -> dict[str, Column]:
     return {"p1": p1, "p2": p2, "p3": p3, "l21": b / p1, "l31": c / p1, "l32": m / p2}
 
 
-def mahalanobis_model(history: DataFrame, skew: SkewPolicy = SKEW) -> DataFrame:
+def mahalanobis_model(history: DataFrame, skew: SkewPolicy = SKEW,
+                      history_limit: int | None = HISTORY_LIMIT) -> DataFrame:
     """One row per user: mean, factored covariance and whether it was degenerate.
 
     A nearly singular covariance gets a ridge of 1e-6 on its diagonal.
     """
-    s = covariance_stats(recent_history(history, skew)).where("n > 1")
+    s = covariance_stats(recent_history(history, skew, history_limit)).where("n > 1")
     keys = ("xx", "xy", "xh", "yy", "yh", "hh")
     plain = _factor({k: F.col(f"cov_{k}") for k in keys})
     sound = ((F.col("cov_xx") > 0)
@@ -119,7 +120,7 @@ def mahalanobis_columns(joined: DataFrame, min_rows: int = MAHALANOBIS_MIN_ROWS,
         F.when(enough, F.lit(1.0) - F.col("mahalanobis_score")).alias("p_value"),
         F.when(enough, 3).alias("degrees_of_freedom"),
         F.when(enough, F.col("degenerate")).alias("degenerate"),
-        F.when(~enough, "Insufficient data").alias("message"))
+        F.when(~enough, INSUFFICIENT).alias("message"))
     return (rows.withColumn("mahalanobis_score", score)
             .withColumn("mahalanobis_details", details).drop("_d", *_MODEL))
 
@@ -153,10 +154,11 @@ class IsolationForest:
     node is one more candidate column. All trees grow together, level by level.
     """
 
-    def __init__(self, numeric: np.ndarray, category: np.ndarray, seed: int, trees: int = TREES):
+    def __init__(self, numeric: np.ndarray, category: np.ndarray, seed: int, trees: int = TREES,
+                 subsample: int = SUBSAMPLE, contamination: float = CONTAMINATION):
         rng = np.random.default_rng(seed)
         rows = len(numeric)
-        self.sample = min(SUBSAMPLE, rows)
+        self.sample = min(subsample, rows)
         self.depth = int(np.ceil(np.log2(max(self.sample, 2))))
         slots = 2 ** (self.depth + 1)
         self.column = np.full((trees, slots), -1)
@@ -207,7 +209,7 @@ class IsolationForest:
             node[target] = 2 * node[target] + 1 + right[moved]
             self._count(tree[target], node[target], slots)
             live[members[~moved]] = False
-        self.offset = np.percentile(self.scores(numeric, category), 100 * CONTAMINATION)
+        self.offset = np.percentile(self.scores(numeric, category), 100 * contamination)
 
     def _count(self, tree: np.ndarray, node: np.ndarray, slots: int) -> None:
         self.size += np.bincount(tree * slots + node, minlength=self.size.size).reshape(self.size.shape)
@@ -247,14 +249,22 @@ def _seed(user: str) -> int:
     return int.from_bytes(hashlib.blake2b(str(user).encode(), digest_size=8).digest(), "big")
 
 
-def _score_chunk(logins: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
+def _chunk_scorer(trees: int, subsample: int, contamination: float):
+    def score(logins: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
+        return _score_chunk(logins, history, trees, subsample, contamination)
+    return score
+
+
+def _score_chunk(logins: pd.DataFrame, history: pd.DataFrame, trees: int, subsample: int,
+                 contamination: float) -> pd.DataFrame:
     out = logins[[USER, EVENT]].copy()
-    out["isolation_forest_score"], out["raw_score"], out["message"] = NEUTRAL, np.nan, "Insufficient data"
+    out["isolation_forest_score"], out["raw_score"], out["message"] = NEUTRAL, np.nan, INSUFFICIENT
     if logins.empty or len(history) < ADVANCED_MIN_ROWS:
         return out
     history = history.sort_values([TIME, EVENT])
     codes, known = pd.factorize(history["device_id"])
-    forest = IsolationForest(history[_FEATURES].to_numpy(), codes, _seed(logins[USER].iloc[0]))
+    forest = IsolationForest(history[_FEATURES].to_numpy(), codes, _seed(logins[USER].iloc[0]), trees, subsample,
+                             contamination)
     seen = pd.Index(known).get_indexer(logins["device_id"])
     raw = forest.decision(logins[_FEATURES].to_numpy(), seen)
     out["raw_score"] = raw
@@ -269,17 +279,19 @@ def _model_columns(df: DataFrame) -> DataFrame:
 
 
 def isolation_forest_scores(logins: DataFrame, history: DataFrame, skew: SkewPolicy = SKEW,
-                            chunk_rows: int = CHUNK_ROWS, login_skew: SkewPolicy = SKEW) -> DataFrame:
+                            chunk_rows: int = CHUNK_ROWS, login_skew: SkewPolicy = SKEW,
+                            history_limit: int = HISTORY_LIMIT, trees: int = TREES, subsample: int = SUBSAMPLE,
+                            contamination: float = CONTAMINATION) -> DataFrame:
     """Score logins against a forest of their user's recent history.
 
     The forest is seeded by the user, so it can be grown again for every chunk
     of a busy user's logins: a task holds at most about ``chunk_rows`` logins
-    and the bounded history, never a whole user.
+    and the newest ``history_limit`` events that it learns from, never a whole user.
     """
     chunks = logins.groupBy(USER).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("_chunks"))
     spread = (join_per_user(_model_columns(logins), chunks, login_skew)
               .withColumn("chunk", F.pmod(F.xxhash64(EVENT), F.col("_chunks")).cast("int")).drop("_chunks"))
-    copies = (_model_columns(recent_history(history, skew)).join(chunks, USER)
+    copies = (_model_columns(recent_history(history, skew, history_limit)).join(chunks, USER)
               .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks"))
     # Fresh column ids: logins and history usually stem from one table.
     copies = copies.toDF(*copies.columns)
@@ -287,4 +299,4 @@ def isolation_forest_scores(logins: DataFrame, history: DataFrame, skew: SkewPol
     # partitions: AQE would merge them by size.
     spread, copies = (spread_evenly(df, USER, "chunk") for df in (spread, copies))
     return (spread.groupBy(USER, "chunk").cogroup(copies.groupBy(USER, "chunk"))
-            .applyInPandas(_score_chunk, _SCORED))
+            .applyInPandas(_chunk_scorer(trees, subsample, contamination), _SCORED))

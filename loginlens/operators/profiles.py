@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loginlens.functions import clock, geo
 from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, join_per_user, latest
-from loginlens.schema import EVENT, HISTORY_LIMIT, ORDER, TIME, USER
+from loginlens.schema import EVENT, ORDER, TIME, USER
 from loginlens.session import durable
 
 CELL = ("cell_lat", "cell_lon")
@@ -255,17 +255,21 @@ def merge_locations(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_profiles(old: Profile, batch: DataFrame, stored: DataFrame,
-                   skew: SkewPolicy = SKEW) -> Profile:
+                   skew: SkewPolicy = SKEW, history_limit: int | None = None) -> Profile:
     """Fold a batch into a profile.
 
     Counters add up, so only the batch is aggregated. Gap and spread metrics of
-    users in the batch are recomputed from their newest stored events (which
-    include the batch); a user new in this batch gets them from the batch.
+    users in the batch are recomputed from their stored events (which include the
+    batch), or from the newest ``history_limit`` of them; a user new in this batch
+    gets them from the batch. Without a limit the result equals a profile built
+    from all events.
     """
     counted = user_counters(batch)
     touched = counted["totals"]
     known = touched.join(old.totals.select(USER), USER, "left_semi").select(USER)
-    recent = latest(stored.join(known, USER, "left_semi"), HISTORY_LIMIT, skew)
+    recent = stored.join(known, USER, "left_semi")
+    if history_limit is not None:
+        recent = latest(recent, history_limit, skew)
     fresh = batch.join(old.totals.select(USER), USER, "left_anti")
     # Read several times below, and recency ranking is costly: keep it.
     rows = durable(recent.select(*LOGIN_METRIC_COLUMNS).unionByName(fresh.select(*LOGIN_METRIC_COLUMNS)))
@@ -296,6 +300,7 @@ def apply_logins(profile: Profile, logins: DataFrame) -> Profile:
 
 def upsert(existing: DataFrame, updates: DataFrame, key: str = USER) -> DataFrame:
     """Replace every row of the keys present in ``updates``."""
+    updates = durable(updates)  # read twice
     kept = existing.join(updates.select(key).distinct(), key, "left_anti")
     return kept.unionByName(updates)
 
@@ -318,31 +323,11 @@ def flat_profile(profile: Profile) -> DataFrame:
     return out
 
 
-MAP_ENTRIES = 10_000
+def nested_profile(profile: Profile) -> DataFrame:
+    """One row per user, at any size: totals, hour and weekday maps, metrics.
 
-
-def _map_parts(table: DataFrame, key, value, name: str, entries: int) -> DataFrame:
-    """(user, part, map): a user's pairs, split by hash once they exceed ``entries``."""
-    sizes = table.groupBy(USER).agg(F.ceil(F.count("*") / entries).alias("_parts"))
-    pairs = F.collect_list(F.struct(key.alias("key"), value.alias("value")))
-    part = F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")
-    return (table.join(sizes, USER).groupBy(USER, part.alias("part"))
-            .agg(F.map_from_entries(pairs).alias(name)))
-
-
-def nested_profile(profile: Profile, entries: int = MAP_ENTRIES) -> DataFrame:
-    """Map-typed view with the whole profile of a user in one row, ``part`` 0.
-
-    Only a user with more than ``entries`` devices or cells gets further rows
-    with the rest of the maps, so that no row grows without bound.
+    Devices and cells, which have no bound, are the rows of ``nested_entries``.
     """
-    devices = _map_parts(profile.devices, F.col("device_id"),
-                         F.struct("count", "percentage", "first_seen", "last_seen"), "devices", entries)
-    cell = F.concat_ws("_", F.format_string("%.3f", F.col("cell_lat") / 1000.0),
-                       F.format_string("%.3f", F.col("cell_lon") / 1000.0))
-    places = _map_parts(profile.locations, cell, F.struct("count", "lat", "lon", "first_seen", "last_seen"),
-                        "locations", entries)
-
     def as_map(table, key, name):
         return table.groupBy(USER).agg(F.map_from_entries(F.collect_list(F.struct(key, "count"))).alias(name))
 
@@ -352,9 +337,31 @@ def nested_profile(profile: Profile, entries: int = MAP_ENTRIES) -> DataFrame:
     out = (profile.totals.join(as_map(profile.hours, "hour", "hour_distribution"), USER, "left")
            .join(as_map(profile.days, "day", "day_of_week_distribution"), USER, "left")
            .join(metrics, USER, "left"))
-    out = out.withColumn("time_patterns", F.struct("hour_distribution", "day_of_week_distribution"))
-    return (devices.join(places, [USER, "part"], "full")
-            .join(out.drop("hour_distribution", "day_of_week_distribution"), USER))
+    return (out.withColumn("time_patterns", F.struct("hour_distribution", "day_of_week_distribution"))
+            .drop("hour_distribution", "day_of_week_distribution"))
+
+
+#: Buckets of ``nested_entries``: a user's devices and cells are dealt over so many map rows.
+ENTRY_BUCKETS = 64
+
+
+def nested_entries(profile: Profile, buckets: int = ENTRY_BUCKETS) -> DataFrame:
+    """Devices and cells of every user as maps, in rows keyed (user, bucket) by a hash of the map key.
+
+    Every user is bucketed alike; empty buckets have no row.
+    """
+    def maps(table, key, value, name):
+        keyed = table.select(USER, key.alias("key"), value.alias("value"))
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+        return keyed.groupBy(USER, bucket).agg(
+            F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(name))
+
+    cell = F.concat_ws("_", F.format_string("%.3f", F.col("cell_lat") / 1000.0),
+                       F.format_string("%.3f", F.col("cell_lon") / 1000.0))
+    devices = maps(profile.devices, F.col("device_id"),
+                   F.struct("count", "percentage", "first_seen", "last_seen"), "devices")
+    places = maps(profile.locations, cell, F.struct("count", "lat", "lon", "first_seen", "last_seen"), "locations")
+    return devices.join(places, [USER, "bucket"], "full")
 
 
 def ingest_stats(batch: DataFrame, profiles: DataFrame) -> DataFrame:

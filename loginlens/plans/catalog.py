@@ -136,11 +136,11 @@ def _(spark, sf):
     path = run_dir(spark, "envelope")
     event = F.struct(USER, F.date_format(TIME, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(TIME),
                      "latitude", "longitude", "device_id", "ip_address")
-    # One envelope per line and event: nothing is gathered to build them.
-    envelope = F.struct(F.array(event).alias("login_events"))
-    logins(spark, sf).select(F.to_json(envelope)).write.text(path)
-    rows = spark.read.schema(readers.ENVELOPE_SCHEMA).json(path).select(F.inline("login_events"))
-    return _plain_time(rows, TIME)
+    # Envelopes of a bounded number of events each, one per line.
+    envelope = F.struct(F.collect_list(event).alias("login_events"))
+    rows = logins(spark, sf).groupBy(F.floor(F.col(EVENT) / 100).alias("part")).agg(F.to_json(envelope).alias("value"))
+    rows.select("value").write.text(path)
+    return _plain_time(readers.scan_json_envelope(spark, path, multi_line=False), TIME)
 
 
 @query("scan_parquet", _FILE_ROWS, "logins")
@@ -218,8 +218,9 @@ def _(spark, sf):
 def _(spark, sf):
     rows = logins(spark, sf)
     wanted = profiles.build_profile(rows).of_users(_before(rows, o.NOON_OF_FIRST_DAY))
-    return profiles.nested_profile(wanted).groupBy(USER, "total_logins", "first_login", "last_login").agg(
+    entries = profiles.nested_entries(wanted).groupBy(USER).agg(
         F.sum(F.size("devices")).alias("devices"), F.sum(F.size("locations")).alias("locations"))
+    return profiles.nested_profile(wanted).select(USER, "total_logins", "first_login", "last_login").join(entries, USER)
 
 
 @query("upsert_profiles", """
@@ -350,7 +351,7 @@ def _(spark, sf):
 _FLAGS = """SELECT event_id, user_id IS NOT NULL AS has_user, device_id IS NOT NULL AS has_device,
   "timestamp" IS NOT NULL AS has_time,
   coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false) AS has_coordinates,
-  ip_address IS NULL OR ip_address <> '300.1.1.1' AS has_valid_ip FROM typed_raw"""
+  ip_address IS NULL OR ip_address NOT IN ('300.1.1.1', ':::', '1:2', '1::2::3', '2001:db8::12345') AS has_valid_ip FROM typed_raw"""
 
 
 @query("login_quality", f"""SELECT *, has_user AND has_device AND has_time AND has_coordinates AND has_valid_ip AS is_valid
@@ -806,13 +807,21 @@ def _(spark, sf):
     return outliers.isolation_forest_scores(fresh(spark, sf), hist(spark, sf))
 
 
-@query("mahalanobis_score", """SELECT event_id, user_id, round(d, 6) AS distance, round(score, 6) AS score
-  FROM fresh_mahalanobis WHERE n >= 5""", "fresh_mahalanobis")
+@query("mahalanobis_score", """
+  SELECT f.event_id, f.user_id, CASE WHEN n.n >= 5 THEN n.degenerate END AS degenerate,
+    CASE WHEN n.n >= 5 THEN round(m.d, 6) END AS distance,
+    CASE WHEN coalesce(n.n, 0) < 5 THEN 0.5 ELSE round(m.score, 6) END AS score
+  FROM fresh f LEFT JOIN hist_model n ON n.user_id = f.user_id
+  LEFT JOIN fresh_mahalanobis m ON m.event_id = f.event_id""", "fresh_mahalanobis")
 def _(spark, sf):
     rows = outliers.with_mahalanobis(fresh(spark, sf), outliers.mahalanobis_model(hist(spark, sf)))
-    return rows.where("NOT mahalanobis_details.degenerate").select(
-        EVENT, USER, F.round("mahalanobis_details.mahalanobis_distance", 6).alias("distance"),
-        F.round("mahalanobis_score", 6).alias("score"))
+    # The figure of a degenerate model hangs on the last bits of its ridge, so its rows show the flag alone.
+    degenerate = F.col("mahalanobis_details.degenerate")
+    sound = ~F.coalesce(degenerate, F.lit(False))
+    return rows.select(
+        EVENT, USER, degenerate.alias("degenerate"),
+        F.when(sound, F.round("mahalanobis_details.mahalanobis_distance", 6)).alias("distance"),
+        F.when(sound, F.round("mahalanobis_score", 6)).alias("score"))
 
 
 @query("identify_patterns")
@@ -893,17 +902,18 @@ def _(spark, sf):
 
 @query("advanced_gate", """
   SELECT l.event_id, l.user_id, coalesce(n.n >= 10, false) AS scored,
+    coalesce(g.degenerate AND n.n >= 10, false) AS degenerate,
     round(CASE WHEN n.n >= 10 THEN m.score ELSE 0.5::DOUBLE END, 6) AS score
   FROM after_start l LEFT JOIN start_cov n ON n.user_id = l.user_id
-  LEFT JOIN start_model g ON g.user_id = l.user_id LEFT JOIN after_start_mahalanobis m ON m.event_id = l.event_id
-  WHERE NOT coalesce(g.degenerate AND n.n >= 10, false)""", "after_start_mahalanobis")
+  LEFT JOIN start_model g ON g.user_id = l.user_id LEFT JOIN after_start_mahalanobis m ON m.event_id = l.event_id""", "after_start_mahalanobis")
 def _(spark, sf):
     rows = logins(spark, sf)
     model = outliers.mahalanobis_model(_before(rows, o.FIFTH_DAY))
     out = outliers.with_mahalanobis(_since(rows, o.FIFTH_DAY), model, min_rows=10)
     gated = F.col("mahalanobis_details.message").isNull()
-    return out.where(~F.coalesce("mahalanobis_details.degenerate", F.lit(False))).select(
-        EVENT, USER, gated.alias("scored"), F.round("mahalanobis_score", 6).alias("score"))
+    degenerate = F.coalesce("mahalanobis_details.degenerate", F.lit(False))
+    return out.select(EVENT, USER, gated.alias("scored"), degenerate.alias("degenerate"),
+                      F.when(~degenerate, F.round("mahalanobis_score", 6)).alias("score"))
 
 
 def _analysis(spark, sf, isolation: bool):
@@ -913,7 +923,8 @@ def _analysis(spark, sf, isolation: bool):
 
 
 @query("analyze_logins_native", """
-  SELECT event_id, user_id, stored, round(c, 6) AS combined_score, c > 0.7::DOUBLE AS is_anomalous,
+  SELECT event_id, user_id, stored, stored AND coalesce(degenerate, false) AS degenerate,
+    round(c, 6) AS combined_score, c > 0.7::DOUBLE AS is_anomalous,
     CASE WHEN stored THEN round(location, 6) ELSE 0.5 END AS location_score,
     CASE WHEN stored THEN round(device, 6) ELSE 0.5 END AS device_score,
     CASE WHEN stored THEN round("time", 6) ELSE 0.5 END AS time_score,
@@ -921,13 +932,19 @@ def _analysis(spark, sf, isolation: bool):
     CASE WHEN stored THEN round(mahalanobis, 6) ELSE 0.5 END AS mahalanobis_score
   FROM (SELECT *, CASE WHEN stored THEN """ + _COMBINED.format(
       location="location", device="device", time='"time"', velocity="velocity", forest="0.5::DOUBLE",
-      mahalanobis="mahalanobis") + """ ELSE 0.5 END AS c FROM fresh_scores) WHERE NOT (stored AND degenerate)""",
+      mahalanobis="mahalanobis") + """ ELSE 0.5 END AS c
+    FROM (SELECT * REPLACE (CASE WHEN coalesce(degenerate, false) AND n >= 10 THEN NULL ELSE mahalanobis END AS mahalanobis,
+                            coalesce(degenerate, false) AND n >= 10 AS degenerate) FROM fresh_scores))""",
        "fresh_scores")
 def _(spark, sf):
     out = _analysis(spark, sf, isolation=False)
-    return out.where(~F.coalesce("mahalanobis_details.degenerate", F.lit(False))).select(
-        EVENT, USER, "stored", "is_anomalous", F.round("combined_score", 6).alias("combined_score"),
-        *[F.round(f"{n}_score", 6).alias(f"{n}_score") for n in WEIGHTS if n != "isolation_forest"])
+    # As in mahalanobis_score: what hangs on a degenerate model is left null, its row and the other scores stay.
+    degenerate = F.coalesce("mahalanobis_details.degenerate", F.lit(False))
+    sure = lambda c: F.when(~degenerate, c)
+    return out.select(
+        EVENT, USER, "stored", degenerate.alias("degenerate"), sure(F.col("is_anomalous")).alias("is_anomalous"),
+        sure(F.round("combined_score", 6)).alias("combined_score"), sure(F.round("mahalanobis_score", 6)).alias("mahalanobis_score"),
+        *[F.round(f"{n}_score", 6).alias(f"{n}_score") for n in WEIGHTS if n not in ("isolation_forest", "mahalanobis")])
 
 
 @query("analyze_logins")
@@ -936,20 +953,35 @@ def _(spark, sf):
 
 
 @query("detector_details", """
-  SELECT s.event_id, s.user_id, l.km AS distance_km, l.cluster AS closest_cluster, d.device_status,
-    d.previous_usage_count, t.login_hour, t.hour_count, t.day_count, v.km AS moved_km,
-    round(v.gap_h, 6) AS time_diff_hours
-  FROM fresh_scores s JOIN fresh_location l ON l.event_id = s.event_id
+  SELECT s.event_id, s.user_id, s.stored, CASE WHEN s.stored THEN l.km END AS distance_km,
+    CASE WHEN s.stored THEN l.cluster END AS closest_cluster,
+    CASE WHEN s.stored THEN round(l.std_distance, 6) END AS cluster_std_distance,
+    CASE WHEN s.stored THEN round(l.z, 4) END AS z_score,
+    CASE WHEN s.stored THEN d.device_status END AS device_status,
+    CASE WHEN s.stored THEN d.previous_usage_count END AS previous_usage_count,
+    CASE WHEN s.stored THEN d.previous_usage_percent END AS previous_usage_percent,
+    CASE WHEN s.stored THEN t.login_hour END AS login_hour, CASE WHEN s.stored THEN t.login_day END AS login_day,
+    CASE WHEN s.stored THEN t.hour_frequency END AS hour_frequency,
+    CASE WHEN s.stored THEN t.day_frequency END AS day_frequency,
+    CASE WHEN s.stored THEN t.hour_count END AS hour_count, CASE WHEN s.stored THEN t.day_count END AS day_count,
+    CASE WHEN s.stored AND v.gap_h > 0 THEN v.km END AS moved_km,
+    CASE WHEN s.stored AND v.gap_h > 0 THEN round(v.gap_h, 6) END AS time_diff_hours,
+    CASE WHEN s.stored AND v.gap_h > 0 THEN v.prev_lat END AS prev_lat,
+    CASE WHEN s.stored AND v.gap_h > 0 THEN v.prev_lon END AS prev_lon
+  FROM fresh_scores s LEFT JOIN fresh_location l ON l.event_id = s.event_id
   JOIN fresh_device d ON d.event_id = s.event_id JOIN fresh_time t ON t.event_id = s.event_id
-  JOIN fresh_velocity v ON v.event_id = s.event_id WHERE s.stored AND v.gap_h > 0""", "fresh_scores")
+  JOIN fresh_velocity v ON v.event_id = s.event_id""", "fresh_scores")
 def _(spark, sf):
     out = _analysis(spark, sf, isolation=False)
-    return out.where("stored AND velocity_details.message IS NULL").select(
-        EVENT, USER, "location_details.distance_km", "location_details.closest_cluster",
-        "device_details.device_status", "device_details.previous_usage_count", "time_details.login_hour",
-        "time_details.hour_count", "time_details.day_count",
+    return out.select(
+        EVENT, USER, "stored", "location_details.distance_km", "location_details.closest_cluster",
+        F.round("location_details.cluster_std_distance", 6).alias("cluster_std_distance"),
+        F.round("location_details.z_score", 4).alias("z_score"),
+        "device_details.device_status", "device_details.previous_usage_count", "device_details.previous_usage_percent",
+        *[f"time_details.{c}" for c in ("login_hour", "login_day", "hour_frequency", "day_frequency", "hour_count", "day_count")],
         F.col("velocity_details.distance_km").alias("moved_km"),
-        F.round("velocity_details.time_diff_hours", 6).alias("time_diff_hours"))
+        F.round("velocity_details.time_diff_hours", 6).alias("time_diff_hours"),
+        "velocity_details.prev_lat", "velocity_details.prev_lon")
 
 
 _REPLAY_SQL = """SELECT event_id, user_id, "timestamp", total_logins, device_score, time_score, velocity_score FROM replay"""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loginlens.operators.identify import identify_patterns
 from loginlens.operators.profiles import (Profile, build_profile, ingest_stats, merge_profiles, upsert)
 from loginlens.operators.segments import SKEW, SkewPolicy, latest
-from loginlens.schema import HISTORY_LIMIT, USER, require_columns
+from loginlens.operators.quality import ensure_valid
+from loginlens.schema import EVENT, TIME, USER, require_columns
 from loginlens.session import durable
 from loginlens.sources.sinks import login_events
 
@@ -38,20 +39,33 @@ def stored_events(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
 
 
 def process_logins(batch: DataFrame, store: str, batch_id: int, previous: int | None,
-                   history: str = "latest_n", skew: SkewPolicy = SKEW) -> DataFrame:
+                   history: str = "stored", skew: SkewPolicy = SKEW, history_limit: int | None = None) -> DataFrame:
     """Ingest one batch and return (users_processed, new_users, updated_users).
 
     Every table is written below a directory of this batch, so running the same
-    batch again replaces its own output and never the input. Patterns of the
-    batch's users come from their newest stored events, or with
-    ``history='batch'`` from the batch alone.
+    batch again replaces its own output and never the input. Rows that fail the
+    quality checks go to a reject table; logins stored by an earlier batch are
+    not stored or counted again. Patterns and metrics of the batch's users come
+    from their stored events (or the newest ``history_limit`` of them), in the
+    first batch as in later ones; ``history='batch'`` takes patterns from the
+    batch alone.
     """
-    if history not in ("latest_n", "batch"):
-        raise ValueError("history must be 'latest_n' or 'batch'")
+    if history not in ("stored", "batch"):
+        raise ValueError("history must be 'stored' or 'batch'")
     spark = batch.sparkSession
     require_columns(batch)
     events_path, target = f"{store}/events/batch_id={batch_id}", _snapshot_path(store, batch_id)
-    login_events(batch).write.mode("overwrite").parquet(events_path)
+    valid = ensure_valid(batch)
+    batch.join(valid.select(EVENT).distinct(), EVENT, "left_anti").write.mode("overwrite").parquet(
+        f"{store}/rejects/batch_id={batch_id}")
+    events = login_events(valid)
+    if previous is not None:
+        # Only stored events of the batch's own time range can be repeats; the range prunes the scan.
+        ends = valid.agg(F.min(TIME).alias("low"), F.max(TIME).alias("high")).first()
+        if ends["low"] is not None:
+            before = stored_events(spark, store, previous).where(F.col(TIME).between(ends["low"], ends["high"]))
+            events = events.join(before.select(EVENT), EVENT, "left_anti")
+    events.write.mode("overwrite").parquet(events_path)
     logins = spark.read.parquet(events_path)
 
     if previous is None:
@@ -61,11 +75,12 @@ def process_logins(batch: DataFrame, store: str, batch_id: int, previous: int |
     else:
         old = Snapshot.read(spark, _snapshot_path(store, previous))
         stored = stored_events(spark, store, batch_id)
-        profile = merge_profiles(old.profile, logins, stored, skew)
+        profile = merge_profiles(old.profile, logins, stored, skew, history_limit)
         stats = ingest_stats(logins, old.profile.totals)
         touched = logins.select(USER).distinct()
-        source = logins if history == "batch" else latest(
-            stored.join(touched, USER, "left_semi"), HISTORY_LIMIT, skew).drop("recency")
+        source = logins if history == "batch" else stored.join(touched, USER, "left_semi")
+    if history_limit is not None:
+        source = latest(source, history_limit, skew).drop("recency")
     stats = durable(stats)
     profile.write(f"{target}/profile")
     patterns = identify_patterns(source, skew=skew)

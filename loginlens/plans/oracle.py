@@ -131,7 +131,10 @@ table("raw", """
          WHEN event_id % 61 = 0 THEN NULL ELSE CAST(latitude AS VARCHAR) END AS latitude,
     CASE WHEN event_id % 67 = 0 THEN '-180.5' ELSE CAST(longitude AS VARCHAR) END AS longitude,
     CASE WHEN event_id % 71 = 0 THEN NULL ELSE device_id END AS device_id,
-    CASE WHEN event_id % 37 = 0 THEN '300.1.1.1' WHEN event_id % 43 = 0 THEN NULL ELSE ip_address END AS ip_address
+    CASE WHEN event_id % 37 = 0 THEN '300.1.1.1' WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 73 = 0 THEN ':::'
+         WHEN event_id % 79 = 0 THEN '1:2' WHEN event_id % 83 = 0 THEN '1::2::3'
+         WHEN event_id % 89 = 0 THEN '2001:db8::12345' WHEN event_id % 97 = 0 THEN '2001:DB8::1:2'
+         WHEN event_id % 101 = 0 THEN '::ffff:10.0.0.1' ELSE ip_address END AS ip_address
   FROM logins""", "logins")
 
 table("typed_raw", """
@@ -384,7 +387,7 @@ table("fresh_location", f"""
 table("fresh_scores", """
   SELECT f.event_id, f.user_id, h.user_id IS NOT NULL AND l.event_id IS NOT NULL AS stored,
     l.score AS location, d.score AS device, t.score AS "time", v.score AS velocity,
-    CASE WHEN n.n >= 10 THEN m.score ELSE 0.5::DOUBLE END AS mahalanobis, n.degenerate
+    CASE WHEN n.n >= 10 THEN m.score ELSE 0.5::DOUBLE END AS mahalanobis, n.degenerate, n.n
   FROM fresh f LEFT JOIN hist_totals h ON h.user_id = f.user_id
   LEFT JOIN fresh_location l ON l.event_id = f.event_id JOIN fresh_device d ON d.event_id = f.event_id
   JOIN fresh_time t ON t.event_id = f.event_id JOIN fresh_velocity v ON v.event_id = f.event_id

@@ -37,11 +37,14 @@ WEIGHTS = {
 }
 THRESHOLD = 0.7
 NEUTRAL = 0.5
+#: Message of a model that has too few logins to learn from.
+INSUFFICIENT = "too_few_logins"
 
 # Lower speed bound in km/h (strict >) and the score above it.
 VELOCITY_TIERS = ((1000.0, 1.0), (800.0, 0.9), (300.0, 0.6), (150.0, 0.3), (80.0, 0.1))
 
-#: Newest events of a user that the metric and outlier models look at.
+#: Default of the `history_limit` arguments of the outlier models: the newest events of a user that they
+#: learn from. None means all.
 HISTORY_LIMIT = 1000
 ADVANCED_MIN_ROWS = 10
 MAHALANOBIS_MIN_ROWS = 5

@@ -63,6 +63,9 @@ def raw_logins(logins: DataFrame) -> DataFrame:
     """
     event = F.col("event_id")
     ip = (F.when(event % 37 == 0, "300.1.1.1").when(event % 43 == 0, F.lit(None).cast("string"))
+          .when(event % 73 == 0, ":::").when(event % 79 == 0, "1:2").when(event % 83 == 0, "1::2::3")
+          .when(event % 89 == 0, "2001:db8::12345").when(event % 97 == 0, "2001:DB8::1:2")
+          .when(event % 101 == 0, "::ffff:10.0.0.1")
           .otherwise(F.col("ip_address")))
     return logins.select(
         "event_id", "user_id",

@@ -94,9 +94,9 @@ ENVELOPE_SCHEMA = T.StructType([T.StructField("login_events", T.ArrayType(T.Stru
 
 
 def scan_json_envelope(spark: SparkSession, path: str, field: str = "login_events",
-                       schema: T.StructType = ENVELOPE_SCHEMA) -> DataFrame:
-    """An object with one array of events, as a table of events."""
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline(field))
+                       schema: T.StructType = ENVELOPE_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """An object with one array of events, as a table of events; one object per line with ``multi_line=False``."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line).select(F.inline(field))
 
 
 def scan_parquet(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -13,11 +13,14 @@ DETAILS = tuple(f"{name}_details" for name in WEIGHTS)
 
 
 def login_events(logins: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """Logins in stored form: verdict, score and details where a result exists."""
+    """Logins in stored form: verdict, score and details where a result exists.
+
+    Of several rows with one event id the earliest stays.
+    """
     columns = [EVENT, USER, TIME, "latitude", "longitude", "device_id", "ip_address"]
-    rows = logins.dropDuplicates([EVENT])
-    if "ip_address" not in rows.columns:
-        rows = rows.withColumn("ip_address", F.lit(None).cast("string"))
+    rows = logins if "ip_address" in logins.columns else logins.withColumn("ip_address", F.lit(None).cast("string"))
+    rows = (rows.groupBy(EVENT).agg(F.min(F.struct(TIME, *[c for c in columns if c not in (EVENT, TIME)])).alias("_first"))
+            .select(EVENT, "_first.*"))
     if results is None:
         return rows.select(*columns, F.lit(False).alias("is_anomalous"), F.lit(0.0).alias("anomaly_score"),
                            F.lit(None).cast("string").alias("details"))
@@ -33,14 +36,12 @@ def login_events(logins: DataFrame, results: DataFrame | None = None) -> DataFra
 def append_login_events(events: DataFrame, path: str) -> None:
     """Append to the event table, partitioned by day.
 
-    Hashing by (day, user, id) keeps the files of one day few without putting a
-    busy user's day into one task; the id part spreads each user over a few
-    writers.
+    Rows are rebalanced by day: small days share a task, and a large day is split
+    by its size, whatever the volume.
     """
     dated = (events.withColumn("login_date", F.to_date(TIME))
              .withColumn("created_at", F.current_timestamp()))
-    writer = F.pmod(F.xxhash64(EVENT), F.lit(16))
-    dated.repartition("login_date", writer).write.mode("append").partitionBy("login_date").parquet(path)
+    dated.hint("rebalance", "login_date").write.mode("append").partitionBy("login_date").parquet(path)
 
 
 def upsert_snapshot(existing: DataFrame, updates: DataFrame, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loginlens.functions.geo import EARTH_RADIUS_KM
+from loginlens.functions.geo import EARTH_RADIUS_KM, valid_coordinates
 from loginlens.operators.scoring import NEW_DEVICE
 from loginlens.schema import EVENT, NEUTRAL, TIME, USER, VELOCITY_TIERS
 
@@ -43,8 +43,9 @@ def _empty() -> dict:
 def score_and_update(profile: dict, at: pd.Timestamp, lat: float, lon: float, device: str) -> tuple:
     """(total before, device, time, velocity score) of one login; then count it in.
 
-    A login at or before the last one is scored 1.0 for velocity and does not
-    move the last known time or place.
+    A login at or before the last one is scored 1.0 for velocity; one before it
+    does not move the last known time or place. A cell keeps the coordinates that
+    arrived first.
     """
     total, hour, day = profile["total"], str(at.hour), str(at.weekday())
     micros = at.value // 1000
@@ -59,7 +60,7 @@ def score_and_update(profile: dict, at: pd.Timestamp, lat: float, lon: float, de
         speed = _km(*profile["place"], lat, lon) / hours if hours > 0 else None
         velocity = 1.0 if speed is None else next((s for above, s in VELOCITY_TIERS if speed > above), 0.0)
         scores = (device_score, time_score, velocity)
-    cell = f"{math.floor(lat * 1000 + 0.5)}_{math.floor(lon * 1000 + 0.5)}"
+    cell = "_".join(str(int(math.copysign(math.floor(abs(x) * 1000 + 0.5), x))) for x in (lat, lon))
     first = profile["cells"].setdefault(cell, [lat, lon])
     if profile["last"] is None or micros >= profile["last"]:
         profile["last"], profile["place"] = micros, first
@@ -86,9 +87,11 @@ def stream_scores(logins: DataFrame) -> DataFrame:
     """Device, time and velocity scores of a login stream, in append mode.
 
     Within a micro-batch a user's logins are taken in time order; bound the
-    micro-batch at the source (``maxFilesPerTrigger`` and the like).
+    micro-batch at the source (``maxFilesPerTrigger`` and the like). Rows without
+    user, time or valid coordinates are passed over.
     """
     rows = logins.select(USER, EVENT, F.col(TIME).cast("timestamp").alias(TIME),
                          "latitude", "longitude", "device_id")
+    rows = rows.where(F.col(USER).isNotNull() & F.col(TIME).isNotNull() & valid_coordinates())
     return rows.groupBy(USER).applyInPandasWithState(
         _score_user, SCORES, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -110,11 +110,12 @@ def test_plain_profile_plan_is_native_and_joins_no_cross_product(logins):
 def test_nested_profile_and_upsert(small):
     p = profiles.build_profile(small)
     row = profiles.nested_profile(p).where("user_id = 'user0'").first()
-    assert sum(d["count"] for d in row.devices.values()) == row.total_logins
     assert sum(row.time_patterns.hour_distribution.values()) == row.total_logins
     assert set(row.behavioral_metrics.geo_variance.asDict()) == set(profiles.SPREAD_FIELDS)
-    parts = profiles.nested_profile(p, entries=5).where("user_id = 'user1'").collect()
+    parts = profiles.nested_entries(p).where("user_id = 'user1'").collect()
     assert len(parts) > 1 and sum(len(r.locations or {}) for r in parts) == p.locations.where("user_id = 'user1'").count()
+    mine = [r for r in profiles.nested_entries(p, buckets=3).where("user_id = 'user0'").collect()]
+    assert sum(d["count"] for r in mine for d in (r.devices or {}).values()) == row.total_logins
     updates = p.totals.where("user_id = 'user1'").withColumn("total_logins", F.lit(1).cast("bigint"))
     after = {r.user_id: r.total_logins for r in profiles.upsert(p.totals, updates).collect()}
     assert after["user1"] == 1 and len(after) == 3

@@ -38,7 +38,7 @@ def test_unknown_user_is_neutral_and_not_stored(make):
     row = analyze(make, history(12), (99, "b", "2024-02-01 09:00:00", 1.0, 1.0, "d"))
     assert all(row[f"{n}_score"] == 0.5 for n in WEIGHTS) and row.combined_score == pytest.approx(0.5)
     assert not row.is_anomalous and not row.stored
-    assert row.location_details.message == "Insufficient data"
+    assert row.location_details.message == "too_few_logins"
 
 
 @pytest.mark.parametrize("n,scored", [(9, False), (10, True)])
@@ -63,7 +63,7 @@ def test_late_login_and_unknown_place(make):
     past = make(history(3))
     rows = make([(90, "a", "2024-01-02 00:00:00", 80.0, 80.0, "d"), (91, "zz", "2024-01-02 00:00:00", 80.0, 80.0, "d")])
     out = {r.event_id: r for r in scoring.with_velocity(rows, profiles.build_profile(past)).collect()}
-    assert out[90].velocity_score == 1.0 and out[90].velocity_details.message.startswith("Zero or negative")
+    assert out[90].velocity_score == 1.0 and out[90].velocity_details.message == "not_after_last_login"
     assert out[91].velocity_score == 0.0
 
 
