@@ -29,7 +29,7 @@ from loginlens.functions import clock, geo
 from loginlens.operators.patterns import NOISE, SITE, feature_frame, with_site
 from loginlens.operators.segments import SKEW, SkewPolicy, join_per_user
 from loginlens.schema import EVENT, TIME, USER
-from loginlens.session import durable
+from loginlens.session import discard, durable
 
 EPS = 0.5
 MIN_SAMPLES = 5
@@ -161,6 +161,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("right").alias("left"), F.col("left").alias("right")))
     labels = durable(both.groupBy(F.col("left").alias("node")).agg(
         F.least(F.min("right"), F.col("node")).alias("label")))
+    stored = labels
     while True:
         heard = (both.join(labels.withColumnRenamed("node", "right"), "right")
                  .groupBy(F.col("left").alias("node")).agg(F.min("label").alias("_heard")))
@@ -170,7 +171,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hop = spread.select(F.col("node").alias("label"), F.col("label").alias("_hop"))
         after = durable(spread.join(hop, "label", "left")
                         .select("node", "_old", F.least("label", "_hop").alias("label")))
-        labels = after.select("node", "label")
+        discard(stored)
+        stored, labels = after, after.select("node", "label")
         if after.where(F.col("label") != F.col("_old")).isEmpty():
             return labels
 

@@ -24,10 +24,11 @@ from loginlens.functions import clock, geo
 from loginlens.operators.patterns import NUMERIC, SITE, device_scale, elbow_k, feature_frame, with_site
 from loginlens.operators.segments import SKEW, SkewPolicy, join_per_user
 from loginlens.schema import EVENT, TIME, USER
-from loginlens.session import durable, spread_evenly
+from loginlens.session import discard, durable, spread_evenly
 
 MAX_K = 9
-ROUNDS = 100
+#: Lloyd's rounds end when no label changes; so many without an end are an error.
+ROUNDS = 10_000
 LOCAL_SITES = 20_000
 Z = tuple(f"{c}_z" for c in NUMERIC)
 
@@ -73,12 +74,14 @@ def _lloyd(x, device, w_point, w_device, weight, k):
         chosen.append(single(int(np.argmax(near.round(9)))))
     centers, shares = np.array([c for c, _ in chosen]), np.array([s for _, s in chosen])
     labels = None
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         d = distances(centers, shares)
         new = np.argmin(d.round(9), axis=1)
         if labels is not None and np.array_equal(new, labels):
             break
         labels = new
+        if step == ROUNDS - 1:
+            raise RuntimeError("k-means did not settle")
         for c in range(k):
             mine = labels == c
             if mine.any():
@@ -162,20 +165,25 @@ def _fit_large(sites: DataFrame, max_k: int = MAX_K) -> DataFrame:
         chosen = durable(chosen.unionByName(_picked(sites, first_site(near, farthest), c, max_k)))
     centroids, shares = _centroids(chosen)
     labels = durable(_nearest(sites, centroids, shares))
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         rows = sites.join(labels.select(USER, "site", "k", "c"), [USER, "site"])
         new_centroids, new_shares = _centroids(rows)
         # A cluster left empty keeps its old centre.
         gone = centroids.join(new_centroids, [USER, "k", "c"], "left_anti")
         kept = shares.join(gone.select(USER, "k", "c"), [USER, "k", "c"], "left_semi")
+        before = (centroids, shares, new_centroids, new_shares)
         centroids = durable(new_centroids.unionByName(gone))
         shares = durable(new_shares.unionByName(kept))
+        discard(*before)
         new = durable(_nearest(sites, centroids, shares))
         moved = new.join(labels.select(USER, "site", "k", F.col("c").alias("_old")), [USER, "site", "k"])
         stable = moved.where(F.col("c") != F.col("_old")).isEmpty()
+        discard(labels)
         labels = new
         if stable:
             break
+        if step == ROUNDS - 1:
+            raise RuntimeError("k-means did not settle")
     inertia = (labels.join(sites.select(USER, "site", "weight"), [USER, "site"])
                .groupBy(USER, "k").agg(F.sum(F.col("d") * F.col("weight")).alias("inertia")))
     return labels.join(inertia, [USER, "k"]).select(

@@ -87,7 +87,17 @@ def durable(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     path = run_dir(df.sparkSession, "cut")
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._durable_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` that nothing reads any more, such as those of a finished round."""
+    for stored in tables:
+        spark = stored.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(stored._durable_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_evenly(df: DataFrame, *keys: str) -> DataFrame:
