@@ -12,13 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from loginlens.session import durable
+from loginlens.session import discard, durable
+
+
+#: Rows that a Python worker is handed at once. Whole texts are large; Spark's own default is 10,000.
+ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; the session's Arrow batches are kept small enough for whole texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """Add an id that is unique per row and equal whenever the table is read again.
 
@@ -113,6 +125,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     touched = both.select(F.col("a").alias("id")).distinct()
     label = durable(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
                     .select("id", F.least("id", "m").alias("label")))
+    stored = label
     while True:
         heard = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("heard"))
         joined = label.join(heard, label.id == heard.a, "left").select(
@@ -121,9 +134,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         step = joined.join(jump, joined.new == jump.j, "left").select(
             "id", "label", F.least("new", F.coalesce("farther", "new")).alias("new"))
         step = durable(step)
-        moved = step.where("new <> label").limit(1).count()
-        label = step.select("id", F.col("new").alias("label"))
-        if not moved:
+        discard(stored)
+        stored, label = step, step.select("id", F.col("new").alias("label"))
+        if step.where("new <> label").isEmpty():
             break
     alone = nodes.select("id").join(touched, "id", "left_anti").select("id", F.col("id").alias("label"))
     return label.unionByName(alone)

@@ -52,8 +52,8 @@ SKETCHES = 24
 MINIMA = 4
 AGREE = 2
 SIMILARITY = 0.8
-REMEMBER = 400_000
-BATCH = 256
+REMEMBER = 200_000
+BATCH = 128
 
 _ODD = (np.random.default_rng(20).integers(0, 2**63, size=(2, SKETCHES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _known: dict[str, int] = {}
