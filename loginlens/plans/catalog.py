@@ -18,6 +18,7 @@ from loginlens.operators import (chunks, dbscan, geocode, identify, kmeans, laye
 from loginlens.operators.segments import latest
 from loginlens.plans import oracle as o
 from loginlens.plans.ingest import Snapshot, process_logins
+from loginlens.plans.score import score_logins
 from loginlens.schema import EVENT, TIME, USER, WEIGHTS
 from loginlens.session import durable, run_dir
 from loginlens.sources import documents, encode, readers, sinks
@@ -1015,6 +1016,28 @@ def _(spark, sf):
     return process_logins(_since(rows, o.NOON_OF_FIRST_DAY), store, 1, 0)
 
 
+@query("score_logins", """
+  SELECT s.event_id, s.user_id, d.device_status, d.previous_usage_count, l.cluster AS closest_cluster,
+    t.total_logins + n.c AS total_after
+  FROM fresh_scores s JOIN fresh_device d ON d.event_id = s.event_id JOIN fresh_location l ON l.event_id = s.event_id
+  JOIN hist_totals t ON t.user_id = s.user_id
+  JOIN (SELECT user_id, count(*) AS c FROM fresh_scores WHERE stored GROUP BY user_id) n ON n.user_id = s.user_id
+  WHERE s.stored""", "fresh_scores")
+def _(spark, sf):
+    store, past = run_dir(spark, "scored"), hist(spark, sf)
+    sinks.login_events(past).write.parquet(f"{store}/events/batch_id=0")
+    profiles.build_profile(past).write(f"{store}/snapshots/0/profile")
+    dense_clusters(past).write.parquet(f"{store}/snapshots/0/patterns")
+    score_logins(fresh(spark, sf), store, 1, 0, isolation=False)
+    found = lambda path: F.get_json_object("details", path)
+    events = spark.read.parquet(f"{store}/events/batch_id=1")
+    after = spark.read.parquet(f"{store}/snapshots/1/profile/totals").select(USER, F.col("total_logins").alias("total_after"))
+    return events.select(
+        EVENT, USER, found("$.device_details.device_status").alias("device_status"),
+        found("$.device_details.previous_usage_count").cast("bigint").alias("previous_usage_count"),
+        found("$.location_details.closest_cluster").cast("int").alias("closest_cluster")).join(after, USER)
+
+
 # --- Streaming ---------------------------------------------------------------
 
 def _login_stream(spark, sf, **options):

@@ -28,7 +28,7 @@ class Snapshot:
         return cls(Profile.read(spark, f"{path}/profile"), spark.read.parquet(f"{path}/patterns"))
 
 
-def _snapshot_path(store: str, batch_id: int) -> str:
+def snapshot_path(store: str, batch_id: int) -> str:
     return f"{store}/snapshots/{batch_id}"
 
 
@@ -54,7 +54,7 @@ def process_logins(batch: DataFrame, store: str, batch_id: int, previous: int |
         raise ValueError("history must be 'stored' or 'batch'")
     spark = batch.sparkSession
     require_columns(batch)
-    events_path, target = f"{store}/events/batch_id={batch_id}", _snapshot_path(store, batch_id)
+    events_path, target = f"{store}/events/batch_id={batch_id}", snapshot_path(store, batch_id)
     valid = ensure_valid(batch)
     batch.join(valid.select(EVENT).distinct(), EVENT, "left_anti").write.mode("overwrite").parquet(
         f"{store}/rejects/batch_id={batch_id}")
@@ -73,7 +73,7 @@ def process_logins(batch: DataFrame, store: str, batch_id: int, previous: int |
         stats = ingest_stats(logins, profile.totals.limit(0))
         source = logins
     else:
-        old = Snapshot.read(spark, _snapshot_path(store, previous))
+        old = Snapshot.read(spark, snapshot_path(store, previous))
         stored = stored_events(spark, store, batch_id)
         profile = merge_profiles(old.profile, logins, stored, skew, history_limit)
         stats = ingest_stats(logins, old.profile.totals)

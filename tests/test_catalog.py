@@ -11,7 +11,7 @@ from loginlens.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-SLOW = {"process_logins", "stream_ingest", "analyze_logins", "analyze_logins_native", "detector_details",
+SLOW = {"process_logins", "score_logins", "stream_ingest", "analyze_logins", "analyze_logins_native", "detector_details",
         "kmeans_fallback", "identify_patterns", "cluster_stats", "cluster_breakdown", "score_location"}
 
 
