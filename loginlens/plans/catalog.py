@@ -720,6 +720,14 @@ def _(spark, sf):
     return logins(spark, sf).select(EVENT, text.unique_id().alias("id"))
 
 
+@query("unique_id_shape", """SELECT count(*) AS ids, count(*) AS different, count(*) AS well_formed FROM logins""", "logins")
+def _(spark, sf):
+    ids = logins(spark, sf).select(text.unique_id().alias("id"))
+    shape = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+    return ids.agg(F.count("*").alias("ids"), F.count_distinct("id").alias("different"),
+                   F.count_if(F.col("id").rlike(shape)).alias("well_formed"))
+
+
 @query("stable_id", "SELECT event_id, sha256(CAST(event_id AS VARCHAR) || '|' || user_id) AS id FROM logins", "logins")
 def _(spark, sf):
     return logins(spark, sf).select(EVENT, text.stable_id(EVENT, USER).alias("id"))
@@ -808,6 +816,18 @@ def _(spark, sf):
     return outliers.isolation_forest_scores(fresh(spark, sf), hist(spark, sf))
 
 
+@query("isolation_forest_gate", """
+  SELECT f.event_id, f.user_id, coalesce(n.c >= 10, false) AS learned, true AS in_range
+  FROM fresh f LEFT JOIN (SELECT user_id, count(*) AS c FROM hist GROUP BY user_id) n ON n.user_id = f.user_id""",
+       "fresh", "hist")
+def _(spark, sf):
+    rows = outliers.isolation_forest_scores(fresh(spark, sf), hist(spark, sf))
+    learned = F.col("message").isNull()
+    score = F.col("isolation_forest_score")
+    return rows.select(EVENT, USER, learned.alias("learned"),
+                       (score.between(0, 1) & (learned | (score == scoring.NEUTRAL))).alias("in_range"))
+
+
 @query("mahalanobis_score", """
   SELECT f.event_id, f.user_id, CASE WHEN n.n >= 5 THEN n.degenerate END AS degenerate,
     CASE WHEN n.n >= 5 THEN round(m.d, 6) END AS distance,
