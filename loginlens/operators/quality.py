@@ -52,8 +52,8 @@ def default_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
-def clean_file(df: DataFrame, order: bool = True) -> DataFrame:
-    """Loader contract: required columns, parsed time, valid coordinates, sorted."""
+def clean_file(df: DataFrame, order: bool = False) -> DataFrame:
+    """Loader contract: required columns, parsed time, valid coordinates; sorted by id and time on demand."""
     require_columns(df, FILE_COLUMNS)
     if any(df.schema[c].dataType.typeName() == "string" for c in ("latitude", "longitude")):
         df = coerce_numeric(df)

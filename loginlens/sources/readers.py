@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -36,11 +37,11 @@ def _extension(path: str) -> str:
     return match.group(0).lower() if match else ""
 
 
-def read_logins(spark: SparkSession, source, clean: bool = True, order: bool = True, **options) -> DataFrame:
+def read_logins(spark: SparkSession, source, clean: bool = True, order: bool = False, **options) -> DataFrame:
     """A path, glob or DataFrame as a cleaned login-file table.
 
     A DataFrame passes through untouched. ``clean=False`` skips the loader's
-    required columns and row rules.
+    required columns and row rules; ``order=True`` sorts by id and time.
     """
     if isinstance(source, DataFrame):
         return source
@@ -71,9 +72,9 @@ def scan_delimited(spark: SparkSession, path: str, **options) -> DataFrame:
     """
     sample = [r.value for r in spark.read.text(path).limit(SAMPLE_LINES).collect()]
     for delimiter in rank_delimiters(sample):
-        df = scan_csv(spark, path, sep=delimiter, **options)
-        if len(df.columns) > 1:
-            return df
+        # The header tells the number of columns; the file is read for one delimiter only.
+        if len(next(csv.reader(sample[:1], delimiter=delimiter), [])) > 1:
+            return scan_csv(spark, path, sep=delimiter, **options)
     if sample:
         return scan_csv(spark, path, **options)
     return spark.read.text(path).withColumnRenamed("value", "text")

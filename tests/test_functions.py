@@ -58,13 +58,16 @@ def test_sigmoid_centre(spark):
 
 @pytest.mark.parametrize("ip,network", [
     ("192.168.1.77", "192.168.1.0"), ("2001:db8:1:2::5", "2001:db8:1::"), ("300.1.1.1", "300.1.1.1"),
-    ("010.1.1.1", "010.1.1.1"), ("no:such::address::", "no:such::address::"), (None, None), ("::1", "::")])
+    ("010.1.1.1", "010.1.1.1"), ("no:such::address::", "no:such::address::"), (None, None), ("::1", "::"),
+    (":::", ":::"), ("1:2", "1:2"), ("1::2::3", "1::2::3"), ("2001:DB8::1:2", "2001:db8::"), ("::ffff:10.0.0.1", "::"),
+    ("2001:0:0:1::", "2001::"), ("0:0:5::1", "0:0:5::"), ("1:2:3:4:5:6:7:8", "1:2:3::"), ("1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8:9"),
+    ("fe80::1%eth0", "fe80::"), ("1::12345", "1::12345")])
 def test_anonymize_ip(spark, ip, network):
     assert value(spark, text.anonymize_ip(F.lit(ip).cast("string"))) == network
 
 
-def test_anonymize_ipv4_needs_no_python(spark):
-    plan = spark.range(1).select(text.anonymize_ipv4(F.lit("1.2.3.4")))._jdf.queryExecution().toString()
+def test_addresses_need_no_python(spark):
+    plan = spark.range(1).select(text.anonymize_ip(F.lit("1.2.3.4")), text.valid_ip(F.lit("::1")))._jdf.queryExecution().toString()
     assert "Python" not in plan
 
 

@@ -16,7 +16,7 @@ def test_clean_file_rules(spark):
             ("a", "d", "2024-01-01 00:00:02", "90", "180"), ("a", "d", "2024-01-01 00:00:03", "90.0001", "0"),
             ("a", "d", "2024-01-01 00:00:04", None, "0"), ("a", "d", "2023-01-01 00:00:00", "NaN", "0")]
     df = spark.createDataFrame(rows, "id string, device_id string, login_time string, latitude string, longitude string")
-    kept = [r.login_time.second for r in quality.clean_file(df).collect()]
+    kept = [r.login_time.second for r in quality.clean_file(df, order=True).collect()]
     assert kept == [0, 2]
 
 

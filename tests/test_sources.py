@@ -146,6 +146,5 @@ def test_geocode(spark):
     addresses = spark.createDataFrame([("1 Main St,  Town",), ("1 main st , town",), ("Nowhere",)], "address string")
     places = spark.createDataFrame([("1 Main St, Town", 1.0, 2.0), ("1 MAIN ST,TOWN", 1.0, 3.0)],
                                    "address string, lat double, lon double")
-    for limit in (0, 10):
-        got = rows_of(geocode.geocode_addresses(addresses, places, limit))
-        assert got == [("1 Main St,  Town", 1.0, 2.0), ("1 main st , town", 1.0, 2.0), ("Nowhere", None, None)]
+    got = rows_of(geocode.geocode_addresses(addresses, places))
+    assert got == [("1 Main St,  Town", 1.0, 2.0), ("1 main st , town", 1.0, 2.0), ("Nowhere", None, None)]
