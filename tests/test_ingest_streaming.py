@@ -28,6 +28,31 @@ def test_two_batches_equal_one_profile(spark, small, tmp_path):
     assert {r.user_id for r in merged.patterns.collect()} == {"user0", "user1", "user2"}
 
 
+def test_repeats_and_rejects(spark, small, tmp_path):
+    """A login delivered again in a later batch counts once; an unusable row is set aside."""
+    store = str(tmp_path)
+    first, second = split(small, "2024-01-15")
+    process_logins(first, store, 0, None)
+    again = first.limit(25)
+    bad = second.limit(3).withColumn("event_id", F.col("event_id") + 10_000_000).withColumn("latitude", F.lit(99.0))
+    process_logins(second.unionByName(again).unionByName(bad), store, 1, 0)
+    assert stored_events(spark, store, 1).count() == small.count()
+    assert spark.read.parquet(f"{store}/rejects/batch_id=1").count() == 3
+    merged, whole = Snapshot.read(spark, f"{store}/snapshots/1").profile, profiles.build_profile(small)
+    for part in ("totals", "devices", "gaps", "spread"):
+        assert rows_of(getattr(whole, part)) == rows_of(getattr(merged, part), *getattr(whole, part).columns)
+
+
+def test_history_limit_bounds_merged_metrics(small, tmp_path):
+    first, second = split(small, "2024-01-15")
+    old = profiles.build_profile(first)
+    counts = lambda p: {r.user_id: r.total_logins for r in p.totals.collect()}
+    whole, bounded = (profiles.merge_profiles(old, second, small, history_limit=n) for n in (None, 10))
+    assert counts(whole) == counts(bounded)
+    assert rows_of(whole.gaps) == rows_of(profiles.build_profile(small).gaps, *whole.gaps.columns)
+    assert rows_of(whole.gaps) != rows_of(bounded.gaps)
+
+
 def test_history_option(small, tmp_path):
     with pytest.raises(ValueError, match="history"):
         process_logins(small, str(tmp_path), 0, None, history="everything")
@@ -61,6 +86,19 @@ def test_stream_equals_replay(spark, small, login_files, tmp_path):
     assert rows_of(spark.read.parquet(out), *columns) == rows_of(replay.replay_scores(small), *columns)
 
 
+def test_stream_passes_over_unusable_rows(spark, tmp_path):
+    kind = "event_id long, user_id string, timestamp timestamp, latitude double, longitude double, device_id string"
+    rows = [(1, "u", "2024-01-01 00:00:00", -16.8005, 0.0), (2, "u", "2024-01-01 01:00:00", None, 0.0),
+            (3, "u", "2024-01-01 02:00:00", float("nan"), 0.0), (4, None, "2024-01-01 03:00:00", 1.0, 0.0),
+            (5, "u", None, 1.0, 0.0), (6, "u", "2024-01-01 04:00:00", -16.801, 0.0)]
+    frame = spark.createDataFrame([(*r[:2], r[2], *r[3:], "d") for r in rows],
+                                  kind.replace("timestamp timestamp", "timestamp string"))
+    frame.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(f"{tmp_path}/in")
+    run(stream_scores(spark.readStream.schema(kind).parquet(f"{tmp_path}/in")).writeStream.format("parquet"),
+        f"{tmp_path}/out", f"{tmp_path}/c")
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out"), "event_id", "total_logins") == [(1, 0), (6, 1)]
+
+
 def test_repeats_are_dropped(spark, small, login_files, tmp_path):
     rows = stream(spark, login_files).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     rows = rows.select("event_id", "timestamp")
