@@ -16,8 +16,8 @@ components.
 Work does not grow with the square of a group. Equal texts are one class from
 the start. Then each class is first compared with one class only, the smallest
 of the bucket it shares most often, and components are formed. Only candidates
-of different components are compared after that; any other pair is in one group
-already. So every candidate pair is either compared or connected, and no link
+of different components are compared after that, and only where enough items occur
+in other components; any other pair is in one group already or too far apart. So every candidate pair is either compared or connected, and no link
 between groups is lost. Within a bucket the largest component is not enumerated
 against itself.
 
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loginlens.llm.common import carried, components, fingerprint, uncarried
-from loginlens.session import durable
+from loginlens.session import discard, durable
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -54,6 +54,8 @@ AGREE = 2
 SIMILARITY = 0.8
 REMEMBER = 200_000
 BATCH = 128
+#: Members from which on a bucket of several components is tested for texts that cannot be linked.
+CROWD = 16
 
 _ODD = (np.random.default_rng(20).integers(0, 2**63, size=(2, SKETCHES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _known: dict[str, int] = {}
@@ -176,27 +178,33 @@ def sketches(rows: DataFrame) -> DataFrame:
                                          f"same {pair.format('a', 'b')}, n int, keys array<long>"))
 
 
-def verify(pairs: DataFrame, sketched: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The links among candidate pairs (a, b) of class ids: `a, b, similarity`."""
-    pairs = durable(pairs)
-    needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-                     .join(sketched.select("id", "_row"), "id"))
+def coded_texts(ids: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
+    """`id, items` of the classes that share a bucket with another, each text read once."""
+    needed = durable(ids.join(sketched.select("id", "_row"), "id"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH):
                 some = batch.slice(first, BATCH)
+                coded = [items(t).view(np.int64) for t in some.column(1).to_pylist()]
+                offsets = np.cumsum([0, *map(len, coded)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([items(t).tobytes() for t in some.column(1).to_pylist()], pa.binary())],
+                    [some.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))],
                     ["id", "items"])
 
-    coded = durable(rows.select("_row", "text").join(needed, "_row").select("id", "text")
-                    .mapInArrow(encode, "id long, items binary"))
+    return durable(rows.select("_row", "text").join(needed, "_row").select("id", "text")
+                   .mapInArrow(encode, "id long, items array<long>"))
+
 
+def verify(pairs: DataFrame, coded: DataFrame, least: float) -> DataFrame:
+    """The links among candidate pairs (a, b) of class ids: `a, b, similarity`."""
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            found = np.array([similarity(x, y, least) for x, y in zip(left, right)], dtype=float)
+            sides = []
+            for column in (batch.column(2), batch.column(3)):
+                values, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+                sides.append([values[i:j] for i, j in zip(at - at[0], at[1:] - at[0])])
+            found = np.array([similarity(x, y, least) for x, y in zip(*sides)], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)],
                                              ["a", "b", "similarity"])
 
@@ -206,31 +214,54 @@ def verify(pairs: DataFrame, sketched: DataFrame, rows: DataFrame, least: float)
     return durable(both.mapInArrow(align, "a long, b long, similarity double").where("similarity > 0"))
 
 
+def linkable(members: DataFrame, coded: DataFrame, least: float) -> DataFrame:
+    """Of `id, label`, the ids that can have a link to another component at all.
+
+    In a link at least the share `least` of either side's items is aligned, so
+    that many must occur in some other component. This is exact and costs one
+    pass over the items; texts that only share a passage fall out here, however
+    many they are, before any two of them are paired.
+    """
+    spread = durable(members.join(coded, "id").select("id", "label", F.size("items").alias("n"),
+                                                      F.explode("items").alias("item")))
+    across = durable(spread.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                     .where("low <> high").select("item"))
+    return (spread.join(across, "item").groupBy("id", "n").agg(F.count("*").alias("shared"))
+            .where(F.col("shared") >= F.col("n") * F.lit(least) - 1e-9).select("id"))
+
+
 def groups(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Per row of `_row, doc_id, text`: `class_id` (its group's smallest document id), `class_rank` and `copies`.
+    """Per row of `_row, doc_id, text`: `class_id` (its group's smallest document id), `keep` and `copies`.
 
-    `class_rank` is 1 for the one row that stands for the group.
+    `keep` is true for the one row that stands for the group.
     """
     sketched = sketches(rows)
     classes = durable(sketched.groupBy("same").agg(F.min("id").alias("id")))
     apart = sketched.join(classes.select("id"), "id", "left_semi").select("id", "n", "keys")
-    buckets = durable(apart.select("id", "n", F.explode("keys").alias("key")))
-    shared = durable(buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre"))
+    every = durable(apart.select("id", "n", F.explode("keys").alias("key")))
+    shared = durable(every.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre"))
                      .where("size > 1").select("key", "centre"))
-    buckets = durable(buckets.join(shared, "key"))
+    buckets = durable(every.join(shared, "key"))
+    discard(every)
     first = (buckets.where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("times"))
              .groupBy("id").agg(F.max(F.struct("times", -F.col("centre"))).alias("best"))
              .select(F.col("id").alias("a"), (-F.col("best.col2")).alias("b")))
-    links = verify(first, sketched, rows, least)
+    coded = coded_texts(buckets.select("id").distinct(), sketched, rows)
+    links = verify(first, coded, least)
     nodes = classes.select("id")
     labels = durable(components(nodes, links))
 
     # Candidates of different components, from buckets that hold several.
     placed = buckets.select("key", "id", "n").join(labels, "id")
     sizes = durable(placed.groupBy("key", "label").agg(F.count("*").alias("members")))
-    mixed_keys = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("top"))
-    mixed_keys = durable(mixed_keys.where("labels > 1").select("key", F.col("top.label").alias("main")))
+    mixed_keys = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("members").alias("total"),
+                                          F.max(F.struct("members", "label")).alias("top"))
+    mixed_keys = durable(mixed_keys.where("labels > 1").select("key", "total", F.col("top.label").alias("main")))
     held = durable(placed.join(mixed_keys, "key"))
+    # In a crowded bucket every partner is in a crowded bucket too, so the test below sees them all.
+    crowd = held.where(F.col("total") > CROWD)
+    able = linkable(crowd.select("id", "label").distinct(), coded, least)
+    held = durable(held.where(F.col("total") <= CROWD).unionByName(crowd.join(able, "id", "left_semi")))
     rest = held.where("label <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"),
                                               F.col("label").alias("la"))
     other = held.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
@@ -240,7 +271,7 @@ def groups(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
         & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least)))
     second = (cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
               .groupBy("a", "b").agg(F.count("*").alias("times")).where(F.col("times") >= AGREE).select("a", "b"))
-    more = verify(second, sketched, rows, least)
+    more = verify(second, coded, least)
     merged = components(labels.select(F.col("label").alias("id")).distinct(),
                         more.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
                         .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
