@@ -36,7 +36,6 @@ from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
