@@ -23,7 +23,6 @@ LINE_COLOR, LINE_WEIGHT = "#3388ff", 3
 # Shortest span in days (strict >), animation period and duration.
 ANIMATION_STEPS = ((30, "P1D", "P5D"), (7, "PT12H", "P1D"), (1, "PT3H", "PT12H"))
 ANIMATION_DEFAULT = ("PT30M", "PT3H")
-ANIMATION_FIXED = ("PT1H", "PT10M")
 
 
 def mappable(scored: DataFrame) -> DataFrame:

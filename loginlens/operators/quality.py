@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loginlens.functions.geo import valid_coordinates
 from loginlens.functions.text import valid_ip
-from loginlens.schema import (FILE_COLUMNS, FILE_TO_LOGIN, LOGIN_COLUMNS, TIME, USER,
+from loginlens.schema import (FILE_COLUMNS, LOGIN_COLUMNS, TIME, USER,
                               require_columns)
 
 
@@ -62,11 +62,6 @@ def clean_file(df: DataFrame, order: bool = False) -> DataFrame:
     return kept.orderBy("id", "login_time") if order else kept
 
 
-def to_login_names(df: DataFrame) -> DataFrame:
-    """Loader column names to login column names."""
-    return df.withColumnsRenamed(FILE_TO_LOGIN)
-
-
 def quality_flags(df: DataFrame) -> DataFrame:
     """One boolean per rule, plus their conjunction ``is_valid``."""
     require_columns(df, LOGIN_COLUMNS)
@@ -120,11 +115,3 @@ def distinct_users(df: DataFrame) -> DataFrame:
 
 def sort_time(df: DataFrame) -> DataFrame:
     return df.orderBy(TIME, "event_id")
-
-
-def cluster_for_sink(df: DataFrame) -> DataFrame:
-    """Files sorted by (user, time) without a single global merge.
-
-    Range partitioning by user, time and id cuts a huge user over many files.
-    """
-    return df.repartitionByRange(USER, TIME, "event_id").sortWithinPartitions(USER, TIME, "event_id")

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loginlens.functions import clock, geo, stats, text
 from loginlens.operators import (chunks, dbscan, geocode, identify, kmeans, layers, outliers, patterns, profiles,

@@ -13,8 +13,6 @@ ORDER = (TIME, EVENT)
 
 LOGIN_COLUMNS = ("user_id", "timestamp", "latitude", "longitude", "device_id")
 FILE_COLUMNS = ("id", "device_id", "login_time", "latitude", "longitude")
-#: File-loader names and the login names they stand for.
-FILE_TO_LOGIN = {"id": "user_id", "login_time": "timestamp"}
 
 LOGIN_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),

@@ -163,10 +163,3 @@ def extract_documents(files: DataFrame) -> DataFrame:
     A file that cannot be read yields one ``error`` row instead of failing the job.
     """
     return files.select("path", "content").mapInPandas(_extract, BLOCKS)
-
-
-def document_counts(blocks: DataFrame) -> DataFrame:
-    """Blocks and distinct parts (sheets, slides, tables) per file."""
-    return blocks.groupBy("path", "file_type").agg(
-        F.count("*").alias("blocks"), F.count_distinct("part").alias("parts"),
-        F.count_if(F.col("block") == "error").alias("errors"))

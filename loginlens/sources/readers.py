@@ -109,10 +109,6 @@ def scan_event_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
-def event_table_user(spark: SparkSession, name: str, user_id: str) -> DataFrame:
-    return scan_event_table(spark, name).where(F.col(USER) == user_id)
-
-
 # --- Binary formats: Spark lists and ships the files, a task decodes each -----
 
 FILE_SCHEMA = T.StructType([
