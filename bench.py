@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 1; the median of the runs is reported).
+BENCH_RUNS (default 1; the median of the runs is reported), BENCH_HEAVY=1 adds the
+queries that fit models or run whole ingests.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ HEADLINE = (
     "clean_logins", "score_device", "score_time", "score_velocity", "mahalanobis_score", "isolation_forest_score",
     "dbscan", "analyze_logins_native", "merge_profiles", "heatmap_grid", "geojson_points", "trajectory_segments",
 )
+HEAVY = ("kmeans_fallback", "identify_patterns", "analyze_logins", "process_logins", "score_logins", "stream_scores",
+         "stream_ingest")
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
-    names = sys.argv[1:] or HEADLINE
+    names = sys.argv[1:] or HEADLINE + (HEAVY if os.environ.get("BENCH_HEAVY") else ())
     spark = build_session("bench", master=f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": str(max(int(cpus), 1)), "spark.ui.enabled": "false",
         "spark.driver.memory": "12g"})
