@@ -32,7 +32,7 @@ KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
 BATCH = 512
 #: Two tokenizers may work side by side on one executor, so each remembers less.
-REMEMBER = 200_000
+REMEMBER = 400_000
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cut: str, out: str = "tokens") -> DataFrame:
