@@ -182,3 +182,35 @@ def test_components(spark):
 def test_sketches_keep_order():
     a = np.array([5, 9, 2, 7], dtype=np.uint64)
     assert (order_minhash.sketch(a) != order_minhash.sketch(a[::-1].copy())).all()
+
+
+def test_limit_grows_with_the_line(spark):
+    """Every pair within the growing limit is linked, by comparing all pairs, also across the borders of bands."""
+    rng = random.Random(12)
+    rows = []
+    for n in (20, 31, 33, 62, 65, 127, 130, 200, 254, 258, 400, 515):
+        base = [rng.choice("abcdefghé ") for _ in range(n)]
+        for _ in range(7):
+            line = list(base)
+            for _ in range(rng.randint(0, n // line_join.SHARE + 2)):
+                at = rng.randint(0, len(line))
+                line[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+            rows.append((len(rows), "".join(line)))
+    different = {x for _, x in rows if len(x) >= 20}
+    frame = with_row_id(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.n_links for r in line_join.judged_lines(frame).collect()}
+    assert got == {i: sum(plain_near(x, y) for y in different if y != x) for i, x in rows if x in different}
+    assert sum(got.values()) > 100
+
+
+def plain_near(a, b):
+    least = min(len(a), len(b))
+    limit = max(2, least // line_join.SHARE)
+    return abs(len(a) - len(b)) <= limit and plain_distance(a, b) <= limit
+
+
+def test_replaced_word_is_a_repeat(spark):
+    words = [f"word{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:12] + ["another"] + words[13:]))]
+    got = line_join.judged_lines(with_row_id(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {(r.doc_id, r.n_links, r.keep) for r in got} == {(1, 1, True), (2, 1, False)}
