@@ -205,7 +205,7 @@ def test_limit_grows_with_the_line(spark):
 
 def plain_near(a, b):
     least = min(len(a), len(b))
-    limit = max(2, least // line_join.SHARE)
+    limit = max(min(2, least // 6), least // line_join.SHARE)
     return abs(len(a) - len(b)) <= limit and plain_distance(a, b) <= limit
 
 
@@ -214,3 +214,30 @@ def test_replaced_word_is_a_repeat(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:12] + ["another"] + words[13:]))]
     got = line_join.judged_lines(with_row_id(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert {(r.doc_id, r.n_links, r.keep) for r in got} == {(1, 1, True), (2, 1, False)}
+
+
+def test_short_lines_take_part(spark):
+    """Every line that is not empty has a row; short ones are linked within 2, 1 or 0 edits."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abc é") for _ in range(n)) for n in (1, 2, 3, 5, 6, 7, 9, 11, 12, 13, 16, 19) for _ in range(2)]
+    rows = []
+    for i in range(100):
+        line = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(line))
+            line[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+        rows.append((i, "".join(line)))
+    different = {x for _, x in rows if x}
+    first = {x: min(i for i, y in rows if y == x) for x in different}
+    near = {x: [y for y in different if y != x and plain_near(x, y)] for x in different}
+    frame = with_row_id(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.n_links, r.keep) for r in line_join.judged_lines(frame).collect())
+    assert got == [(i, len(near[x]), first[x] == i and all(first[y] > i for y in near[x])) for i, x in rows if x]
+
+
+def test_dedup_of_short_repeats(spark):
+    rows = [(1, "yes\n\nno"), (2, "yes\n\nnew"), (3, "yes")]
+    left = line_join.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in left) == [(1, "yes\n\nno"), (2, "\nnew")]
+    left = line_join.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=20).collect()
+    assert sorted(tuple(r) for r in left) == rows
