@@ -857,7 +857,16 @@ def _(spark, sf):
   UNION ALL SELECT event_id, user_id, NULL, NULL, NULL, NULL, 0.5 FROM fresh
   WHERE user_id NOT IN (SELECT user_id FROM hist_clusters)""", "fresh_location")
 def _(spark, sf):
-    rows = scoring.with_location(fresh(spark, sf), dense_clusters(hist(spark, sf)))
+    return _location(spark, sf, dense_clusters(hist(spark, sf)))
+
+
+@query("score_location_all_users")
+def _(spark, sf):
+    return _location(spark, sf, identify.identify_patterns(hist(spark, sf)))
+
+
+def _location(spark, sf, clusters):
+    rows = scoring.with_location(fresh(spark, sf), clusters)
     d = F.col("location_details")
     return rows.select(EVENT, USER, d["distance_km"].alias("distance_km"),
                        d["closest_cluster"].alias("closest_cluster"),
@@ -992,7 +1001,15 @@ def _(spark, sf):
   JOIN fresh_device d ON d.event_id = s.event_id JOIN fresh_time t ON t.event_id = s.event_id
   JOIN fresh_velocity v ON v.event_id = s.event_id""", "fresh_scores")
 def _(spark, sf):
-    out = _analysis(spark, sf, isolation=False)
+    return _details(_analysis(spark, sf, isolation=False))
+
+
+@query("detector_details_all_users")
+def _(spark, sf):
+    return _details(_analysis(spark, sf, isolation=True))
+
+
+def _details(out):
     return out.select(
         EVENT, USER, "stored", "location_details.distance_km", "location_details.closest_cluster",
         F.round("location_details.cluster_std_distance", 6).alias("cluster_std_distance"),
@@ -1043,11 +1060,20 @@ def _(spark, sf):
   JOIN (SELECT user_id, count(*) AS c FROM fresh_scores WHERE stored GROUP BY user_id) n ON n.user_id = s.user_id
   WHERE s.stored""", "fresh_scores")
 def _(spark, sf):
+    return _scored_and_stored(spark, sf, dense_clusters(hist(spark, sf)), isolation=False)
+
+
+@query("score_logins_all_users")
+def _(spark, sf):
+    return _scored_and_stored(spark, sf, identify.identify_patterns(hist(spark, sf)), isolation=True)
+
+
+def _scored_and_stored(spark, sf, clusters, isolation: bool):
     store, past = run_dir(spark, "scored"), hist(spark, sf)
     sinks.login_events(past).write.parquet(f"{store}/events/batch_id=0")
     profiles.build_profile(past).write(f"{store}/snapshots/0/profile")
-    dense_clusters(past).write.parquet(f"{store}/snapshots/0/patterns")
-    score_logins(fresh(spark, sf), store, 1, 0, isolation=False)
+    clusters.write.parquet(f"{store}/snapshots/0/patterns")
+    score_logins(fresh(spark, sf), store, 1, 0, isolation=isolation)
     found = lambda path: F.get_json_object("details", path)
     events = spark.read.parquet(f"{store}/events/batch_id=1")
     after = spark.read.parquet(f"{store}/snapshots/1/profile/totals").select(USER, F.col("total_logins").alias("total_after"))
