@@ -46,14 +46,17 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     The last two batches are committed twice, as a job that is run again would.
     """
     old, new = "byte_bpe_50k", "word_bpe_49k"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = with_row_id(table(spark, sf_dir, "documents")).select("_row", "doc_id", "source", "lang", "text")
     counted = rollups.count_tokens(docs.withColumn("same", fingerprint("text")), tokenizer(f"{old}.json"), "bytes", "n_old")
     counted = rollups.count_tokens(counted, tokenizer(f"{new}.json"), "words", "n_new")
-    counted = durable(counted.drop("text"))
-    first = counted.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    repeats = counted.join(first.where("copies > 1").select("same", F.col("doc_id").alias("kept")), "same").where(
-        ~F.col("doc_id").eqNullSafe(F.col("kept")))
-    remaining = counted.join(first.select("same", "doc_id"), ["same", "doc_id"], "left_semi")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")  # null ids come last
+    counted = durable(counted.select("same", place.alias("place"), "source", "lang", "n_old", "n_new"))
+    first = counted.groupBy("same").agg(F.min("place").alias("kept"), F.count("*").alias("copies"))
+    repeats = counted.join(first.where("copies > 1").select("same", "kept"), "same").where(
+        F.col("place._row") != F.col("kept._row"))
+    # Rows that share a text tell themselves apart by their row id, which is never null.
+    remaining = counted.join(first.select("same", "kept"), "same").where(
+        F.col("place._row") == F.col("kept._row"))
     store = rollups.Rollup(spark, run_dir(spark, "rollup"))
     store.commit("0001-insert", counted.select(*rollups.change(1, F.col("n_old"), old)))
     for _ in range(2):

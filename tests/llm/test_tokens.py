@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loginlens.llm import packing, rollups, token_files
+from loginlens.llm import packing, queries, rollups, token_files
 from loginlens.llm.common import running_total
 from loginlens.llm.encoding import Encoder
 from loginlens.llm.queries import tokenizer
@@ -159,3 +159,23 @@ def test_count_tokens(odd):
     whole = plain("byte_bpe_50k.json")
     rows = rollups.count_tokens(odd, tokenizer("byte_bpe_50k.json"), "bytes").collect()
     assert all(r.tokens == len(whole.encode(r.text or "", add_special_tokens=False).ids) for r in rows)
+
+
+def test_yearly_rollup_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "only null ids", "en", "a"), (None, "only null ids", "en", "a"), (1, "mixed ids", "en", "a"),
+            (None, "mixed ids", "en", "b"), (2, "one id twice", "de", "a"), (2, "one id twice", "de", "a"),
+            (None, None, "en", "a"), (None, None, "en", "a"), (3, "alone", None, None), (None, "alone too", "en", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens)
+           for r in queries.op5_token_rollup(spark, str(tmp_path)).collect()}
+    kept = {}  # the copy of least id, null last; copies that tie are alike
+    for i, text, lang, source in rows:
+        kept.setdefault(text, []).append((i is None, i or 0, source, lang))
+    word = plain("word_bpe_49k.json")
+    want = {(source, lang, "byte_bpe_50k"): (0, 0) for _, _, lang, source in rows}
+    for text, copies in kept.items():
+        key = (*min(copies)[2:], "word_bpe_49k")
+        docs, tokens = want.get(key, (0, 0))
+        want[key] = docs + 1, tokens + len(word.encode(text or "", add_special_tokens=False).ids)
+    assert got == want
