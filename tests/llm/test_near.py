@@ -241,3 +241,18 @@ def test_dedup_of_short_repeats(spark):
     assert sorted(tuple(r) for r in left) == [(1, "yes\n\nno"), (2, "\nnew")]
     left = line_join.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=20).collect()
     assert sorted(tuple(r) for r in left) == rows
+
+
+def test_short_texts_that_agree_in_one_sketch(spark):
+    """A text linked to two others that are apart, to the second of them by one sketch only."""
+    agreed = lambda a, b: int((order_minhash.sketch(order_minhash.items(a)) == order_minhash.sketch(order_minhash.items(b))).sum())
+    for i in range(2_000):
+        words = [f"w{i}x{j}" for j in range(10)]
+        before, after, core = " ".join(words[:9]), " ".join(words[1:]), " ".join(words[1:9])
+        if agreed(core, after) == 1 and agreed(core, before) > 1:
+            break
+    else:
+        raise AssertionError("no such texts")
+    rows = spark.createDataFrame([(0, before), (1, after), (2, core)], "doc_id long, text string").coalesce(1)
+    got = order_minhash.groups(with_row_id(rows)).collect()
+    assert {r.class_id for r in got} == {0}
