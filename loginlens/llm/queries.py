@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import chat, decontaminate, line_join, order_minhash, packing, quality, rollups, sharding, token_files, vptree
-from loginlens.llm.common import fingerprint, table, with_row_id
+from loginlens.llm import (chat, decontaminate, line_join, max_sketch, order_minhash, packing, quality, rollups, runs, sharding,
+                           token_files, vptree)
+from loginlens.llm.common import div, fingerprint, table, with_row_id
 from loginlens.session import durable, run_dir
 
 
@@ -97,6 +98,33 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = max_sketch.build_index(table(spark, sf_dir, "documents"))
+    return max_sketch.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id's checksum ends in 0 are made periodic first; null ids are left as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", div(h, 10).alias("g"), F.when(
+        h % 10 == 0, F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")).alias("words"))
+    placed = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (1 + div(F.col("n") - F.col("a"), 3 + F.col("g") % 8)).cast("int"))
+    again = F.expr("flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int)))")
+    periodic = F.array_join(F.concat(F.expr("slice(words, 1, a)"), F.slice(again, F.lit(1), F.col("n") - F.col("a"))), " ")
+    made = placed.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+    found = runs.with_runs(made)
+    first = F.expr("""array_sort(runs, (l, r) -> CASE
+        WHEN l.length * r.period <> r.length * l.period THEN IF(l.length * r.period > r.length * l.period, -1, 1)
+        WHEN l.start <> r.start THEN IF(l.start < r.start, -1, 1)
+        WHEN l.period <> r.period THEN IF(l.period < r.period, -1, 1) ELSE 0 END)[0]""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, first).alias("best"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", "best.*", div(1000 * F.col("best.length"), F.col("best.period")).alias("exponent_milli"),
+                       "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -108,8 +136,11 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
+    "op11_lexical_search": max_sketch.ORACLE,
 }
