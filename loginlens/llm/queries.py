@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loginlens.llm import (chat, decontaminate, line_join, max_sketch, order_minhash, packing, quality, rollups, runs, sharding,
-                           token_files, vptree)
+                           token_files, vptree, warc)
 from loginlens.llm.common import div, fingerprint, table, with_row_id
 from loginlens.session import durable, run_dir
 
@@ -125,6 +125,26 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "runs_sha256", "collapsed_sha256")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written and read back; what a page is called comes from its metadata record, joined to its capture."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), run_dir(spark, "warc"))
+    return pages_of(warc.assemble(warc.read_records(manifest, payload=False)))
+
+
+def pages_of(captures: DataFrame) -> DataFrame:
+    """Per capture its page and, for a revisit, the page of the response that it names."""
+    named = F.filter("metadata", lambda m: F.try_element_at(m["fields"], F.lit("page-id")).isNotNull())
+    page = F.when(F.size(named) > 0, F.element_at(F.element_at(named, 1)["fields"], "page-id").cast("long"))
+    flat = durable(captures.where("capture IS NOT NULL").select(
+        page.alias("page_id"), "capture.payload_bytes", "capture.payload_digest", F.col("capture.type").alias("record_type"),
+        "capture.record_id", "capture.refers_to"))
+    responses = flat.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("named"))
+    revisits = warc.join_unique(flat.where("record_type = 'revisit'"), responses, "refers_to")
+    plain = flat.where("record_type <> 'revisit'").withColumn("named", F.lit(None).cast("long"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", F.col("named").alias("refers_to")]
+    return plain.select(*columns).unionByName(revisits.select(*columns))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -138,9 +158,11 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_lexical_search": op11_lexical_search,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
     "op11_lexical_search": max_sketch.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
