@@ -31,26 +31,42 @@ def recent_history(history: DataFrame, skew: SkewPolicy = SKEW, history_limit: i
 
 # --- Mahalanobis -------------------------------------------------------------
 
+def moments() -> dict[str, Column]:
+    """A login's whole microdegrees and hour with their products, whose sums make the covariance model."""
+    micro = {
+        "x": F.round(F.col("latitude") * 1e6).cast("decimal(19,0)"),
+        "y": F.round(F.col("longitude") * 1e6).cast("decimal(19,0)"),
+        "h": clock.login_hour().cast("decimal(19,0)"),
+    }
+    products = {f"s{a}{b}": (micro[a] * micro[b]).cast("decimal(38,0)") for a, b in ("xx", "xy", "xh", "yy", "yh", "hh")}
+    return {**{f"s{a}": c for a, c in micro.items()}, **products}
+
+
+MOMENTS = ("sx", "sy", "sh", "sxx", "sxy", "sxh", "syy", "syh", "shh")
+
+
 def covariance_sums(logins: DataFrame) -> DataFrame:
     """Exact, mergeable sums of (lat, lon, hour) and their products per user.
 
     Coordinates are whole microdegrees in decimals, so the sums do not depend
     on row order and two batches merge by plain addition.
     """
-    micro = {
-        "x": F.round(F.col("latitude") * 1e6).cast("decimal(19,0)"),
-        "y": F.round(F.col("longitude") * 1e6).cast("decimal(19,0)"),
-        "h": clock.login_hour().cast("decimal(19,0)"),
-    }
-    sums = [F.sum(c).cast("decimal(38,0)").alias(f"s{a}") for a, c in micro.items()]
-    products = [F.sum((micro[a] * micro[b]).cast("decimal(38,0)")).cast("decimal(38,0)").alias(f"s{a}{b}")
-                for a, b in ("xx", "xy", "xh", "yy", "yh", "hh")]
-    return logins.groupBy(USER).agg(F.count("*").alias("n"), *sums, *products)
+    sums = [F.sum(c).cast("decimal(38,0)").alias(name) for name, c in moments().items()]
+    return logins.groupBy(USER).agg(F.count("*").alias("n"), *sums)
+
+
+def merge_sums(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new).groupBy(USER).agg(
+        F.sum("n").alias("n"), *[F.sum(c).cast("decimal(38,0)").alias(c) for c in MOMENTS])
 
 
 def covariance_stats(logins: DataFrame) -> DataFrame:
     """Mean vector and sample covariance of (lat, lon, hour), in degrees and hours."""
-    s = covariance_sums(logins)
+    return stats_of_sums(covariance_sums(logins), USER)
+
+
+def stats_of_sums(s: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, `n`, and mean and covariance out of the sums."""
     n = F.col("n").cast("double")
     n_dec = F.col("n").cast("decimal(19,0)")
     unit = {"x": 1e6, "y": 1e6, "h": 1.0}
@@ -59,10 +75,10 @@ def covariance_stats(logins: DataFrame) -> DataFrame:
         top = (n_dec * F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}")).cast("double")
         return F.when(F.col("n") > 1, top / (n * (n - 1)) / (unit[a] * unit[b]))
 
-    means = {f"mean_{name}": F.col(f"s{a}").cast("double") / n / unit[a]
+    means = {f"mean_{name}": F.col(f"s{a}").cast("double") / F.nullif(n, F.lit(0.0)) / unit[a]
              for a, name in (("x", "lat"), ("y", "lon"), ("h", "hour"))}
     covs = {f"cov_{a}{b}": cov(a, b) for a, b in ("xx", "xy", "xh", "yy", "yh", "hh")}
-    return s.select(USER, "n", *[c.alias(k) for k, c in {**means, **covs}.items()])
+    return s.select(*keep, "n", *[c.alias(k) for k, c in {**means, **covs}.items()])
 
 
 def _factor(s: dict[str, Column]) -> dict[str, Column]:
@@ -81,7 +97,11 @@ def mahalanobis_model(history: DataFrame, skew: SkewPolicy = SKEW,
 
     A nearly singular covariance gets a ridge of 1e-6 on its diagonal.
     """
-    s = covariance_stats(recent_history(history, skew, history_limit)).where("n > 1")
+    return model_of_stats(covariance_stats(recent_history(history, skew, history_limit)).where("n > 1"), USER)
+
+
+def model_of_stats(s: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and the model's, out of means and covariances."""
     keys = ("xx", "xy", "xh", "yy", "yh", "hh")
     plain = _factor({k: F.col(f"cov_{k}") for k in keys})
     sound = ((F.col("cov_xx") > 0)
@@ -92,7 +112,7 @@ def mahalanobis_model(history: DataFrame, skew: SkewPolicy = SKEW,
     filled = marked.withColumns({f"cov_{k}": F.col(f"cov_{k}") + ridge for k in ("xx", "yy", "hh")})
     factors = _factor({k: F.col(f"cov_{k}") for k in keys})
     return filled.select(
-        USER, F.col("n").alias("history_rows"), "mean_lat", "mean_lon", "mean_hour", "degenerate",
+        *keep, F.col("n").alias("history_rows"), "mean_lat", "mean_lon", "mean_hour", "degenerate",
         *[c.alias(k) for k, c in factors.items()])
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loginlens.functions import clock, geo
+from loginlens.operators.mergeable import (coordinates, gap_changes, gap_counts, gaps_of, login_times, merge_coordinates,
+                                            merge_gap_counts, merge_times, spread_of)
 from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, join_per_user, latest
 from loginlens.schema import EVENT, ORDER, TIME, USER
 from loginlens.session import durable
@@ -179,6 +181,10 @@ class Profile:
     days: DataFrame
     gaps: DataFrame
     spread: DataFrame
+    # What the two metrics are merged from.
+    gap_counts: DataFrame
+    times: DataFrame
+    coordinates: DataFrame
 
     def write(self, path: str) -> "Profile":
         """Write a snapshot to a directory of its own, replacing an earlier attempt."""
@@ -223,30 +229,30 @@ def user_counters(logins: DataFrame) -> dict[str, DataFrame]:
 def build_profile(logins: DataFrame, skew: SkewPolicy = SKEW) -> Profile:
     skew = skew.measured(logins)
     return Profile(**user_counters(logins), locations=user_locations(logins),
-                   gaps=login_gaps(logins, skew), spread=geo_variance(logins, skew))
+                   gaps=login_gaps(logins, skew), spread=geo_variance(logins, skew),
+                   gap_counts=gap_counts(logins, skew), times=login_times(logins), coordinates=coordinates(logins))
 
 
-def _merge_counts(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    return old.unionByName(new).groupBy(*keys).agg(F.sum("count").alias("count"))
+def _merge_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("count").alias("count"))
 
 
-def merge_totals(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy(USER).agg(
+def merge_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(USER).agg(
         F.sum("total_logins").alias("total_logins"),
         F.min("first_login").alias("first_login"),
         F.max("last_login").alias("last_login"))
 
 
-def merge_devices(old: DataFrame, new: DataFrame) -> DataFrame:
-    both = old.drop("percentage").unionByName(new.drop("percentage"))
-    return _with_share(both.groupBy(USER, "device_id").agg(
+def merge_devices(rows: DataFrame) -> DataFrame:
+    return _with_share(rows.groupBy(USER, "device_id").agg(
         F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen")))
 
 
-def merge_locations(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_locations(rows: DataFrame) -> DataFrame:
     earliest = F.min_by(F.struct("lat", "lon"), F.col("first_order"))
-    return (old.unionByName(new).groupBy(USER, *CELL).agg(
+    return (rows.groupBy(USER, *CELL).agg(
         F.sum("count").alias("count"), earliest.alias("_first"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.min("first_order").alias("first_order"))
@@ -254,48 +260,67 @@ def merge_locations(old: DataFrame, new: DataFrame) -> DataFrame:
                 F.col("_first.lon").alias("lon"), "first_seen", "last_seen", "first_order"))
 
 
-def merge_profiles(old: Profile, batch: DataFrame, stored: DataFrame,
+#: Tables that are sums: how rows of several batches, or of a profile and a batch, become one table.
+MERGES = {
+    "totals": merge_totals, "devices": merge_devices, "locations": merge_locations,
+    "hours": lambda rows: _merge_counts(rows, USER, "hour"), "days": lambda rows: _merge_counts(rows, USER, "day"),
+    "gap_counts": merge_gap_counts, "times": merge_times, "coordinates": merge_coordinates,
+}
+
+
+def increments(batch: DataFrame, totals: DataFrame, times: DataFrame, skew: SkewPolicy = SKEW) -> dict[str, DataFrame]:
+    """What a batch adds to each table of ``MERGES``, given the totals and login times of what went before."""
+    return {**user_counters(batch), "locations": user_locations(batch),
+            "gap_counts": gap_changes(batch, totals, times, skew), "times": login_times(batch),
+            "coordinates": coordinates(batch)}
+
+
+def touched_metrics(added: dict[str, DataFrame], counts: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
+    """Gap and spread metrics of the users of a batch, from its increments and their counts and places before it."""
+    users = added["totals"].select(USER)
+    gaps = merge_gap_counts(counts.join(users, USER, "left_semi").unionByName(added["gap_counts"]))
+    spread = merge_coordinates(places.join(users, USER, "left_semi").unionByName(added["coordinates"]))
+    return {"gaps": gaps_of(durable(gaps), users), "spread": spread_of(durable(spread), SPREAD_FIELDS)}
+
+
+def merge_profiles(old: Profile, batch: DataFrame, stored: DataFrame | None = None,
                    skew: SkewPolicy = SKEW, history_limit: int | None = None) -> Profile:
     """Fold a batch into a profile.
 
-    Counters add up, so only the batch is aggregated. Gap and spread metrics of
-    users in the batch are recomputed from their stored events (which include the
-    batch), or from the newest ``history_limit`` of them; a user new in this batch
-    gets them from the batch. Without a limit the result equals a profile built
-    from all events.
+    Everything adds up, so only the batch is aggregated, and the metrics of its users
+    follow from their gap counts and places. The result equals a profile built from
+    all events, in whatever order they came. With ``history_limit`` the metrics are
+    those of the newest events in ``stored`` (which include the batch).
     """
-    counted = user_counters(batch)
-    touched = counted["totals"]
-    known = touched.join(old.totals.select(USER), USER, "left_semi").select(USER)
-    recent = stored.join(known, USER, "left_semi")
-    if history_limit is not None:
-        recent = latest(recent, history_limit, skew)
-    fresh = batch.join(old.totals.select(USER), USER, "left_anti")
-    # Read several times below, and recency ranking is costly: keep it.
-    rows = durable(recent.select(*LOGIN_METRIC_COLUMNS).unionByName(fresh.select(*LOGIN_METRIC_COLUMNS)))
-    return Profile(
-        totals=merge_totals(old.totals, touched),
-        devices=merge_devices(old.devices, counted["devices"]),
-        locations=merge_locations(old.locations, user_locations(batch)),
-        hours=_merge_counts(old.hours, counted["hours"], USER, "hour"),
-        days=_merge_counts(old.days, counted["days"], USER, "day"),
-        gaps=upsert(old.gaps, login_gaps(rows, skew)),
-        spread=upsert(old.spread, geo_variance(rows, skew)))
+    added = increments(batch, old.totals, old.times, skew)
+    added = {**added, "gap_counts": durable(added["gap_counts"])}
+    merged = {name: MERGES[name](_plain(getattr(old, name)).unionByName(_plain(rows))) for name, rows in added.items()}
+    if history_limit is None:
+        metrics = touched_metrics(added, old.gap_counts, old.coordinates)
+    else:
+        metrics = recent_metrics(batch, stored, history_limit, skew)
+    return Profile(**merged, **{name: upsert(getattr(old, name), rows) for name, rows in metrics.items()})
+
+
+def recent_metrics(batch: DataFrame, stored: DataFrame, history_limit: int, skew: SkewPolicy = SKEW) -> dict[str, DataFrame]:
+    """Gap and spread metrics of a batch's users from their newest stored events."""
+    recent = latest(stored.join(batch.select(USER).distinct(), USER, "left_semi"), history_limit, skew)
+    rows = durable(recent.select(*LOGIN_METRIC_COLUMNS))  # read several times, and ranking is costly
+    return {"gaps": login_gaps(rows, skew), "spread": geo_variance(rows, skew)}
 
 
 LOGIN_METRIC_COLUMNS = (USER, EVENT, TIME, "latitude", "longitude")
 
 
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.drop("percentage")
+
+
 def apply_logins(profile: Profile, logins: DataFrame) -> Profile:
     """Counter update after scoring: no metric is recomputed, new users get none."""
-    counted = user_counters(logins)
-    return replace(
-        profile,
-        totals=merge_totals(profile.totals, counted["totals"]),
-        devices=merge_devices(profile.devices, counted["devices"]),
-        locations=merge_locations(profile.locations, user_locations(logins)),
-        hours=_merge_counts(profile.hours, counted["hours"], USER, "hour"),
-        days=_merge_counts(profile.days, counted["days"], USER, "day"))
+    added = increments(logins, profile.totals, profile.times)
+    return replace(profile, **{
+        name: MERGES[name](_plain(getattr(profile, name)).unionByName(_plain(rows))) for name, rows in added.items()})
 
 
 def upsert(existing: DataFrame, updates: DataFrame, key: str = USER) -> DataFrame:

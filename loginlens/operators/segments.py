@@ -163,6 +163,24 @@ class Ordered:
             lambda own, over: F.sum(own).over(over.rowsBetween(Window.unboundedPreceding, -1)),
             lambda inside, carry: inside + F.coalesce(carry, F.lit(0)), small)
 
+    def sums_before(self, values: dict[str, Column]) -> "Ordered":
+        """Sums of decimal columns over strictly earlier logins, zero for the first; one window for all.
+
+        Sums are decimal(38,0), so they do not depend on how the history is cut.
+        """
+        w = self._window().rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0).cast("decimal(38,0)")
+        total = lambda c: F.coalesce(F.sum(c).cast("decimal(38,0)"), zero)
+        inside = F.struct(*[F.coalesce(F.sum(c).over(w).cast("decimal(38,0)"), zero).alias(k) for k, c in values.items()])
+        agg = F.struct(*[total(c).alias(k) for k, c in values.items()])
+        scan = lambda own, over: F.struct(*[
+            F.coalesce(F.sum(own[k]).over(over.rowsBetween(Window.unboundedPreceding, -1)).cast("decimal(38,0)"), zero).alias(k)
+            for k in values])
+        add = lambda a, b: F.struct(*[
+            (a[k] + F.coalesce(b[k], zero)).cast("decimal(38,0)").alias(k) for k in values])
+        out = self._with_carry("_sums", inside, (), agg, scan, add, True)
+        return self._next(out.rows.withColumns({k: F.col(f"_sums.{k}") for k in values}).drop("_sums"))
+
     def number(self, name: str) -> "Ordered":
         """1-based position of the login in the user's history."""
         out = self.count_before(name, small=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loginlens.functions import clock, geo, stats, text
 from loginlens.operators import (chunks, dbscan, geocode, identify, kmeans, layers, outliers, patterns, profiles,
-                                 quality, replay, scoring)
+                                 quality, replay, scoring, seeded)
 from loginlens.operators.segments import latest
 from loginlens.plans import oracle as o
 from loginlens.plans.ingest import Snapshot, process_logins
@@ -21,6 +21,8 @@ from loginlens.plans.score import score_logins
 from loginlens.schema import EVENT, TIME, USER, WEIGHTS
 from loginlens.session import durable, run_dir
 from loginlens.sources import documents, encode, readers, sinks
+from loginlens.sources.event_store import EventStore
+from loginlens.sources.profile_log import ProfileLog
 from loginlens.sources.event_logins import derive_logins, logins_from_events, raw_logins
 from loginlens.streaming.ingest import stream_ingest
 from loginlens.streaming.scores import drop_repeats, stream_scores
@@ -31,6 +33,8 @@ ORACLES: dict[str, str] = {}
 
 LATEST_N = 20
 CHUNK_SIZE = 25
+#: Buckets of the stores that queries make; a store of a 1000 times the events takes that many more.
+CATALOG_BUCKETS = 8
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -1029,6 +1033,44 @@ def _(spark, sf):
     return replay.replay_scores(logins(spark, sf)).drop("device_count", "hour_count", "day_count")
 
 
+_STATE = ("total_logins", "device_count", "hour_count", "day_count")
+
+
+@query("replay_from_snapshot", f"""
+  SELECT event_id, user_id, stored, {", ".join(f"CASE WHEN stored THEN {c} END AS {c}" for c in _STATE)},
+    stored AND degenerate AS degenerate, round(c, 6) AS combined_score, c > 0.7::DOUBLE AS is_anomalous,
+    CASE WHEN stored THEN round(location, 6) ELSE 0.5 END AS location_score,
+    CASE WHEN stored THEN round(device, 6) ELSE 0.5 END AS device_score,
+    CASE WHEN stored THEN round("time", 6) ELSE 0.5 END AS time_score,
+    CASE WHEN stored THEN velocity ELSE 0.5 END AS velocity_score,
+    CASE WHEN stored THEN round(mahalanobis, 6) ELSE 0.5 END AS mahalanobis_score
+  FROM (SELECT *, CASE WHEN stored THEN """ + _COMBINED.format(
+      location="location", device="device", time='"time"', velocity="velocity", forest="0.5::DOUBLE",
+      mahalanobis="mahalanobis") + """ ELSE 0.5 END AS c FROM fresh_replayed)""", "fresh_replayed")
+def _(spark, sf):
+    """Each fresh login against its user's state just before it, from the snapshot of the history on."""
+    past = hist(spark, sf)
+    out = seeded.replay_from_snapshot(fresh(spark, sf), seeded.Seed.of(past), dense_clusters(past))
+    degenerate = F.coalesce("mahalanobis_details.degenerate", F.lit(False))
+    sure = lambda c: F.when(~degenerate, c)
+    return out.select(
+        EVENT, USER, "stored", *[F.when(F.col("stored"), F.col(c)).alias(c) for c in _STATE],
+        degenerate.alias("degenerate"), sure(F.col("is_anomalous")).alias("is_anomalous"),
+        sure(F.round("combined_score", 6)).alias("combined_score"), sure(F.round("mahalanobis_score", 6)).alias("mahalanobis_score"),
+        *[F.round(f"{n}_score", 6).alias(f"{n}_score") for n in WEIGHTS if n not in ("isolation_forest", "mahalanobis")])
+
+
+@query("replay_from_snapshot_all_users")
+def _(spark, sf):
+    """All six scores of the fresh logins; the patterns are renewed on the fifth day and at the end of the history."""
+    rows, past = logins(spark, sf), hist(spark, sf)
+    first = _before(rows, o.FIFTH_DAY)
+    versions = identify.identify_patterns(first).withColumn(seeded.SINCE, F.lit(o.FIFTH_DAY).cast("timestamp_ntz")).unionByName(
+        identify.identify_patterns(past).withColumn(seeded.SINCE, F.lit(o.CUTOFF).cast("timestamp_ntz")))
+    out = seeded.replay_from_snapshot(_since(rows, o.FIFTH_DAY), seeded.Seed.of(first), durable(versions), rows)
+    return out.drop(*[f"{n}_details" for n in WEIGHTS])
+
+
 @query("replay_velocity", f"""SELECT event_id, user_id, "timestamp", CASE WHEN gap_h <= 0 THEN 1.0::DOUBLE
   ELSE {o.tiers('speed')} END AS velocity_score FROM replay_speed WHERE last_login IS NOT NULL""", "replay_speed")
 def _(spark, sf):
@@ -1048,7 +1090,7 @@ def impossible_travel(spark, sf):
        "later", "early")
 def _(spark, sf):
     store, rows = run_dir(spark, "store"), logins(spark, sf)
-    process_logins(_before(rows, o.NOON_OF_FIRST_DAY), store, 0, None)
+    process_logins(_before(rows, o.NOON_OF_FIRST_DAY), store, 0, None, buckets=CATALOG_BUCKETS)
     return process_logins(_since(rows, o.NOON_OF_FIRST_DAY), store, 1, 0)
 
 
@@ -1070,13 +1112,13 @@ def _(spark, sf):
 
 def _scored_and_stored(spark, sf, clusters, isolation: bool):
     store, past = run_dir(spark, "scored"), hist(spark, sf)
-    sinks.login_events(past).write.parquet(f"{store}/events/batch_id=0")
-    profiles.build_profile(past).write(f"{store}/snapshots/0/profile")
-    clusters.write.parquet(f"{store}/snapshots/0/patterns")
+    kept = EventStore.open(spark, store, CATALOG_BUCKETS)
+    kept.append(sinks.login_events(past), 0)
+    ProfileLog(spark, store).commit_profile(0, profiles.build_profile(past), clusters)
     score_logins(fresh(spark, sf), store, 1, 0, isolation=isolation)
     found = lambda path: F.get_json_object("details", path)
-    events = spark.read.parquet(f"{store}/events/batch_id=1")
-    after = spark.read.parquet(f"{store}/snapshots/1/profile/totals").select(USER, F.col("total_logins").alias("total_after"))
+    events = kept.batch(1)
+    after = ProfileLog(spark, store).read("totals", 1).select(USER, F.col("total_logins").alias("total_after"))
     return events.select(
         EVENT, USER, found("$.device_details.device_status").alias("device_status"),
         found("$.device_details.previous_usage_count").cast("bigint").alias("previous_usage_count"),
@@ -1116,7 +1158,7 @@ def _(spark, sf):
 @query("stream_ingest", "SELECT * FROM logins_totals", "logins_totals")
 def _(spark, sf):
     work = run_dir(spark, "ingest")
-    writer = stream_ingest(_login_stream(spark, sf), f"{work}/store", f"{work}/state")
+    writer = stream_ingest(_login_stream(spark, sf), f"{work}/store", f"{work}/state", buckets=CATALOG_BUCKETS)
     writer.trigger(availableNow=True).start().awaitTermination()
     return Snapshot.read(spark, f"{work}/store/snapshots/0").profile.totals
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loginlens.operators.identify import identify_patterns
-from loginlens.operators.profiles import (Profile, build_profile, ingest_stats, merge_profiles, upsert)
+from loginlens.operators.profiles import Profile, ingest_stats, recent_metrics, touched_metrics
 from loginlens.operators.segments import SKEW, SkewPolicy, latest
 from loginlens.operators.quality import ensure_valid
 from loginlens.schema import EVENT, TIME, USER, require_columns
 from loginlens.session import durable
+from loginlens.sources.event_store import BUCKETS, EventStore
+from loginlens.sources.profile_log import ProfileLog, increments_after
 from loginlens.sources.sinks import login_events
 
 
@@ -25,7 +27,10 @@ class Snapshot:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "Snapshot":
-        return cls(Profile.read(spark, f"{path}/profile"), spark.read.parquet(f"{path}/patterns"))
+        """The snapshot that ``snapshot_path`` names, put together from the log of its store."""
+        store, version = path.rsplit("/snapshots/", 1)
+        log = ProfileLog(spark, store)
+        return cls(log.profile(int(version)), log.patterns(int(version)))
 
 
 def snapshot_path(store: str, batch_id: int) -> str:
@@ -34,57 +39,56 @@ def snapshot_path(store: str, batch_id: int) -> str:
 
 def stored_events(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
     """Events of all batches up to and including one."""
-    return (spark.read.option("basePath", f"{store}/events").parquet(f"{store}/events")
-            .where(F.col("batch_id") <= batch_id).drop("batch_id"))
+    return EventStore.open(spark, store).events(batch_id)
 
 
 def process_logins(batch: DataFrame, store: str, batch_id: int, previous: int | None,
-                   history: str = "stored", skew: SkewPolicy = SKEW, history_limit: int | None = None) -> DataFrame:
+                   history: str = "stored", skew: SkewPolicy = SKEW, history_limit: int | None = None,
+                   buckets: int = BUCKETS) -> DataFrame:
     """Ingest one batch and return (users_processed, new_users, updated_users).
 
-    Every table is written below a directory of this batch, so running the same
-    batch again replaces its own output and never the input. Rows that fail the
+    Events go to a store clustered by user; ``buckets`` is the layout of a new one.
+    Profiles and patterns go to a log, of which a batch writes its own changes. Running
+    the same batch again replaces its own output and never the input. Rows that fail the
     quality checks go to a reject table; logins stored by an earlier batch are
-    not stored or counted again. Patterns and metrics of the batch's users come
-    from their stored events (or the newest ``history_limit`` of them), in the
-    first batch as in later ones; ``history='batch'`` takes patterns from the
-    batch alone.
+    not stored or counted again. Metrics follow from counts that add up; patterns of the
+    batch's users come from their stored events (or the newest ``history_limit`` of them,
+    then of the metrics too), in the first batch as in later ones; ``history='batch'``
+    takes patterns from the batch alone.
     """
     if history not in ("stored", "batch"):
         raise ValueError("history must be 'stored' or 'batch'")
     spark = batch.sparkSession
     require_columns(batch)
-    events_path, target = f"{store}/events/batch_id={batch_id}", snapshot_path(store, batch_id)
+    kept, log = EventStore.open(spark, store, buckets), ProfileLog(spark, store)
     valid = ensure_valid(batch)
     batch.join(valid.select(EVENT).distinct(), EVENT, "left_anti").write.mode("overwrite").parquet(
         f"{store}/rejects/batch_id={batch_id}")
     events = login_events(valid)
     if previous is not None:
-        # Only stored events of the batch's own time range can be repeats; the range prunes the scan.
+        # Repeats are events of the batch's users, of any age, or of anyone in the batch's own time range.
         ends = valid.agg(F.min(TIME).alias("low"), F.max(TIME).alias("high")).first()
         if ends["low"] is not None:
-            before = stored_events(spark, store, previous).where(F.col(TIME).between(ends["low"], ends["high"]))
-            events = events.join(before.select(EVENT), EVENT, "left_anti")
-    events.write.mode("overwrite").parquet(events_path)
-    logins = spark.read.parquet(events_path)
-
-    if previous is None:
-        profile = build_profile(logins, skew)
-        stats = ingest_stats(logins, profile.totals.limit(0))
-        source = logins
+            before = kept.of_users(valid, previous).select(EVENT).unionByName(
+                kept.events(previous).where(F.col(TIME).between(ends["low"], ends["high"])).select(EVENT))
+            events = events.join(before, EVENT, "left_anti")
+    kept.append(events, batch_id)
+    logins = kept.batch(batch_id)
+
+    added = increments_after(logins, log, previous, skew)
+    added = {**added, "gap_counts": durable(added["gap_counts"])}
+    users = added["totals"].select(USER)
+    before = {name: None if previous is None else log.read(name, previous, users)
+              for name in ("totals", "gap_counts", "coordinates")}
+    before = {name: added[name].limit(0) if rows is None else rows for name, rows in before.items()}
+    stats = durable(ingest_stats(logins, before["totals"]))
+    stored = None if history == "batch" and history_limit is None else kept.of_users(logins, batch_id)
+    if history_limit is None:
+        metrics = touched_metrics(added, before["gap_counts"], before["coordinates"])
     else:
-        old = Snapshot.read(spark, snapshot_path(store, previous))
-        stored = stored_events(spark, store, batch_id)
-        profile = merge_profiles(old.profile, logins, stored, skew, history_limit)
-        stats = ingest_stats(logins, old.profile.totals)
-        touched = logins.select(USER).distinct()
-        source = logins if history == "batch" else stored.join(touched, USER, "left_semi")
+        metrics = recent_metrics(logins, stored, history_limit, skew)
+    source = logins if history == "batch" else stored
     if history_limit is not None:
         source = latest(source, history_limit, skew).drop("recency")
-    stats = durable(stats)
-    profile.write(f"{target}/profile")
-    patterns = identify_patterns(source, skew=skew)
-    if previous is not None:
-        patterns = upsert(old.patterns, patterns)
-    patterns.write.mode("overwrite").parquet(f"{target}/patterns")
+    log.commit(batch_id, added, {**metrics, "patterns": identify_patterns(source, skew=skew)})
     return stats

@@ -309,19 +309,17 @@ _COV = {"xx": ("x", "x", 1e12), "xy": ("x", "y", 1e12), "xh": ("x", "h", 1e6),
         "yy": ("y", "y", 1e12), "yh": ("y", "h", 1e6), "hh": ("h", "h", 1.0)}
 
 
-def covariance_tables(src: str) -> None:
-    sums = ", ".join(f"sum(CAST({a} AS HUGEINT) * {b}) AS s{k}" for k, (a, b, _) in _COV.items())
+_MICRO = """CAST(round(latitude * 1e6) AS BIGINT) AS x, CAST(round(longitude * 1e6) AS BIGINT) AS y, hour("timestamp") AS h"""
+
+
+def covariance_tables(src: str, keys: str, sums: str) -> None:
+    """Means, covariances, pivots and the degenerate flag from the table ``sums`` with ``keys``, n and sums."""
     covs = ", ".join(
         f"CASE WHEN n > 1 THEN CAST(n * s{k} - s{a} * s{b} AS DOUBLE) / (n::DOUBLE * (n - 1)) / {u}::DOUBLE END AS cov_{k}"
         for k, (a, b, u) in _COV.items())
     table(f"{src}_cov", f"""
-      SELECT user_id, n, sx::DOUBLE / n / 1e6 AS mean_lat, sy::DOUBLE / n / 1e6 AS mean_lon,
-             sh::DOUBLE / n AS mean_hour, {covs}
-      FROM (SELECT user_id, count(*) AS n, sum(CAST(x AS HUGEINT)) AS sx, sum(CAST(y AS HUGEINT)) AS sy,
-                   sum(CAST(h AS HUGEINT)) AS sh, {sums}
-            FROM (SELECT user_id, CAST(round(latitude * 1e6) AS BIGINT) AS x,
-                         CAST(round(longitude * 1e6) AS BIGINT) AS y, hour("timestamp") AS h FROM {src})
-            GROUP BY user_id)""", src)
+      SELECT {keys}, n, sx::DOUBLE / nullif(n, 0) / 1e6 AS mean_lat, sy::DOUBLE / nullif(n, 0) / 1e6 AS mean_lon,
+             sh::DOUBLE / nullif(n, 0) AS mean_hour, {covs} FROM {sums}""", sums)
     table(f"{src}_pivots", f"""
       SELECT *, cov_hh - cov_xh * cov_xh / nullif(cov_xx, 0) - m * m / nullif(p2, 0) AS p3 FROM (
         SELECT *, cov_yy - cov_xy * cov_xy / nullif(cov_xx, 0) AS p2,
@@ -331,7 +329,16 @@ def covariance_tables(src: str) -> None:
                AS degenerate FROM {src}_pivots""", f"{src}_pivots")
 
 
-covariance_tables("hist")
+def user_covariance(src: str) -> None:
+    sums = ", ".join(f"sum(CAST({a} AS HUGEINT) * {b}) AS s{k}" for k, (a, b, _) in _COV.items())
+    table(f"{src}_sums", f"""
+      SELECT user_id, count(*) AS n, sum(CAST(x AS HUGEINT)) AS sx, sum(CAST(y AS HUGEINT)) AS sy,
+             sum(CAST(h AS HUGEINT)) AS sh, {sums}
+      FROM (SELECT user_id, {_MICRO} FROM {src}) GROUP BY user_id""", src)
+    covariance_tables(src, "user_id", f"{src}_sums")
+
+
+user_covariance("hist")
 def mahalanobis_table(logins: str, src: str) -> None:
     """Distance and score of logins against the models of ``src``; degenerate users are left out."""
     z3 = "(h - cov_xh / cov_xx * x - m / p2 * (y - cov_xy / cov_xx * x))"
@@ -346,10 +353,26 @@ def mahalanobis_table(logins: str, src: str) -> None:
                                     WHERE NOT degenerate) c ON c.owner = f.user_id))""", logins, f"{src}_model")
 
 
-covariance_tables("start")
+user_covariance("start")
 mahalanobis_table("fresh", "hist")
 mahalanobis_table("after_start", "start")
 
+# The covariance model of all logins before each one.
+_RUNNING = ", ".join(f"coalesce(sum(CAST({a} AS HUGEINT) * {b}) OVER p, 0) AS s{k}" for k, (a, b, _) in _COV.items())
+table("asof_sums", f"""
+  SELECT event_id, user_id, "timestamp", latitude, longitude, count(*) OVER p AS n, coalesce(sum(CAST(x AS HUGEINT)) OVER p, 0) AS sx,
+         coalesce(sum(CAST(y AS HUGEINT)) OVER p, 0) AS sy, coalesce(sum(CAST(h AS HUGEINT)) OVER p, 0) AS sh, {_RUNNING}
+  FROM (SELECT *, {_MICRO} FROM logins) WINDOW p AS (PARTITION BY user_id {_PAST})""", "logins")
+covariance_tables("asof", 'event_id, user_id, "timestamp", latitude, longitude', "asof_sums")
+_Y = "(y - cov_xy / cov_xx * x)"
+_H = f"(h - cov_xh / cov_xx * x - m / p2 * {_Y})"
+table("asof_mahalanobis", f"""
+  SELECT event_id, n, degenerate, CASE WHEN NOT degenerate THEN {chi2_cdf_3('d')} END AS score FROM (
+    SELECT *, CASE WHEN NOT degenerate
+                   THEN sqrt(greatest(0, x * x / cov_xx + {_Y} * {_Y} / p2 + {_H} * {_H} / p3)) END AS d
+    FROM (SELECT *, latitude - mean_lat AS x, longitude - mean_lon AS y, hour("timestamp") - mean_hour AS h FROM asof_model))""",
+      "asof_model")
+
 # Detectors on the frozen profile.
 table("fresh_device", """
   SELECT f.event_id, f.user_id, CASE WHEN d."count" IS NULL THEN 0.9::DOUBLE ELSE 1 - d.percentage / 100 END AS score,
@@ -393,3 +416,11 @@ table("fresh_scores", """
   JOIN fresh_time t ON t.event_id = f.event_id JOIN fresh_velocity v ON v.event_id = f.event_id
   LEFT JOIN hist_model n ON n.user_id = f.user_id LEFT JOIN fresh_mahalanobis m ON m.event_id = f.event_id""",
       "fresh_location", "fresh_device", "fresh_time", "fresh_velocity", "fresh_mahalanobis")
+
+# The same logins one after another: the state of the replay, patterns of the history.
+table("fresh_replayed", """
+  SELECT f.event_id, f.user_id, l.event_id IS NOT NULL AS stored, r.total_logins, r.device_count, r.hour_count, r.day_count,
+    l.score AS location, r.device_score AS device, r.time_score AS "time", r.velocity_score AS velocity,
+    m.n >= 10 AND m.degenerate AS degenerate, CASE WHEN m.n >= 10 THEN m.score ELSE 0.5::DOUBLE END AS mahalanobis
+  FROM fresh f JOIN replay r ON r.event_id = f.event_id JOIN asof_mahalanobis m ON m.event_id = f.event_id
+  LEFT JOIN fresh_location l ON l.event_id = f.event_id""", "fresh_location", "replay", "asof_mahalanobis")

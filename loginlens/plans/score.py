@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from loginlens.operators.profiles import apply_logins
 from loginlens.operators.quality import ensure_valid
 from loginlens.operators.scoring import analyze_logins
 from loginlens.operators.segments import SKEW, SkewPolicy
-from loginlens.plans.ingest import Snapshot, snapshot_path, stored_events
+from loginlens.plans.ingest import Snapshot, snapshot_path
 from loginlens.schema import EVENT, require_columns
 from loginlens.session import durable
+from loginlens.sources.event_store import EventStore
+from loginlens.sources.profile_log import ProfileLog, increments_after
 from loginlens.sources.sinks import login_events
 
 
 def score_logins(batch: DataFrame, store: str, batch_id: int, previous: int, isolation: bool = True,
                  skew: SkewPolicy = SKEW) -> DataFrame:
-    """Scores and details of a batch against snapshot ``previous``; writes snapshot ``batch_id``.
+    """Scores and details of a batch against snapshot ``previous``; makes it snapshot ``batch_id``.
 
     Logins of users with enough stored data are stored with verdict and details
     and added to the counters; those of other users get neutral scores and leave
@@ -26,12 +27,10 @@ def score_logins(batch: DataFrame, store: str, batch_id: int, previous: int, iso
     spark = batch.sparkSession
     old = Snapshot.read(spark, snapshot_path(store, previous))
     valid = ensure_valid(require_columns(batch))
-    results = durable(analyze_logins(valid, old.profile, old.patterns, stored_events(spark, store, previous),
-                                     isolation, skew=skew))
+    kept = EventStore.open(spark, store)
+    results = durable(analyze_logins(valid, old.profile, old.patterns, kept.of_users(valid, previous), isolation, skew=skew))
     accepted = results.where("stored")
-    path = f"{store}/events/batch_id={batch_id}"
-    login_events(valid.join(accepted.select(EVENT), EVENT, "left_semi"), accepted).write.mode("overwrite").parquet(path)
-    target = snapshot_path(store, batch_id)
-    apply_logins(old.profile, spark.read.parquet(path)).write(f"{target}/profile")
-    old.patterns.write.mode("overwrite").parquet(f"{target}/patterns")
+    kept.append(login_events(valid.join(accepted.select(EVENT), EVENT, "left_semi"), accepted), batch_id)
+    # Metrics and patterns stay; the counts behind the metrics move on, for the next ingest.
+    ProfileLog(spark, store).commit(batch_id, increments_after(kept.batch(batch_id), ProfileLog(spark, store), previous, skew), {})
     return results
