@@ -15,10 +15,11 @@ Payloads are what follows the HTTP headers, or the block of records of other kin
 Assembly: records are joined through concurrent-to identifiers, in either direction.
 Responses, revisits and resources are captures. A record that names, or is named by, a
 capture belongs to it; one that reaches a capture over other records belongs to the
-capture it reaches in the fewest steps, ties to the smallest place (path, number). One
-nested row per capture holds its record, its requests and its metadata; all records of
-a capture meet in that row, so its size is theirs. A request or metadata record that
-reaches no capture gets a row without one. Payloads are shuffled once at most.
+capture it reaches in the fewest steps, ties to the smallest place (path, number).
+Records are read from the archives once and kept as a table meanwhile. One nested row
+per capture holds its record, its requests and its metadata; all records of a capture
+meet in that row, so its size is theirs. A request or metadata record that reaches no
+capture gets a row without one. Payloads are shuffled once at most.
 
 Joins with one hot key (one payload, one response that many revisits name) are split:
 keys above a 1024th of the rows, and a thousand, are at most 1024 and are broadcast.
@@ -336,6 +337,7 @@ def _parsed(headers: list[tuple[str, str]], first: dict[str, str], block: bytes)
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: `capture` (its record, with `at`), `requests` and `metadata` (arrays of theirs, by place)."""
     place = F.struct("path", "number").alias("at")
+    records = durable(records)  # archives are read once
     whole = records.where(F.col("problem").isNull()).select(
         place, "type", F.struct(*[c for c in records.columns if c != "problem"]).alias("record"))
     light = durable(whole.select("at", "type", F.col("record.record_id").alias("id"), F.col("record.concurrent_to").alias("names")))
