@@ -18,7 +18,9 @@ shards' nearest are merged by rank. No step holds all queries or all vectors.
 
 Cases: vectors that are null, zero, or hold nulls or values that are not finite
 take no part; of another length than the most frequent one neither. Repeated
-ids are searched as rows; a query row does not meet candidates of its own id.
+ids are searched as rows, each with its own vector; repeated queries are answered
+each for itself; a query row does not meet candidates of its own id. Vectors without
+an id are candidates, come back with a null id, and are last among ties.
 Fewer than k candidates: all are returned. Empty tables give empty results.
 """
 
@@ -37,7 +39,7 @@ from loginlens.session import durable
 SHARD_ROWS = 8_192
 LEAF = 256
 BLOCK = 4_096
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, query_row long, vec_id long, score double"
 
 
 def usable(embedding: Column) -> Column:
@@ -77,8 +79,12 @@ def build(vectors: np.ndarray, leaf: int = LEAF, seed: int = 7) -> dict:
 
 
 def search(tree: dict, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int,
-           factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest (squared distance, id) of each query, its own id left out; missing ones are infinite."""
+           factor: float, without_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest (squared distance, row) of each query, rows of its own id left out; missing ones are infinite.
+
+    Rows are in order of their ids, so the smaller row of a tie has the smaller id; the last `without_id` have none.
+    """
+    named = len(ids) - without_id
     best = np.full((len(queries), k), np.inf)
     names = np.full((len(queries), k), np.iinfo(np.int64).max)
     squares = (queries ** 2).sum(axis=1)
@@ -91,12 +97,12 @@ def search(tree: dict, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray
                 some = vectors[rows]
                 away = squares[active, None] - 2 * queries[active] @ some.T + (some ** 2).sum(axis=1)
                 away = np.maximum(away, 0)
-                away[own[active, None] == ids[rows]] = np.inf
+                away[(own[active, None] == ids[rows]) & (rows < named)] = np.inf
                 all_away = np.concatenate([best[active], away], axis=1)
-                all_names = np.concatenate([names[active], np.broadcast_to(ids[rows], away.shape)], axis=1)
+                all_names = np.concatenate([names[active], np.broadcast_to(rows, away.shape)], axis=1)
                 by = np.argpartition(all_away, k - 1, axis=1)[:, :k]
                 near, called = np.take_along_axis(all_away, by, 1), np.take_along_axis(all_names, by, 1)
-                # Ties with the k-th go to the smaller id.
+                # Ties with the k-th go to the earlier row.
                 least = near.max(axis=1)
                 for i in np.flatnonzero((all_away <= least[:, None]).sum(axis=1) > k):
                     tied = np.flatnonzero(all_away[i] <= least[i])
@@ -123,7 +129,8 @@ def search(tree: dict, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray
 def build_index(vectors: DataFrame, shards: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Index table: one row per shard with its tree, ids and vectors (`vec_id, embedding` in)."""
     good = vectors.where(usable(F.col("embedding"))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        F.coalesce(F.col("vec_id").cast("long"), F.lit(0).cast("long")).alias("vec_id"), F.col("vec_id").isNull().alias("none"),
+        F.col("embedding").cast("array<double>").alias("embedding"))
     good = good.withColumn("width", F.size("embedding"))
     figures = good.groupBy("width").agg(
         F.count("*").alias("n"),
@@ -134,12 +141,13 @@ def build_index(vectors: DataFrame, shards: int | None = None, shard_rows: int =
     longest = float(np.sqrt(square))
 
     def plant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id", kind="stable")
+        rows = rows.sort_values(["none", "vec_id"], kind="stable")
         plain = np.array(rows["embedding"].tolist(), dtype=np.float64)
         rest = np.sqrt(np.maximum(longest ** 2 - (plain ** 2).sum(axis=1), 0))
         lifted = np.column_stack([plain, rest])
         tree = build(lifted)
-        held = {"tree": tree, "ids": rows["vec_id"].to_numpy(np.int64), "vectors": lifted}
+        held = {"tree": tree, "ids": rows["vec_id"].to_numpy(np.int64), "vectors": lifted,
+                "without_id": int(rows["none"].sum())}
         return pd.DataFrame({"shard": [key[0]], "index": [pickle.dumps(held)]})
 
     dealt = good.where(F.col("width") == width).withColumn(
@@ -149,9 +157,9 @@ def build_index(vectors: DataFrame, shards: int | None = None, shard_rows: int =
 
 def nearest(index: DataFrame, queries: DataFrame, k: int, factor: float, block: int = BLOCK) -> DataFrame:
     """For each of `queries` (vec_id, embedding) its k nearest in the index: `query_id, rank, vec_id, score`."""
-    good = queries.where(usable(F.col("embedding"))).select(
+    good = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = durable(good)
+    good = durable(good.withColumn("query_row", F.monotonically_increasing_id()))  # fixed by being written
     blocks = max(1, -(-good.count() // block))
     shards = [r["shard"] for r in index.select("shard").toLocalIterator()]
     left = (good.withColumn("block", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(blocks)))
@@ -160,20 +168,22 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, factor: float, block:
 
     def look(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if held.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}).astype(
+                {"query_id": "int64", "query_row": "int64", "vec_id": "int64", "score": "float64"})
         tree = pickle.loads(held["index"].iloc[0])
         rows = rows[rows["embedding"].map(len) + 1 == tree["vectors"].shape[1]]
         own = rows["query_id"].to_numpy(np.int64)
         plain = np.array(rows["embedding"].tolist(), dtype=np.float64).reshape(len(own), -1)
         lifted = np.column_stack([plain, np.zeros(len(own))])
-        away, names = search(tree["tree"], tree["vectors"], tree["ids"], lifted, own, k, factor)
+        away, places = search(tree["tree"], tree["vectors"], tree["ids"], lifted, own, k, factor, tree["without_id"])
         real = np.isfinite(away.ravel())
-        at = np.searchsorted(tree["ids"], names.ravel()[real])
-        owner = np.repeat(np.arange(len(own)), k)[real]
+        at, owner = places.ravel()[real], np.repeat(np.arange(len(own)), k)[real]
+        called = pd.Series(tree["ids"][at], dtype="Int64")
+        called[at >= len(tree["ids"]) - tree["without_id"]] = pd.NA
         score = (plain[owner] * tree["vectors"][at, :-1]).sum(axis=1)
-        return pd.DataFrame({"query_id": own[owner], "vec_id": names.ravel()[real], "score": score})
+        return pd.DataFrame({"query_id": own[owner], "query_row": rows["query_row"].to_numpy(np.int64)[owner],
+                             "vec_id": called, "score": score})
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(look, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

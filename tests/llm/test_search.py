@@ -54,6 +54,25 @@ def test_recall_at_the_production_factor():
         assert recall >= least
 
 
+def test_repeated_and_missing_ids(spark):
+    """Rows of one id keep their own vectors; rows without an id come back without one."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5]), (None, [0.0, 3.0]), (None, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shards in (1, 3):
+        got = vptree.nearest(vptree.build_index(frame, shards=shards), frame.where("vec_id = 20"), 9, 1.0).collect()
+        one = [(None, 3.0), (1, 1.0), (2, 0.5), (None, 0.5), (1, 0.0)]
+        other = [(1, 1.0), (2, 0.5), (None, 0.5), (1, 0.0), (None, 0.0)]
+        assert sorted(((r.rank, r.vec_id, r.score) for r in got), key=repr) == sorted(
+            [(i, v, s) for found in (one, other) for i, (v, s) in enumerate(found, 1)], key=repr)
+
+
+def test_recall_over_several_shards(embedded):
+    frame, vectors, ids = embedded
+    got = found(vptree.build_index(frame, shards=4), frame.where("vec_id % 20 = 0"), 0.9)
+    want = brute(vectors, ids, 20)
+    assert np.mean([len(set(want[q]) & set(got[q])) / len(want[q]) for q in want]) >= 0.95
+
+
 def test_ties_and_unusable_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(100, [0.0, 0.0]), (101, None), (102, [float("nan"), 1.0]),
             (103, [1.0, None]), (104, [float("inf"), 0.0]), (120, [0.0, 1.0]), (140, [1.0, 2.0, 3.0]), (160, [])]
