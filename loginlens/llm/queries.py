@@ -48,8 +48,9 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     old, new = "byte_bpe_50k", "word_bpe_49k"
     docs = with_row_id(table(spark, sf_dir, "documents")).select("_row", "doc_id", "source", "lang", "text")
-    counted = rollups.count_tokens(docs.withColumn("same", fingerprint("text")), tokenizer(f"{old}.json"), "bytes", "n_old")
-    counted = rollups.count_tokens(counted, tokenizer(f"{new}.json"), "words", "n_new")
+    counted = rollups.count_with(docs.withColumn("same", fingerprint("text")), [
+        (tokenizer(f"{old}.json"), "bytes", "n_old"), (tokenizer(f"{new}.json"), "words", "n_new")],
+        ["same", "_row", "doc_id", "source", "lang"])
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")  # null ids come last
     counted = durable(counted.select("same", place.alias("place"), "source", "lang", "n_old", "n_new"))
     first = counted.groupBy("same").agg(F.min("place").alias("kept"), F.count("*").alias("copies"))

@@ -19,6 +19,7 @@ are kept, with zeros. Repeated rows of a batch all count.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +32,32 @@ from loginlens.llm.encoding import encoder
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
 BATCH = 512
-#: Two tokenizers may work side by side on one executor, so each remembers less.
-REMEMBER = 400_000
+#: Every worker may hold two tokenizers, each with two generations of pieces of about 200 bytes, so they remember less.
+REMEMBER = 200_000
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cut: str, out: str = "tokens") -> DataFrame:
     """Add the number of token ids of `text`; every other column passes through."""
-    names = docs.columns
-    at = names.index("text")
+    return count_with(docs, [(tokenizer, cut, out)], [f.name for f in docs.schema.fields])
+
+
+def count_with(docs: DataFrame, counters: list[tuple[str, str, str]], keep: list[str]) -> DataFrame:
+    """The columns to keep and, per (tokenizer, cut, out), the number of token ids of `text`; texts are handed over once."""
+    names = [*keep, *[out for _, _, out in counters]]
+    fields = docs.schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(tokenizer, cut, "<u4", REMEMBER)
+        runs = [encoder(tokenizer, cut, "<u4", REMEMBER) for tokenizer, cut, _ in counters]
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH):
                 some = batch.slice(first, BATCH)
-                sizes = np.array([len(x) // 4 for x in run(some.column(at).to_pylist())], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(sizes)], [*names, out])
+                texts = some.column(0).to_pylist()
+                sizes = [pa.array(np.array([len(x) // 4 for x in run(texts)], dtype=np.int64)) for run in runs]
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], *sizes], names)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(count, f"{kinds}, `{out}` long")
+    kinds = [f"`{c}` {fields[c].dataType.simpleString()}" for c in keep] + [f"`{out}` long" for _, _, out in counters]
+    read = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    return read.mapInArrow(count, ", ".join(kinds))
 
 
 def change(sign: int | Column, tokens: Column, tokenizer: str | Column) -> list[Column]:
@@ -88,28 +96,37 @@ class Rollup:
         return done
 
     def totals(self) -> DataFrame:
-        snapshot = self._snapshot()
-        held = set()
-        parts = []
+        return self._summed(*self._parts())
+
+    def _parts(self) -> tuple[str | None, set[str], set[str]]:
+        """The newest snapshot, the ids that it holds, and the committed batches besides; listed once."""
+        snapshot, held = self._snapshot(), set()
         if snapshot:
             held = {r["batch"] for r in self.spark.read.parquet(f"{self.root}/{snapshot}/ids").toLocalIterator()}
-            parts.append(f"{self.root}/{snapshot}/sums")
-        parts += [f"{self.root}/batch={b}" for b in sorted(self._finished("batch=") - held)]
+        return snapshot, held, self._finished("batch=") - held
+
+    def _summed(self, snapshot: str | None, held: set[str], batches: set[str]) -> DataFrame:
+        parts = ([f"{self.root}/{snapshot}/sums"] if snapshot else []) + [f"{self.root}/batch={b}" for b in sorted(batches)]
         if not parts:
             return self.spark.createDataFrame([], SUMS)
         return add_up(self.spark.read.schema(SUMS).option("recursiveFileLookup", "true").parquet(*parts))
 
     def compact(self) -> None:
-        """Fold all committed batches into the next snapshot; the ids are written last and make it count."""
-        ids = self.committed()
-        number = max([int(n) for n in self._finished("snapshot=", "ids")], default=0) + 1
-        self.totals().write.mode("overwrite").parquet(f"{self.root}/snapshot={number}/sums")
-        self.spark.createDataFrame([(b,) for b in sorted(ids)], "batch string").coalesce(1).write.mode(
-            "overwrite").parquet(f"{self.root}/snapshot={number}/ids")
+        """Fold the batches committed by now into a snapshot; the ids are written last and make it count.
+
+        Sums and ids come from one listing, so a batch that is committed meanwhile is in
+        neither. Snapshots of two writers have names of their own, and either is whole.
+        """
+        snapshot, held, batches = self._parts()
+        number = max([int(n.split("-")[0]) for n in self._finished("snapshot=", "ids")], default=0) + 1
+        name = f"snapshot={number}-{uuid.uuid4().hex}"
+        self._summed(snapshot, held, batches).write.parquet(f"{self.root}/{name}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(held | batches)], "batch string").coalesce(1).write.parquet(
+            f"{self.root}/{name}/ids")
 
     def _snapshot(self) -> str | None:
-        numbers = [int(n) for n in self._finished("snapshot=", "ids")]
-        return f"snapshot={max(numbers)}" if numbers else None
+        names = self._finished("snapshot=", "ids")
+        return f"snapshot={max(names, key=lambda n: (int(n.split('-')[0]), n))}" if names else None
 
     def _finished(self, prefix: str, inner: str = "") -> set[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

@@ -155,6 +155,27 @@ def test_rollup_commits_once_and_adds_up(spark):
     assert read()[("a", "en", "v1")] == (3, 25)
 
 
+def test_a_commit_during_compaction_counts_once(spark, monkeypatch):
+    """A batch that commits between the listing and the sums of a compaction is in neither, or in both."""
+    store = rollups.Rollup(spark, run_dir(spark, "rollup"))
+    rows = lambda docs, tokens: spark.createDataFrame([("a", "en", "t", docs, tokens)], rollups.SUMS)
+    store.commit("1", rows(1, 10))
+    summed = rollups.Rollup._summed
+
+    def slow(self, *parts):
+        monkeypatch.setattr(rollups.Rollup, "_summed", summed)
+        store.commit("2", rows(1, 5))
+        return self._summed(*parts)
+
+    monkeypatch.setattr(rollups.Rollup, "_summed", slow)
+    store.compact()
+    assert [tuple(r)[3:] for r in store.totals().collect()] == [(2, 15)]
+    store.compact()
+    rollups.Rollup(spark, store.root).compact()
+    assert [tuple(r)[3:] for r in store.totals().collect()] == [(2, 15)] and store.committed() == {"1", "2"}
+    assert not store.commit("2", rows(1, 5))
+
+
 def test_count_tokens(odd):
     whole = plain("byte_bpe_50k.json")
     rows = rollups.count_tokens(odd, tokenizer("byte_bpe_50k.json"), "bytes").collect()
