@@ -104,6 +104,11 @@ def splice(old: DataFrame, new: DataFrame) -> DataFrame:
 
 # ---- the metrics
 
+def _exact(value: Column) -> Column:
+    """A sum that does not depend on the order of rows, so that a merged metric is a rebuilt one to the last bit."""
+    return F.sum(value.cast("decimal(38,15)")).cast("double")
+
+
 def gaps_of(counts: DataFrame, users: DataFrame) -> DataFrame:
     """Mean, population deviation, extremes and exact median in hours of each of `users`; null without gaps."""
     hours = F.col(GAP) / F.lit(float(clock.MICROS_PER_HOUR))
@@ -116,7 +121,7 @@ def gaps_of(counts: DataFrame, users: DataFrame) -> DataFrame:
     near = counts.withColumn("_upto", upto).join(summary.select(USER, "_n", "mean_gap_h"), USER)
     off = hours - F.col("mean_gap_h")
     rest = near.groupBy(USER).agg(
-        F.sqrt(F.sum(off * off * F.col("times")) / F.first("_n")).alias("std_gap_h"),
+        F.sqrt(_exact(off * off * F.col("times")) / F.first("_n")).alias("std_gap_h"),
         ((F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - 1) / 2), hours))
           + F.min(F.when(F.col("_upto") > F.floor(F.col("_n") / 2), hours))) / 2).alias("median_gap_h"))
     return users.select(USER).join(summary.drop("_n"), USER, "left").join(rest, USER, "left").select(
@@ -128,10 +133,10 @@ def spread_of(places: DataFrame, fields) -> DataFrame:
     times = F.col("count")
     lat, lon = F.radians("latitude"), F.radians("longitude")
     mean = places.groupBy(USER).agg(
-        F.sum("count").alias("_n"), *[(F.sum(c * times) / F.sum("count")).alias(name) for name, c in {
+        F.sum("count").alias("_n"), *[(_exact(c * times) / F.sum("count")).alias(name) for name, c in {
             "mean_x": F.cos(lat) * F.cos(lon), "mean_y": F.cos(lat) * F.sin(lon), "mean_z": F.sin(lat)}.items()])
     centre = mean.select(USER, "_n", geo.center_lat().alias("_lat"), geo.center_lon().alias("_lon"))
     away = geo.haversine_km("latitude", "longitude", "_lat", "_lon")
-    rms = F.sqrt(F.sum(away * away * times) / F.first("_n"))
+    rms = F.sqrt(_exact(away * away * times) / F.first("_n"))
     return (places.join(centre, USER).groupBy(USER).agg(F.when(F.first("_n") <= 1, 0.0).otherwise(rms).alias("_d"))
             .select(USER, *[F.col("_d").alias(name) for name in fields]))

@@ -55,8 +55,8 @@ def covariance_sums(logins: DataFrame) -> DataFrame:
     return logins.groupBy(USER).agg(F.count("*").alias("n"), *sums)
 
 
-def merge_sums(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy(USER).agg(
+def merge_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(USER).agg(
         F.sum("n").alias("n"), *[F.sum(c).cast("decimal(38,0)").alias(c) for c in MOMENTS])
 
 

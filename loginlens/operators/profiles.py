@@ -228,9 +228,10 @@ def user_counters(logins: DataFrame) -> dict[str, DataFrame]:
 
 def build_profile(logins: DataFrame, skew: SkewPolicy = SKEW) -> Profile:
     skew = skew.measured(logins)
-    return Profile(**user_counters(logins), locations=user_locations(logins),
-                   gaps=login_gaps(logins, skew), spread=geo_variance(logins, skew),
-                   gap_counts=gap_counts(logins, skew), times=login_times(logins), coordinates=coordinates(logins))
+    counters, counts, places = user_counters(logins), gap_counts(logins, skew), coordinates(logins)
+    return Profile(**counters, locations=user_locations(logins),
+                   gaps=gaps_of(counts, counters["totals"]), spread=spread_of(places, SPREAD_FIELDS),
+                   gap_counts=counts, times=login_times(logins), coordinates=places)
 
 
 def _merge_counts(rows: DataFrame, *keys: str) -> DataFrame:

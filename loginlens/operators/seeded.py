@@ -30,7 +30,7 @@ from loginlens.operators import scoring
 from loginlens.operators.outliers import (MOMENTS, covariance_sums, isolation_forest_scores, mahalanobis_columns, merge_sums,
                                           model_of_stats, moments, stats_of_sums)
 from loginlens.operators.profiles import CELL, Profile, apply_logins, build_profile, with_cell
-from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, join_per_user
+from loginlens.operators.segments import SKEW, Ordered, SkewPolicy, join_per_key, join_per_user
 from loginlens.schema import ADVANCED_MIN_ROWS, EVENT, INSUFFICIENT, NEUTRAL, THRESHOLD, TIME, USER, WEIGHTS
 from loginlens.session import durable
 
@@ -51,15 +51,7 @@ class Seed:
 
     def advanced(self, logins: DataFrame) -> "Seed":
         """The seed after the stored logins of a run."""
-        return Seed(apply_logins(self.profile, logins), merge_sums(self.sums, covariance_sums(logins)))
-
-    def write(self, path: str) -> "Seed":
-        self.sums.write.mode("overwrite").parquet(f"{path}/sums")
-        return Seed(self.profile.write(path), self.sums.sparkSession.read.parquet(f"{path}/sums"))
-
-    @classmethod
-    def read(cls, spark, path: str) -> "Seed":
-        return cls(Profile.read(spark, path), spark.read.parquet(f"{path}/sums"))
+        return Seed(apply_logins(self.profile, logins), merge_sums(self.sums.unionByName(covariance_sums(logins))))
 
 
 def replay_from_snapshot(logins: DataFrame, seed: Seed, patterns: DataFrame, history: DataFrame | None = None,
@@ -115,13 +107,13 @@ def _advance(logins: DataFrame, seed: Seed, skew: SkewPolicy) -> DataFrame:
     ordered = ordered.count_before("n", small=True)
     ordered = ordered.sums_before({c: F.col(c) for c in MOMENTS})
     ordered = ordered.first("_first", F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), CELL)
-    placed = ordered.rows.join(cells, [USER, *CELL], "left")
+    placed = join_per_key(ordered.rows, cells, list(CELL), skew)
     ordered = Ordered(placed.withColumn("_first", F.coalesce("_seed_cell", "_first")).drop("_seed_cell"), ordered.is_hot)
     ordered = ordered.previous("_before", F.struct(TIME, "_first"))
     ordered = ordered.count_before("device_count", by=("device_id",))
     ordered = ordered.count_before("hour_count", by=("_hour",), small=True)
     ordered = ordered.count_before("day_count", by=("_day",), small=True)
-    known = ordered.result().join(devices, [USER, "device_id"], "left")
+    known = join_per_key(ordered.result(), devices, ["device_id"], skew)
     return known.drop("_first", "_hour", "_day", *CELL)
 
 

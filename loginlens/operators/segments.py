@@ -97,6 +97,24 @@ def join_per_user(rows: DataFrame, table: DataFrame, skew: SkewPolicy = SKEW, ho
     return left.join(right, [USER, "_salt"], how).drop("_salt")
 
 
+def join_per_key(rows: DataFrame, table: DataFrame, keys: list[str], skew: SkewPolicy = SKEW) -> DataFrame:
+    """Left join of logins with a table of one row per (user, keys), a key that many logins share not being gathered.
+
+    Only a hot user can have a key of more than a segment's worth of logins. Such keys
+    are at most as many as there are segments, so their table rows are broadcast.
+    """
+    on = [USER, *keys]
+    hot = skew.hot(rows)
+    if hot is None:
+        return rows.join(table, on, "left")
+    share = F.broadcast(hot.select(USER, (F.col("rows") / F.col("segments")).alias("_share")))
+    crowded = (rows.select(*on).join(share, USER).groupBy(*on).agg(F.count("*").alias("_n"), F.first("_share").alias("_share"))
+               .where(F.col("_n") > F.col("_share")).select(*on))
+    few = durable(F.broadcast(crowded).join(table, on))
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(table, on, "left")
+    return rows.join(F.broadcast(few), on).unionByName(rest)
+
+
 def cut_segments(logins: DataFrame, bounds: DataFrame | None) -> DataFrame:
     """Add the segment number: 0 for ordinary users, 1..k for hot ones."""
     if bounds is None:

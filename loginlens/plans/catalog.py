@@ -20,7 +20,7 @@ from loginlens.plans.ingest import Snapshot, process_logins
 from loginlens.plans.score import score_logins
 from loginlens.schema import EVENT, TIME, USER, WEIGHTS
 from loginlens.session import durable, run_dir
-from loginlens.sources import documents, encode, readers, sinks
+from loginlens.sources import checked, documents, encode, readers, sinks
 from loginlens.sources.event_store import EventStore
 from loginlens.sources.profile_log import ProfileLog
 from loginlens.sources.event_logins import derive_logins, logins_from_events, raw_logins
@@ -183,6 +183,37 @@ def _(spark, sf):
     return readers.scan_event_table(spark, path).select(*logins(spark, sf).columns)
 
 
+_SPOILT = """
+  SELECT event_id, CASE WHEN event_id % 113 = 0 THEN 'malformed' WHEN event_id % 71 = 0 THEN 'missing_device'
+    WHEN event_id % 47 = 0 THEN 'bad_time'
+    WHEN event_id % 53 = 0 OR event_id % 59 = 0 OR event_id % 61 = 0 OR event_id % 67 = 0 THEN 'bad_coordinates' END AS reason FROM raw"""
+
+
+@query("scan_rejects", f"""
+  SELECT format, event_id, coalesce(reason, 'valid') AS outcome
+  FROM ({_SPOILT}), (SELECT unnest(['csv', 'json']) AS format)""", "raw")
+def _(spark, sf):
+    """Spoilt files: every row comes out once, as valid or with the reason why not."""
+    work = run_dir(spark, "spoilt")
+    rows = raw(spark, sf).select(EVENT, F.col(USER).alias("id"), "device_id", F.col(TIME).alias("login_time"), "latitude", "longitude")
+    broken = F.col(EVENT) % 113 == 0
+    # Without quotes a comma in the last field makes one field more.
+    rows.withColumn("longitude", F.when(broken, F.concat("longitude", F.lit(",more"))).otherwise(F.col("longitude"))).write.csv(
+        f"{work}/csv", header=True, quote="", emptyValue="", nullValue="")
+    line = F.to_json(F.struct(*rows.columns))
+    rows.select(F.when(broken, F.substring(line, 1, F.length(line) - 2)).otherwise(line)).write.text(f"{work}/json")
+    outcomes = []
+    for kind, found, number in (("csv", checked.scan_checked_csv(spark, f"{work}/csv", (EVENT,)), r"^(\d+),"),
+                                ("json", checked.scan_checked_json(spark, f"{work}/json", (EVENT,)), r'"event_id":"?(\d+)')):
+        outcomes.append(found.rows.select(EVENT, F.lit("valid").alias("outcome"), F.lit(kind).alias("format")))
+        outcomes.append(found.rejects.select(F.regexp_extract("row", number, 1).alias(EVENT), F.col("reason").alias("outcome"),
+                                             F.lit(kind).alias("format")))
+    union = outcomes[0]
+    for part in outcomes[1:]:
+        union = union.unionByName(part)
+    return union.select("format", F.col(EVENT).cast("bigint").alias(EVENT), "outcome")
+
+
 @query("clean_logins", """
   SELECT event_id, user_id AS id, device_id, "timestamp" AS login_time, latitude, longitude FROM typed_raw
   WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180""", "typed_raw")
@@ -235,16 +266,35 @@ def _(spark, sf):
                                  run_dir(spark, "profiles"))
 
 
-@query("upsert_patterns", """
-  SELECT user_id, cluster, count(*) AS "count" FROM (
-    SELECT user_id, "day" AS cluster FROM (SELECT *, CAST(isodow("timestamp") - 1 AS INTEGER) AS "day" FROM hist)
-    WHERE user_id NOT IN (SELECT user_id FROM fresh)
-    UNION ALL SELECT user_id, CAST(isodow("timestamp") - 1 AS INTEGER) FROM fresh) GROUP BY ALL""", "hist", "fresh")
+_CLUSTER_COLUMNS = """user_id, cluster, "count", round(percentage, 6) AS percentage,
+  round(center_lat, 6) AS center_lat, round(center_lon, 6) AS center_lon, round(std_distance, 6) AS std_distance, num_clusters"""
+
+
+@query("upsert_patterns", f"""
+  SELECT {_CLUSTER_COLUMNS} FROM hist_clusters WHERE user_id NOT IN (SELECT user_id FROM fresh_clusters)
+  UNION ALL SELECT {_CLUSTER_COLUMNS} FROM fresh_clusters""", "hist_clusters", "fresh_clusters")
+def _(spark, sf):
+    """All clusters of a user are replaced by those of the later logins."""
+    old, new = dense_clusters(hist(spark, sf)), dense_clusters(fresh(spark, sf))
+    return _rounded_clusters(sinks.upsert_snapshot(old, new, run_dir(spark, "patterns")))
+
+
+@query("get_patterns", f"""
+  SELECT {_CLUSTER_COLUMNS} FROM (
+    SELECT * FROM logins_clusters
+    UNION ALL SELECT * FROM hist_clusters WHERE user_id NOT IN (SELECT user_id FROM logins_clusters))
+  WHERE user_id IN (SELECT user_id FROM early)""", "logins_clusters", "hist_clusters", "early")
 def _(spark, sf):
-    # Weekday groups stand for clusters: what is tested is the replacement of all rows of a user.
-    def groups(df):
-        return df.groupBy(USER, clock.login_day().alias("cluster")).agg(F.count("*").alias("count"))
-    return sinks.upsert_snapshot(groups(hist(spark, sf)), groups(fresh(spark, sf)), run_dir(spark, "patterns"))
+    """Patterns of wanted users from the log, each user's from the newest batch that renewed them."""
+    log, rows = ProfileLog(spark, run_dir(spark, "log")), logins(spark, sf)
+    log.commit(0, {}, {"patterns": dense_clusters(hist(spark, sf))})
+    log.commit(1, {}, {"patterns": dense_clusters(rows)})
+    return _rounded_clusters(log.patterns(users=_before(rows, o.NOON_OF_FIRST_DAY)))
+
+
+def _rounded_clusters(clusters):
+    return clusters.select(USER, "cluster", "count", *[F.round(c, 6).alias(c) for c in (
+        "percentage", "center_lat", "center_lon", "std_distance")], "num_clusters")
 
 
 @query("nested_json_round_trip", 'SELECT user_id, device_id, "count", percentage FROM logins_devices', "logins_devices")
@@ -1094,6 +1144,20 @@ def _(spark, sf):
     return process_logins(_since(rows, o.NOON_OF_FIRST_DAY), store, 1, 0)
 
 
+@query("process_logins_patterns", f"""
+  SELECT {_CLUSTER_COLUMNS} FROM logins_clusters WHERE user_id IN (
+    SELECT user_id FROM logins_labels GROUP BY user_id HAVING count(DISTINCT cluster) > 1)""", "logins_clusters")
+def _(spark, sf):
+    """Patterns after three batches, of the users with density clusters of their own (the others' come from k-means)."""
+    store, rows = run_dir(spark, "store"), logins(spark, sf)
+    early, late = _before(rows, o.FIFTH_DAY), _since(rows, o.CUTOFF)
+    batches = [_before(_since(rows, o.FIFTH_DAY), o.CUTOFF), early, late]
+    for i, batch in enumerate(batches):
+        process_logins(batch, store, i, i - 1 if i else None, buckets=CATALOG_BUCKETS)
+    divided = durable(dbscan.dbscan(rows)).groupBy(USER).agg(F.countDistinct("cluster").alias("n")).where("n > 1")
+    return _rounded_clusters(Snapshot.read(spark, f"{store}/snapshots/2").patterns.join(divided, USER, "left_semi"))
+
+
 @query("score_logins", """
   SELECT s.event_id, s.user_id, d.device_status, d.previous_usage_count, l.cluster AS closest_cluster,
     t.total_logins + n.c AS total_after
@@ -1114,7 +1178,7 @@ def _scored_and_stored(spark, sf, clusters, isolation: bool):
     store, past = run_dir(spark, "scored"), hist(spark, sf)
     kept = EventStore.open(spark, store, CATALOG_BUCKETS)
     kept.append(sinks.login_events(past), 0)
-    ProfileLog(spark, store).commit_profile(0, profiles.build_profile(past), clusters)
+    ProfileLog(spark, store).commit_seed(0, seeded.Seed.of(past), clusters)
     score_logins(fresh(spark, sf), store, 1, 0, isolation=isolation)
     found = lambda path: F.get_json_object("details", path)
     events = kept.batch(1)
@@ -1155,12 +1219,19 @@ def _(spark, sf):
     return spark.read.parquet(f"{work}/out").drop(TIME)
 
 
-@query("stream_ingest", "SELECT * FROM logins_totals", "logins_totals")
+@query("stream_ingest", _flat_sql("logins", "logins_totals", "logins"), *_FLAT_TABLES)
 def _(spark, sf):
+    """Three files, a micro-batch each; the last snapshot is merged from all."""
     work = run_dir(spark, "ingest")
-    writer = stream_ingest(_login_stream(spark, sf), f"{work}/store", f"{work}/state", buckets=CATALOG_BUCKETS)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    part = F.when(F.col("ts") < F.lit(o.FIFTH_DAY).cast("timestamp_ntz"), 0).when(
+        F.col("ts") < F.lit(o.CUTOFF).cast("timestamp_ntz"), 1).otherwise(2)
+    for i in (1, 0, 2):  # the second batch is late
+        events.where(part == i).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = derive_logins(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in"))
+    writer = stream_ingest(stream, f"{work}/store", f"{work}/state", buckets=CATALOG_BUCKETS)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return Snapshot.read(spark, f"{work}/store/snapshots/0").profile.totals
+    return _rounded(profiles.flat_profile(Snapshot.read(spark, f"{work}/store/snapshots/2").profile))
 
 
 # --- Map layers and addresses ------------------------------------------------

@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loginlens.operators.identify import identify_patterns
 from loginlens.operators.profiles import Profile, ingest_stats, recent_metrics, touched_metrics
 from loginlens.operators.segments import SKEW, SkewPolicy, latest
 from loginlens.operators.quality import ensure_valid
-from loginlens.schema import EVENT, TIME, USER, require_columns
+from loginlens.schema import EVENT, USER, require_columns
 from loginlens.session import durable
 from loginlens.sources.event_store import BUCKETS, EventStore
 from loginlens.sources.profile_log import ProfileLog, increments_after
@@ -66,12 +65,7 @@ def process_logins(batch: DataFrame, store: str, batch_id: int, previous: int |
         f"{store}/rejects/batch_id={batch_id}")
     events = login_events(valid)
     if previous is not None:
-        # Repeats are events of the batch's users, of any age, or of anyone in the batch's own time range.
-        ends = valid.agg(F.min(TIME).alias("low"), F.max(TIME).alias("high")).first()
-        if ends["low"] is not None:
-            before = kept.of_users(valid, previous).select(EVENT).unionByName(
-                kept.events(previous).where(F.col(TIME).between(ends["low"], ends["high"])).select(EVENT))
-            events = events.join(before, EVENT, "left_anti")
+        events = kept.unseen(events, previous)
     kept.append(events, batch_id)
     logins = kept.batch(batch_id)
 

@@ -301,7 +301,7 @@ def feature_tables(src: str) -> None:
         FROM {src}_labelled GROUP BY user_id) t ON t.user_id = s.user_id""", f"{src}_cluster_spread")
 
 
-for _src in ("logins", "hist"):
+for _src in ("logins", "hist", "fresh"):
     feature_tables(_src)
 
 # Covariance and Mahalanobis model from exact integer sums.

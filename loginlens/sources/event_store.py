@@ -10,6 +10,11 @@ From the batch in which a user is found hot, their events go to a second table i
 a hash of the event, which the skew-aware operators spread. What lay in the bucket before
 stays there; it is at most `hot_rows` and one batch.
 
+A third table holds the ids alone, clustered by id and with a Bloom filter per row group. By
+it `unseen` finds events that any earlier batch has stored, however old and whatever else of
+them has changed: a few ids are looked up by name, and the filters keep most row groups
+closed; many are dealt to the buckets, and the ids stay where they are.
+
 Each batch is a partition and is replaced whole, so a batch that is written again after a
 failure leaves no trace of the first attempt. `compact` rewrites the batches up to one of
 them as a single batch with one file per bucket.
@@ -31,10 +36,13 @@ from loginlens.operators.segments import SKEW, SkewPolicy, latest
 from loginlens.schema import EVENT, TIME, USER
 from loginlens.session import durable
 
-BUCKETS = 64
+#: Buckets of a new store unless told otherwise; a bucket of one batch is one file, so large stores take thousands.
+BUCKETS = 16
 HOT_ROWS = 1_000_000
-#: Named users up to this number are looked up in their buckets; more touch most buckets anyway.
+#: Named users or ids up to this number are looked up in their buckets; more touch most buckets anyway.
 NAMED_USERS = 4_096
+#: Tables with buckets: what they are clustered and sorted by.
+CLUSTERED = {"events": (USER, (USER, TIME, EVENT)), "ids": (EVENT, (EVENT,))}
 HOT_PARTS = 64
 NOTE = "part string, upto int, merged string"
 
@@ -72,6 +80,7 @@ class EventStore:
             self._write("hot", events.join(F.broadcast(hot), USER, "left_semi").repartition(HOT_PARTS, spread), batch_id)
         elif _exists(self.spark, f"{self.path}/hot/batch_id={batch_id}"):
             self._write("hot", events.limit(0), batch_id)
+        self._write("ids", events.select(EVENT).distinct().repartition(self.buckets, EVENT), batch_id)
 
     def _hot_users(self, events: DataFrame, batch_id: int) -> DataFrame | None:
         """Users with over `hot_rows` events in other batches and this one; the bound keeps them few.
@@ -111,7 +120,7 @@ class EventStore:
         The merged rows are written aside first, and a note says where. Whoever opens the
         store and finds the note finishes the exchange, which may be done any number of times.
         """
-        for part in ("events", "hot"):
+        for part in ("events", "hot", "ids"):
             held = self._table(part)
             if held is not None:
                 merged = durable(held.where(F.col("batch_id") <= upto).drop("batch_id"))
@@ -126,7 +135,8 @@ class EventStore:
         r = self.spark.read.schema(NOTE).json(note).first()
         part, upto = r["part"], r["upto"]
         merged = self.spark.read.parquet(r["merged"])
-        deal = (self.buckets, USER) if part == "events" else (HOT_PARTS, F.pmod(F.xxhash64(EVENT), F.lit(HOT_PARTS)))
+        deal = ((self.buckets, CLUSTERED[part][0]) if part in CLUSTERED
+                else (HOT_PARTS, F.pmod(F.xxhash64(EVENT), F.lit(HOT_PARTS))))
         self._write(part, merged.repartition(*deal), upto)
         batches = self._table(part).where(F.col("batch_id") < upto).select("batch_id").distinct().collect()
         for batch in batches:  # one number a batch since the last compaction
@@ -171,6 +181,19 @@ class EventStore:
             return rows.where(F.col(USER).isin([n for n in names if n is not None]))
         return rows.join(wanted, USER, "left_semi")
 
+    def unseen(self, events: DataFrame, upto: int | None = None) -> DataFrame:
+        """`events` without those whose id a batch up to `upto` has stored."""
+        held = self._upto("ids", upto)
+        if held is None:
+            return events
+        new = durable(events.select(EVENT).distinct())
+        names = [r[EVENT] for r in new.limit(self.named_users + 1).collect()]
+        if len(names) <= self.named_users:
+            seen = held.where(F.col(EVENT).isin([n for n in names if n is not None]))
+        else:
+            seen = held.join(new, EVENT, "left_semi")
+        return events.join(seen, EVENT, "left_anti")
+
     def latest(self, n: int, upto: int | None = None, users: DataFrame | None = None, skew: SkewPolicy = SKEW) -> DataFrame:
         """The newest `n` events per user; within the buckets for ordinary users, by parts first for hot ones."""
         rows = self.events(upto) if users is None else self.of_users(users, upto)
@@ -195,9 +218,12 @@ class EventStore:
     def _register(self, part: str, rows: DataFrame) -> str:
         name = self._name(part)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        clustered = (f"CLUSTERED BY ({USER}) SORTED BY ({USER}, {TIME}, {EVENT}) INTO {self.buckets} BUCKETS"
-                     if part == "events" else "")
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, batch_id INT) USING parquet "
+        clustered = options = ""
+        if part in CLUSTERED:
+            by, order = CLUSTERED[part]
+            clustered = f"CLUSTERED BY ({by}) SORTED BY ({', '.join(order)}) INTO {self.buckets} BUCKETS"
+            options = f"OPTIONS ('parquet.bloom.filter.enabled#{by}' = 'true')"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, batch_id INT) USING parquet {options} "
                        f"PARTITIONED BY (batch_id) {clustered} LOCATION '{self.path}/{part}'")
         return name
 

@@ -25,10 +25,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loginlens.operators.outliers import covariance_sums, merge_sums
 from loginlens.operators.profiles import MERGES, Profile, increments
+from loginlens.operators.seeded import Seed
 from loginlens.operators.segments import SKEW, SkewPolicy
 from loginlens.schema import TIME, USER
 
+#: Tables that add up: those of a profile, and the sums behind the covariance model.
+ADDED = {**MERGES, "sums": merge_sums}
 REPLACED = ("gaps", "spread", "patterns")
 VERSION = "_version"
 
@@ -49,9 +53,10 @@ class ProfileLog:
             rows.withColumn(VERSION, F.lit(version).cast("bigint")).write.parquet(f"{folder}/{name}")
         self._publish("commits", version, folder, [*added, *replaced])
 
-    def commit_profile(self, version: int, profile: Profile, patterns: DataFrame) -> None:
-        """A profile and patterns that were made elsewhere, as one batch."""
-        self.commit(version, {name: getattr(profile, name) for name in MERGES},
+    def commit_seed(self, version: int, seed: Seed, patterns: DataFrame) -> None:
+        """A profile, its sums and patterns that were made elsewhere, as one batch."""
+        profile = seed.profile
+        self.commit(version, {**{name: getattr(profile, name) for name in MERGES}, "sums": seed.sums},
                     {"gaps": profile.gaps, "spread": profile.spread, "patterns": patterns})
 
     def compact(self, version: int) -> None:
@@ -86,6 +91,12 @@ class ProfileLog:
         return ([base["version"]] if base else []) + sorted(
             c["version"] for c in self._commits(None) if base is None or c["version"] > base["version"])
 
+    def written(self, name: str) -> list[int]:
+        """Versions, from the newest base on, whose batch wrote a table."""
+        base = self._base(None)
+        found = [c for c in self._commits(None) if base is None or c["version"] > base["version"]] + ([base] if base else [])
+        return sorted(c["version"] for c in found if name in c["tables"])
+
     def read(self, name: str, version: int | None = None, users: DataFrame | None = None) -> DataFrame | None:
         """A table as of a version (the newest by default), for wanted users or all; None if no batch wrote it."""
         rows = self._rows(name, version)
@@ -93,11 +104,15 @@ class ProfileLog:
             return None
         if users is not None:
             rows = rows.join(users.select(USER).distinct(), USER, "left_semi")
-        return rows.drop(VERSION) if name in REPLACED else MERGES[name](rows)
+        return rows.drop(VERSION) if name in REPLACED else ADDED[name](rows)
 
     def profile(self, version: int | None = None, users: DataFrame | None = None) -> Profile:
         return Profile(**{name: self.read(name, version, users) for name in (*MERGES, "gaps", "spread")})
 
+    def seed(self, version: int | None = None, users: DataFrame | None = None) -> Seed:
+        """What a replay of wanted users' logins starts from."""
+        return Seed(self.profile(version, users), self.read("sums", version, users))
+
     def patterns(self, version: int | None = None, users: DataFrame | None = None) -> DataFrame | None:
         """Clusters per user as of a version; the lookup of wanted users reads no others past the scan."""
         return self.read("patterns", version, users)
@@ -175,4 +190,4 @@ def increments_after(batch: DataFrame, log: ProfileLog, previous: int | None, sk
         totals = batch.select(USER, F.col(TIME).alias("last_login")).limit(0)
     if times is None:
         times = batch.select(USER, F.lit(0).cast("bigint").alias("slot"), F.array(F.lit(0).cast("bigint")).alias("times")).limit(0)
-    return increments(batch, totals, times, skew)
+    return {**increments(batch, totals, times, skew), "sums": covariance_sums(batch)}

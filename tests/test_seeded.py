@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loginlens.operators import seeded
+from conftest import rows_of
+from loginlens.operators import profiles, seeded
 from loginlens.operators.identify import identify_patterns
 from loginlens.operators.outliers import isolation_forest_scores
-from loginlens.operators.segments import SkewPolicy
+from loginlens.operators.segments import SKEW, SkewPolicy, join_per_key
 from loginlens.session import durable
 
 SCORES = ("location_score", "device_score", "time_score", "velocity_score", "isolation_forest_score", "mahalanobis_score")
@@ -115,9 +116,7 @@ def test_two_runs_equal_one(logins, cut, replayed):
     past, patterns, whole = replayed
     middle, last = between(logins, cut[0], cut[1]), between(logins, cut[1], None)
     accepted = middle.join(whole.where("stored").select("event_id"), "event_id", "left_semi")
-    from loginlens.session import run_dir
-    seed = seeded.Seed.of(past).advanced(accepted).write(run_dir(past.sparkSession, "seed"))
-    again = seeded.replay_from_snapshot(last, seeded.Seed.read(past.sparkSession, seed.sums.inputFiles()[0].rsplit("/sums/", 1)[0]), patterns, past)
+    again = seeded.replay_from_snapshot(last, seeded.Seed.of(past).advanced(accepted), patterns, past)
     columns = ("stored", "combined_score", "total_logins", "device_count", "hour_count", "day_count", *SCORES)
     want = by_event(between(whole, cut[1], None), *columns)
     assert by_event(again, *columns) == want and len(want) > 100
@@ -131,6 +130,16 @@ def test_hot_users_score_alike(logins, cut, replayed):
     assert by_event(again, *columns) == by_event(whole, *columns)
 
 
+def test_crowded_devices_join_alike(logins):
+    hot = SkewPolicy(share=0.01, min_rows=20)
+    devices = profiles.user_devices(logins)
+    plain, split = (join_per_key(logins, devices, ["device_id"], s) for s in (SKEW, hot))
+    assert rows_of(plain) == rows_of(split, *plain.columns)
+    stranger = logins.withColumn("device_id", F.when(F.col("event_id") % 2 == 0, F.lit("new")).otherwise(F.col("device_id")))
+    plain, split = (join_per_key(stranger, devices, ["device_id"], s) for s in (SKEW, hot))
+    assert rows_of(plain) == rows_of(split, *plain.columns)
+
+
 def test_versions_in_force(logins, cut):
     """Each login meets the newest patterns before it, and a forest of the events before those."""
     first, second = (identify_patterns(between(logins, None, c)) for c in cut)

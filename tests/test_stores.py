@@ -5,15 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
-from loginlens.operators import profiles
-from loginlens.operators.patterns import cluster_stats
+from loginlens.operators import profiles, seeded
 from loginlens.operators.segments import latest
-from loginlens.plans.ingest import Snapshot, process_logins
+from loginlens.plans.ingest import process_logins
 from loginlens.session import run_dir
-from loginlens.sources import event_store, profile_log
+from loginlens.sources import event_store
 from loginlens.sources.event_store import EventStore
 from loginlens.sources.profile_log import ProfileLog, increments_after
 from loginlens.sources.sinks import login_events
+from loginlens.streaming.replay import stream_replay
 
 
 def plan(df):
@@ -95,6 +95,23 @@ def test_hot_users_leave_their_bucket(spark, logins):
     assert rows_of(store.events(), "event_id") == rows_of(logins, "event_id")
 
 
+def test_repeats_of_any_age_are_unseen_no_more(spark, logins, kept):
+    """Ids decide: an altered time, place or user does not hide a repeat; the ids are not shuffled."""
+    again = login_events(logins.limit(7)).withColumns({
+        "timestamp": F.expr("timestamp + INTERVAL 400 DAYS"), "user_id": F.lit("somebody else"), "latitude": F.lit(0.5)})
+    new = again.limit(2).withColumn("event_id", F.col("event_id") + 10_000_000)
+    batch = again.unionByName(new)
+    assert kept.unseen(batch).select("event_id").distinct().count() == 2
+    first = {r.event_id for r in kept.batch(0).select("event_id").collect()}
+    assert kept.unseen(batch, 0).where(~F.col("event_id").isin(list(first))).count() == kept.unseen(batch, 0).count()
+    many = EventStore(spark, kept.path, kept.buckets, kept.hot_rows, named_users=1).unseen(batch)
+    assert many.select("event_id").distinct().count() == 2
+    ids = kept._table("ids").where(F.col("event_id").isin([r.event_id for r in again.collect()]))
+    assert ids.count() == again.count()
+    opened = {f for (f,) in ids.select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(opened) <= 7 < len(kept._table("ids").inputFiles())
+
+
 def flat(profile):
     return {r.user_id: tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in profiles.flat_profile(profile).collect()}
 
@@ -160,3 +177,32 @@ def test_nothing_committed_reads_as_none(spark):
     log.vacuum()
     with pytest.raises(ValueError):
         EventStore.open(spark, run_dir(spark, "events")).events()
+
+
+def test_stream_replay_equals_one_replay(spark, logins):
+    """Micro-batches of a store's users, one with late and repeated logins, against the replay of all at once."""
+    few = logins.where("user_id IN ('user0', 'user1', 'user2', 'user3')").drop("ip_address")
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp_ntz")
+    past, rest = few.where(F.col("timestamp") < at("12")), few.where(F.col("timestamp") >= at("12"))
+    work = run_dir(spark, "replay")
+    process_logins(past, f"{work}/store", 0, None, buckets=4)
+    parts = [rest.where(F.col("timestamp") < at("18")), rest.where(F.col("timestamp") >= at("18"))]
+    parts[1] = parts[1].unionByName(parts[0].limit(5))  # delivered again
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema(rest.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    writer = stream_replay(stream, f"{work}/store", f"{work}/out", f"{work}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    log = ProfileLog(spark, f"{work}/store")
+    assert log.versions() == [0, 1, 2] and log.written("patterns") == [0]
+    whole = seeded.replay_from_snapshot(rest, seeded.Seed.of(past), log.patterns(0), past)
+    columns = ["event_id", "stored", "total_logins", "device_count", "hour_count", "day_count", "velocity_score"]
+    got = spark.read.parquet(f"{work}/out")
+    assert rows_of(got, *columns) == rows_of(whole, *columns) and got.where("stored").count() > 50
+    scores = lambda df: {r.event_id: tuple(round(r[c], 9) for c in df.columns if c.endswith("_score")) for r in df.collect()}
+    assert scores(got) == scores(whole.select(*got.columns[:-2]))
+    assert flat(log.profile())["user0"][:2] == flat(profiles.build_profile(few))["user0"][:2]
+    stored = EventStore.open(spark, f"{work}/store").batch(2)
+    assert stored.count() == parts[1].select("event_id").distinct().count() - 5
+    assert {r.event_id for r in stored.where("is_anomalous").collect()} == {
+        r.event_id for r in got.where("is_anomalous AND part = 1").collect()}
