@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from loginlens.functions import clock, geo
 from loginlens.operators.segments import SKEW, Ordered, SkewPolicy
 from loginlens.schema import EVENT, TIME, USER
+from loginlens.session import durable
 
 SEGMENT_MICROS = clock.MICROS_PER_HOUR
 GAP = "gap_us"
@@ -67,12 +68,14 @@ def gap_changes(batch: DataFrame, totals: DataFrame, times: DataFrame, skew: Ske
     `totals` (user_id, last_login) tells late users from others; `times` is read for late users only.
     """
     last = totals.select(USER, F.col("last_login").alias("_last"))
-    first = batch.groupBy(USER).agg(F.min(TIME).alias("_first")).join(last, USER, "left")
+    first = durable(batch.groupBy(USER).agg(F.min(TIME).alias("_first")).join(last, USER, "left"))
     late = first.where(F.col("_first") < F.col("_last")).select(USER)
-    in_order = batch.join(late, USER, "left_anti")
-    inside = gap_counts(in_order, skew)
+    none_late = late.isEmpty()
+    inside = gap_counts(batch if none_late else batch.join(late, USER, "left_anti"), skew)
     joint = first.where(F.col("_first") >= F.col("_last")).select(
         USER, clock.micros_between("_last", "_first").alias(GAP), F.lit(1).cast("bigint").alias("times"))
+    if none_late:
+        return merge_gap_counts(inside.unionByName(joint))
     spliced = splice(times.join(late, USER, "left_semi"), login_times(batch.join(late, USER, "left_semi")))
     return merge_gap_counts(inside.unionByName(joint).unionByName(spliced))
 

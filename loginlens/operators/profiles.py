@@ -294,12 +294,12 @@ def merge_profiles(old: Profile, batch: DataFrame, stored: DataFrame | None = No
     those of the newest events in ``stored`` (which include the batch).
     """
     added = increments(batch, old.totals, old.times, skew)
-    added = {**added, "gap_counts": durable(added["gap_counts"])}
     merged = {name: MERGES[name](_plain(getattr(old, name)).unionByName(_plain(rows))) for name, rows in added.items()}
     if history_limit is None:
-        metrics = touched_metrics(added, old.gap_counts, old.coordinates)
-    else:
-        metrics = recent_metrics(batch, stored, history_limit, skew)
+        merged = {**merged, "gap_counts": durable(merged["gap_counts"]), "coordinates": durable(merged["coordinates"])}
+        return Profile(**merged, gaps=gaps_of(merged["gap_counts"], merged["totals"]),
+                       spread=spread_of(merged["coordinates"], SPREAD_FIELDS))
+    metrics = recent_metrics(batch, stored, history_limit, skew)
     return Profile(**merged, **{name: upsert(getattr(old, name), rows) for name, rows in metrics.items()})
 
 
