@@ -5,7 +5,6 @@ import hashlib
 import io
 import random
 
-import pytest
 
 from loginlens.llm import queries, warc
 from loginlens.session import run_dir
