@@ -130,3 +130,24 @@ def test_cluster_stats_count_noise_in_the_denominator(make):
     rows = make([(e, "a", "2024-01-01 10:00:00", 10.0, 20.0, "d") for e in range(4)])
     labelled = rows.withColumn("cluster", F.when(F.col("event_id") < 3, 0).otherwise(-1))
     assert rows_of(patterns.cluster_stats(labelled), "cluster", "count", "percentage", "num_clusters") == [(0, 3, 75.0, 1)]
+
+
+@pytest.mark.parametrize("few", [0, 3, 10_000])
+def test_neighbours_do_not_depend_on_what_counts_as_a_small_group(make, monkeypatch, few):
+    rng = np.random.default_rng(11)
+    rows = [(e, f"u{e % 3}", f"2024-01-0{1 + e % 2} {9 + e % 3:02d}:{e % 60:02d}:00", float(rng.normal(0, 1)), float(rng.normal(0, 1)),
+             f"d{e % 2}") for e in range(400)]
+    monkeypatch.setattr(dbscan, "SMALL_GROUP", few)
+    sites = dbscan.with_cell_weight(dbscan.scaled_sites(make(rows)))
+    got = {(r.site.event_id, r.other.event_id) for r in dbscan.thin_neighbours(sites).collect()}
+    found = sites.collect()
+    same = lambda a, b: all(a[c] == b[c] for c in dbscan.GROUP)
+    far = lambda a, b: sum((a[c] - b[c]) ** 2 for c in "uvpq")
+    assert got == {(a.earliest.event_id, b.earliest.event_id) for a in found if a.cell_weight < dbscan.MIN_SAMPLES
+                   for b in found if same(a, b) and far(a, b) <= dbscan.EPS ** 2}
+
+
+def test_logins_of_small_groups_are_not_copied_to_the_blocks_around(make):
+    rows = [(e, "u", f"2024-01-0{1 + e % 7} 10:00:00", 10.0 + e, 20.0, "d") for e in range(70)]
+    sites = dbscan.with_cell_weight(dbscan.scaled_sites(make(rows)))
+    assert "Generate" not in dbscan.thin_neighbours(sites)._jdf.queryExecution().optimizedPlan().toString()
