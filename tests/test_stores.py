@@ -206,3 +206,14 @@ def test_stream_replay_equals_one_replay(spark, logins):
     assert stored.count() == parts[1].select("event_id").distinct().count() - 5
     assert {r.event_id for r in stored.where("is_anomalous").collect()} == {
         r.event_id for r in got.where("is_anomalous AND part = 1").collect()}
+
+
+def test_verdicts_with_details_are_not_broadcast(spark, make):
+    rows = make([(e, "a", "2024-01-01 10:00:00", 10.0, 20.0, "d") for e in range(3)])
+    results = spark.createDataFrame([(0, True, 0.9, ("known",)), (2, False, 0.1, ("new",))],
+                                    "event_id long, is_anomalous boolean, combined_score double, device_details struct<device_status string>")
+    stored = login_events(rows, results)
+    got = sorted(tuple(r) for r in stored.select("event_id", "is_anomalous", "anomaly_score", "details").collect())
+    assert got == [(0, True, 0.9, '{"device_details":{"device_status":"known"}}'), (1, False, 0.0, None),
+                   (2, False, 0.1, '{"device_details":{"device_status":"new"}}')]
+    assert "Broadcast" not in stored._jdf.queryExecution().executedPlan().toString()
