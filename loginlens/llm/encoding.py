@@ -73,12 +73,19 @@ class Encoder:
                 rest, add_special_tokens=False))))
         if not long:
             get = self.known.__getitem__
-            return [b"".join(map(get, p)) for p in pieces]
-        return [b"".join([long[x] if x in long else self.known[x] for x in p]) for p in pieces]
+            return [self._merged(map(get, p)) for p in pieces]
+        return [self._merged([long[x] if x in long else self.known[x] for x in p]) for p in pieces]
+
+    _merged = staticmethod(b"".join)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
+    def _parts(self, encoded, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+        """The ids from each `low` up to `high`."""
+        raw, width = self._bytes(encoded.ids), self.dtype.itemsize
+        return [raw[i:j] for i, j in zip((low * width).tolist(), (high * width).tolist())]
+
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, from one text in which every piece stands by itself."""
         found: list[bytes] = []
@@ -88,20 +95,35 @@ class Encoder:
             ends = np.cumsum([len(p) for p in parts])
             own = ends - [len(p) for p in some]
             encoded = self.tokenizer.encode("".join(parts), add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype=self.dtype)
             at = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            low, high = np.searchsorted(at, own) * ids.itemsize, np.searchsorted(at, ends) * ids.itemsize
-            raw = ids.tobytes()
-            found += [raw[i:j] for i, j in zip(low.tolist(), high.tolist())]
+            found += self._parts(encoded, np.searchsorted(at, own), np.searchsorted(at, ends))
         return found
 
 
+class TokenCounter(Encoder):
+    """Texts to their numbers of token ids: of a piece only the number is remembered, and numbers are added up."""
+
+    _merged = staticmethod(sum)
+
+    def _bytes(self, ids: list[int]) -> int:
+        return len(ids)
+
+    def _parts(self, encoded, low: np.ndarray, high: np.ndarray) -> list[int]:
+        return (high - low).tolist()
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, cut: str, dtype: str, remember: int = REMEMBER) -> Encoder:
     """One encoder per worker process, so that what it remembers outlives a task."""
     return Encoder(path, cut, dtype, remember)
 
 
+@lru_cache(maxsize=4)
+def token_counter(path: str, cut: str, remember: int = REMEMBER) -> TokenCounter:
+    """One counter per worker process."""
+    return TokenCounter(path, cut, remember=remember)
+
+
 def id_type(vocabulary_size: int) -> str:
     """The narrowest unsigned type that holds every id."""
     return "<u2" if vocabulary_size <= 65_536 else "<u4"

@@ -22,17 +22,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm.encoding import encoder
+from loginlens.llm.encoding import token_counter
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
 BATCH = 512
-#: Every worker may hold two tokenizers, each with two generations of pieces of about 200 bytes, so they remember less.
+#: Every worker may hold two tokenizers, each with two generations of pieces of about 130 bytes (an estimate), so they remember less.
 REMEMBER = 200_000
 
 
@@ -47,12 +46,12 @@ def count_with(docs: DataFrame, counters: list[tuple[str, str, str]], keep: list
     fields = docs.schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = [encoder(tokenizer, cut, "<u4", REMEMBER) for tokenizer, cut, _ in counters]
+        runs = [token_counter(tokenizer, cut, REMEMBER) for tokenizer, cut, _ in counters]
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH):
                 some = batch.slice(first, BATCH)
                 texts = some.column(0).to_pylist()
-                sizes = [pa.array(np.array([len(x) // 4 for x in run(texts)], dtype=np.int64)) for run in runs]
+                sizes = [pa.array(run(texts), pa.int64()) for run in runs]
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], *sizes], names)
 
     kinds = [f"`{c}` {fields[c].dataType.simpleString()}" for c in keep] + [f"`{out}` long" for _, _, out in counters]

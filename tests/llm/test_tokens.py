@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loginlens.llm import packing, queries, rollups, token_files
 from loginlens.llm.common import running_total
-from loginlens.llm.encoding import Encoder
+from loginlens.llm.encoding import Encoder, TokenCounter
 from loginlens.llm.queries import tokenizer
 from loginlens.session import run_dir
 
@@ -200,3 +200,12 @@ def test_yearly_rollup_with_null_and_repeated_ids(spark, tmp_path):
         docs, tokens = want.get(key, (0, 0))
         want[key] = docs + 1, tokens + len(word.encode(text or "", add_special_tokens=False).ids)
     assert got == want
+
+
+@pytest.mark.parametrize("name, cut", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words"), ("word_bpe_49k.json", "whole")])
+def test_counter_remembers_numbers_and_agrees_with_the_encoder(name, cut):
+    texts = ["one two, three.\n\nFour  five " + "x" * 200, None, "", " \t ", "one two <|endoftext|> \u00e9t\u00e9 " * 3, "\u4e2d\u6587 42"]
+    encode, count = Encoder(tokenizer(name), cut, "<u4"), TokenCounter(tokenizer(name), cut, remember=3)
+    for _ in range(3):
+        assert count(texts) == [len(x) // 4 for x in encode(texts)]
+    assert all(isinstance(n, int) for n in [*count.known.values(), *count.older.values()])
