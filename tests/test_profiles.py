@@ -119,3 +119,11 @@ def test_nested_profile_and_upsert(small):
     updates = p.totals.where("user_id = 'user1'").withColumn("total_logins", F.lit(1).cast("bigint"))
     after = {r.user_id: r.total_logins for r in profiles.upsert(p.totals, updates).collect()}
     assert after["user1"] == 1 and len(after) == 3
+
+
+def test_whole_profile_reads_metrics_from_fixed_tables(logins):
+    """Else windows, sorts and joins of all parts share one stage, and its tasks the memory of all."""
+    lazy, whole = profiles.build_profile(logins), profiles.build_profile(logins, whole=True)
+    plan = profiles.flat_profile(whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert rows_of(profiles.flat_profile(whole)) == rows_of(profiles.flat_profile(lazy))
