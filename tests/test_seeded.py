@@ -172,3 +172,10 @@ def test_late_and_first_logins(make, spark):
     assert rows[1].velocity_details.prev_lat == 10.0001 and rows[2].velocity_details.prev_lat == 10.0001
     assert rows[2].velocity_details.time_diff_hours == 1.0 and not rows[3].stored
     assert seeded.replay_from_snapshot(fresh.limit(0), seeded.Seed.of(past), patterns, past).count() == 0
+
+
+def test_replay_keeps_its_partitions(spark, logins):
+    """Partitions of little data but much work are not merged, or a task or two make the stage wait."""
+    out = seeded.replay_from_snapshot(logins, seeded.Seed.of(logins), identify_patterns(logins).limit(0))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
