@@ -9,9 +9,13 @@ the parts, so the ids are those of one call on the whole text:
   cut before a space, or around a newline, is safe where the neighbours are not
   white space themselves. Longer runs of white space stay with what follows.
 
-Both also cut between a letter and a point or comma, so that a word is known with
+Both also cut between a letter and a point, comma or sign, so that a word is known with
 and without one.
 * `whole`: no cutting, for any other tokenizer.
+
+Most new pieces are single words. No rule of such a tokenizer changes a word of letters, so
+these go to its byte-pair model at once; a tokenizer that proves otherwise on a few words
+takes them the long way.
 """
 
 from __future__ import annotations
@@ -19,22 +23,36 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import accumulate, chain, filterfalse
 
 import numpy as np
 
 #: White space as Unicode and the tokenizers' patterns define it (fixed values).
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters and marks of punctuation between which every pattern cuts; a subset of either is enough.
-LETTER, POINT = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f", ".,;:!?|"
+#: Letters and signs between which every pattern cuts; a subset of either is enough. No apostrophe: it opens endings.
+LETTER, POINT = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f", r".,;:!?|&$#%*+=/()\[\]\"@~^-"
 CUTS = {
     "words": re.compile(f"[{LETTER}]++(?:(?=[{POINT}])|[^{WHITE}]*)|[^{WHITE}]+"),
     "bytes": re.compile(f" ?[{LETTER}]++(?:(?=[{POINT}])|[^{WHITE}]*)|\n(?=[^{WHITE}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"),
 }
 PLAIN = re.compile(f" ?[^{WHITE}]+")
+WORD = re.compile(f" ?[{LETTER}]+")
 LONGEST = 64
 #: Pieces remembered in one generation; the older of two generations is dropped.
 REMEMBER = 600_000
+#: Words on which a tokenizer and its model must agree before words are given to the model alone.
+PROBES = ("the", "unwritten", "xqzvkjw", "\xfcbergr\xf6\xdfe", "\xe9l\xe8ve", "ni\xf1o", "\u0153uvre", "\u0111\u01a1n", "antidisestablishmentarianism")
+
+
+def _shown_bytes() -> dict[int, int]:
+    """The character by which byte-level vocabularies show each byte: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+SHOWN = _shown_bytes()
+SPACE = chr(SHOWN[32])
 
 
 class Encoder:
@@ -47,6 +65,28 @@ class Encoder:
         self.cut, self.dtype, self.remember = cut, np.dtype(dtype), remember
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.model = self._word_model()
+
+    def _word_model(self):
+        """The tokenizer's model if it gives words the ids that the tokenizer gives them, else None."""
+        if self.cut == "whole":
+            return None
+        probes = [*PROBES] if self.cut == "words" else [form for w in PROBES for form in (w, " " + w, w.title(), " " + w.title())]
+        whole = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]
+        model = self.tokenizer.model
+        alone = [[t.id for t in model.tokenize(self._shown(p))] for p in probes]
+        return model if alone == whole else None
+
+    @staticmethod
+    def _shown(word: str) -> str:
+        if word.isascii():
+            return word.replace(" ", SPACE)
+        return word.encode().decode("latin-1").translate(SHOWN)
+
+    def _is_word(self, piece: str) -> bool:
+        # Rules of `words` lower letters; a word with capitals is left to them.
+        return (len(piece) <= LONGEST and WORD.fullmatch(piece) is not None
+                and (self.cut == "bytes" or piece.islower()))
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
@@ -59,16 +99,21 @@ class Encoder:
         pieces = [CUTS[self.cut].findall(t) if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
-        new = list(filterfalse(self.known.__contains__, set(chain.from_iterable(pieces))))
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(pieces))))
         if self.older:
             again = [p for p in new if p in self.older]
             self.known.update((p, self.older[p]) for p in again)
             new = [p for p in new if p not in self.older]
         long = {}
         if new:
-            short = [p for p in new if len(p) <= LONGEST and PLAIN.fullmatch(p)]
+            rest = new
+            if self.model is not None:
+                words = list(filter(self._is_word, new))
+                self.known.update(zip(words, self._of_words(words)))
+                rest = [p for p in new if p not in self.known]
+            short = [p for p in rest if len(p) <= LONGEST and PLAIN.fullmatch(p)]
             self.known.update(zip(short, self._joined(short)))
-            rest = [p for p in new if p not in self.known]
+            rest = [p for p in rest if p not in self.known]
             long = dict(zip(rest, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(
                 rest, add_special_tokens=False))))
         if not long:
@@ -86,6 +131,13 @@ class Encoder:
         raw, width = self._bytes(encoded.ids), self.dtype.itemsize
         return [raw[i:j] for i, j in zip((low * width).tolist(), (high * width).tolist())]
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        tokenize = self.model.tokenize
+        ids = [[t.id for t in tokenize(self._shown(w))] for w in words]
+        raw, width = self._bytes(list(chain.from_iterable(ids))), self.dtype.itemsize
+        ends = list(accumulate(len(i) * width for i in ids))
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
+
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, from one text in which every piece stands by itself."""
         found: list[bytes] = []
@@ -108,6 +160,10 @@ class TokenCounter(Encoder):
     def _bytes(self, ids: list[int]) -> int:
         return len(ids)
 
+    def _of_words(self, words: list[str]) -> list[int]:
+        tokenize = self.model.tokenize
+        return [len(tokenize(self._shown(w))) for w in words]
+
     def _parts(self, encoded, low: np.ndarray, high: np.ndarray) -> list[int]:
         return (high - low).tolist()
 

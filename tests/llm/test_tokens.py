@@ -209,3 +209,30 @@ def test_counter_remembers_numbers_and_agrees_with_the_encoder(name, cut):
     for _ in range(3):
         assert count(texts) == [len(x) // 4 for x in encode(texts)]
     assert all(isinstance(n, int) for n in [*count.known.values(), *count.older.values()])
+
+
+@pytest.mark.parametrize("name, cut", KINDS.items())
+def test_words_go_to_the_model_alone(name, cut, monkeypatch):
+    draw = random.Random(5)
+    letters = "abcdefgzABZ\xe9\xc9\xfc\xf1\xdf\u0153\u0141\u0142\u01c5\u0149"
+    words = ["".join(draw.choices(letters, k=draw.randint(1, 70))) for _ in range(3000)]
+    texts = [" ".join(words[i:i + 30]) for i in range(0, len(words), 30)] + ["<|x ABC \xc9T\xc9 abc", "abc ABC"]
+    texts += ["".join(draw.choices([*letters, *" .,;:!?|&$#%*+=/()[]\"@~^-'_<>\n0\u0338\u0301"], k=400)) for _ in range(100)]
+    encode, long_way = Encoder(tokenizer(name), cut, "<u4"), []
+    joined = Encoder._joined
+    monkeypatch.setattr(Encoder, "_joined", lambda self, pieces: long_way.extend(pieces) or joined(self, pieces))
+    assert encode(texts) == Encoder(tokenizer(name), "whole", "<u4")(texts)
+    assert TokenCounter(tokenizer(name), cut)(texts) == [len(x) // 4 for x in encode(texts)]
+    long_way.clear()
+    assert len(Encoder(tokenizer(name), cut)(["ordinary words of a text, twice"])[0]) >= 6 * 4 and not {"words", " words"} & {*long_way}
+
+
+def test_a_tokenizer_that_changes_words_takes_the_long_way(tmp_path):
+    import json
+
+    kind = json.load(open(tokenizer("byte_bpe_50k.json")))
+    kind["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "low.json").write_text(json.dumps(kind))
+    encode = Encoder(str(tmp_path / "low.json"), "bytes")
+    assert encode.model is None
+    assert encode(["Two Words"]) == Encoder(str(tmp_path / "low.json"), "whole")(["Two Words"])
