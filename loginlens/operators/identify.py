@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loginlens.operators.dbscan import EPS, MIN_SAMPLES, dbscan
+from loginlens.operators.dbscan import EPS, MIN_SAMPLES, check_eps, dbscan_in_steps
 from loginlens.operators.kmeans import kmeans
+from loginlens.operators.local_clusters import label_by_size
 from loginlens.operators.patterns import cluster_stats
 from loginlens.operators.segments import SKEW, SkewPolicy
 from loginlens.schema import EVENT, USER
@@ -21,9 +22,16 @@ def undivided_users(labelled: DataFrame) -> DataFrame:
 
 def label_logins(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
                  skew: SkewPolicy = SKEW) -> DataFrame:
-    """Logins with their cluster number; -1 is noise."""
+    """Logins with their cluster number; -1 is noise. Users of ordinary size pass once, for both kinds of clusters."""
+    check_eps(eps)
+    return label_by_size(logins, eps, min_samples, True, lambda rows: label_in_steps(rows, eps, min_samples, skew))
+
+
+def label_in_steps(logins: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
+                   skew: SkewPolicy = SKEW) -> DataFrame:
+    """`label_logins` by joins over all tasks, whatever a user's size."""
     skew = skew.measured(logins)
-    dense = durable(dbscan(logins, eps, min_samples, skew))
+    dense = durable(dbscan_in_steps(logins, eps, min_samples, skew))
     undivided = undivided_users(dense)
     rest = logins.join(undivided, USER, "left_semi")
     split = kmeans(rest, skew=skew)
