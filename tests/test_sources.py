@@ -148,3 +148,20 @@ def test_geocode(spark):
                                    "address string, lat double, lon double")
     got = rows_of(geocode.geocode_addresses(addresses, places))
     assert got == [("1 Main St,  Town", 1.0, 2.0), ("1 main st , town", 1.0, 2.0), ("Nowhere", None, None)]
+
+
+def test_blocks_of_many_files_come_back_together(spark):
+    import pyarrow as pa
+    files = pa.RecordBatch.from_pydict({"path": [f"{i}.docx" for i in range(50)] + ["bad.docx", "x.pdf"],
+                                        "content": [encode.word_bytes_of_text(f"a{i}\n\nb < {i}") for i in range(50)] + [b"no", b""]})
+    found = list(documents._extract(iter([files])))
+    assert len(found) == 1
+    rows = found[0].to_pylist()
+    assert [(r["position"], r["text"]) for r in rows[:4]] == [(0, "a0"), (1, "b < 0"), (0, "a1"), (1, "b < 1")]
+    assert [r["block"] for r in rows[-2:]] == ["error", "error"] and len(rows) == 102
+
+
+def test_a_text_escaped_whole_makes_the_file_of_its_lines():
+    for text in ("", "a", "a\n", "\r\n<&>\n\x00x\n\n"):
+        assert list(documents._word_blocks(encode.word_bytes_of_text(text))) == list(
+            documents._word_blocks(encode.word_bytes(text.split("\n"))))
