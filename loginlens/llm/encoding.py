@@ -21,9 +21,11 @@ takes them the long way.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
-from itertools import accumulate, chain, filterfalse
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -53,6 +55,7 @@ def _shown_bytes() -> dict[int, int]:
 
 SHOWN = _shown_bytes()
 SPACE = chr(SHOWN[32])
+BEYOND_ASCII = [(chr(b), chr(shown)) for b, shown in SHOWN.items() if b > 127]
 
 
 class Encoder:
@@ -83,10 +86,23 @@ class Encoder:
             return word.replace(" ", SPACE)
         return word.encode().decode("latin-1").translate(SHOWN)
 
-    def _is_word(self, piece: str) -> bool:
+    @staticmethod
+    def _all_shown(words: list[str]) -> list[str]:
+        """`_shown` of words of letters, all at once."""
+        if not words:
+            return []
+        text = "\0".join(words)
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+            for hidden, shown in BEYOND_ASCII:
+                text = text.replace(hidden, shown)
+        return text.replace(" ", SPACE).split("\0")
+
+    def _words_of(self, pieces: list[str]) -> list[str]:
         # Rules of `words` lower letters; a word with capitals is left to them.
-        return (len(piece) <= LONGEST and WORD.fullmatch(piece) is not None
-                and (self.cut == "bytes" or piece.islower()))
+        fits = WORD.fullmatch
+        words = [p for p in pieces if len(p) <= LONGEST and fits(p)]
+        return words if self.cut == "bytes" else [w for w in words if w.islower()]
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
@@ -99,7 +115,11 @@ class Encoder:
         pieces = [CUTS[self.cut].findall(t) if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
-        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(pieces))))
+        # Pieces are looked up once; of texts with new ones only these are looked up again.
+        find = self.known.get
+        found = [list(map(find, p)) for p in pieces]
+        partly = [i for i, ids in enumerate(found) if None in ids]
+        new = list(set(chain.from_iterable(compress(pieces[i], map(is_, found[i], repeat(None))) for i in partly)))
         if self.older:
             again = [p for p in new if p in self.older]
             self.known.update((p, self.older[p]) for p in again)
@@ -108,7 +128,7 @@ class Encoder:
         if new:
             rest = new
             if self.model is not None:
-                words = list(filter(self._is_word, new))
+                words = self._words_of(new)
                 self.known.update(zip(words, self._of_words(words)))
                 rest = [p for p in new if p not in self.known]
             short = [p for p in rest if len(p) <= LONGEST and PLAIN.fullmatch(p)]
@@ -116,10 +136,9 @@ class Encoder:
             rest = [p for p in rest if p not in self.known]
             long = dict(zip(rest, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(
                 rest, add_special_tokens=False))))
-        if not long:
-            get = self.known.__getitem__
-            return [self._merged(map(get, p)) for p in pieces]
-        return [self._merged([long[x] if x in long else self.known[x] for x in p]) for p in pieces]
+        for i in partly:
+            found[i] = [(long[p] if p in long else self.known[p]) if ids is None else ids for p, ids in zip(pieces[i], found[i])]
+        return [self._merged(ids) for ids in found]
 
     _merged = staticmethod(b"".join)
 
@@ -132,10 +151,12 @@ class Encoder:
         return [raw[i:j] for i, j in zip((low * width).tolist(), (high * width).tolist())]
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        tokenize = self.model.tokenize
-        ids = [[t.id for t in tokenize(self._shown(w))] for w in words]
-        raw, width = self._bytes(list(chain.from_iterable(ids))), self.dtype.itemsize
-        ends = list(accumulate(len(i) * width for i in ids))
+        tokenize, ids, ends = self.model.tokenize, array("I"), []
+        for word in self._all_shown(words):
+            ids.extend([t.id for t in tokenize(word)])
+            ends.append(len(ids))
+        raw, width = self._bytes(ids), self.dtype.itemsize
+        ends = [n * width for n in ends]
         return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
@@ -162,7 +183,7 @@ class TokenCounter(Encoder):
 
     def _of_words(self, words: list[str]) -> list[int]:
         tokenize = self.model.tokenize
-        return [len(tokenize(self._shown(w))) for w in words]
+        return [len(tokenize(w)) for w in self._all_shown(words)]
 
     def _parts(self, encoded, low: np.ndarray, high: np.ndarray) -> list[int]:
         return (high - low).tolist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loginlens.llm import packing, queries, rollups, token_files
 from loginlens.llm.common import running_total
+from loginlens.llm import encoding
 from loginlens.llm.encoding import Encoder, TokenCounter
 from loginlens.llm.queries import tokenizer
 from loginlens.session import run_dir
@@ -236,3 +237,30 @@ def test_a_tokenizer_that_changes_words_takes_the_long_way(tmp_path):
     encode = Encoder(str(tmp_path / "low.json"), "bytes")
     assert encode.model is None
     assert encode(["Two Words"]) == Encoder(str(tmp_path / "low.json"), "whole")(["Two Words"])
+
+
+@pytest.mark.parametrize("name, cut", KINDS.items())
+def test_a_known_piece_is_looked_up_once(name, cut):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    texts = ["one two, three four: \xe9t\xe9 \xfcber.\n", "five six"] * 3 + [None, ""]
+    encode = Encoder(tokenizer(name), cut)
+    first = encode(texts)
+    encode.known = Counted(encode.known)
+    pieces = sum(len(encoding.CUTS[cut].findall(t)) for t in texts if t)
+    assert encode(texts) == first and Counted.asked == pieces
+    words = ["one", " one", "\xe9t\xe9", " \xfcber", "œuvre", "Łłŉ", " \xe0\xe1", "\xed\xff"]
+    assert encode._all_shown(words) == [encode._shown(w) for w in words] and encode._all_shown([]) == []
