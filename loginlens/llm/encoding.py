@@ -134,8 +134,10 @@ class Encoder:
             short = [p for p in rest if len(p) <= LONGEST and PLAIN.fullmatch(p)]
             self.known.update(zip(short, self._joined(short)))
             rest = [p for p in rest if p not in self.known]
-            long = dict(zip(rest, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(
+            alone = list(zip(rest, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(
                 rest, add_special_tokens=False))))
+            self.known.update((p, ids) for p, ids in alone if len(p) <= LONGEST)
+            long = {p: ids for p, ids in alone if len(p) > LONGEST}
         for i in partly:
             found[i] = [(long[p] if p in long else self.known[p]) if ids is None else ids for p, ids in zip(pieces[i], found[i])]
         return [self._merged(ids) for ids in found]
