@@ -1,11 +1,13 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from conftest import SF, rows_of
 from loginlens.operators import chunks, layers, profiles, replay
 from loginlens.operators.segments import Ordered, SkewPolicy, join_per_user, latest
+from loginlens.plans import catalog
 
 HOT = SkewPolicy(share=0.01, min_rows=5)
 
@@ -127,3 +129,26 @@ def test_whole_profile_reads_metrics_from_fixed_tables(logins):
     plan = profiles.flat_profile(whole)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
     assert rows_of(profiles.flat_profile(whole)) == rows_of(profiles.flat_profile(lazy))
+
+
+def test_whole_profile_has_every_entry(spark, logins):
+    whole = profiles.build_profile(logins, whole=True)
+    flat = profiles.flat_profile(whole)
+    got = profiles.with_entries(flat, whole)
+    columns = {"device": profiles.user_devices, "location": profiles.user_locations, "hour": profiles.user_hours, "day": profiles.user_days}
+    for part, table in columns.items():
+        want = table(logins).drop("first_order")
+        assert rows_of(got.where(F.col("part") == part), *want.columns) == rows_of(want, *want.columns)
+    assert rows_of(got.where("part = 'user'"), *flat.columns) == rows_of(flat)
+
+
+def test_user_profile_query_returns_the_entries(spark):
+    rows = catalog.QUERIES["user_profile"](spark, SF).collect()
+    per_user = {r.user_id: r for r in rows if r.part == "user"}
+    for part, total in (("device", "devices"), ("location", "locations")):
+        found = Counter(r.user_id for r in rows if r.part == part)
+        assert found == {u: r[total] for u, r in per_user.items()}
+    shares = Counter()
+    for r in rows:
+        shares[r.part, r.user_id] += r["count"] or 0
+    assert all(shares[part, u] == r.total_logins for part in ("device", "location", "hour", "day") for u, r in per_user.items())
