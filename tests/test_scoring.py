@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,61 @@ def test_isolation_forest_marks_about_a_tenth(logins):
     out = outliers.isolation_forest_scores(logins, logins)
     share = out.agg(F.avg((F.col("raw_score") < 0).cast("double"))).first()[0]
     assert 0.05 < share < 0.15
+
+
+def moved(n):
+    """A user's history whose last 1,000 logins come from elsewhere, and features of it as the forest takes them."""
+    start = dt.datetime(2024, 1, 1)
+    old = n - 1000
+    return [(e, "a", str(start + dt.timedelta(hours=e)), 10.0 + e % 7 / 100 if e < old else 50.0 + e % 7 / 100,
+             20.0 + e % 11 / 100, "old" if e < old else "new") for e in range(n)]
+
+
+def forest_inputs(rows):
+    when = [dt.datetime.fromisoformat(r[2]) for r in rows]
+    turn = lambda x, n: (np.sin(2 * np.pi * np.array(x) / n), np.cos(2 * np.pi * np.array(x) / n))
+    numeric = np.column_stack([[r[3] for r in rows], [r[4] for r in rows], *turn([t.hour for t in when], 24), *turn([t.weekday() for t in when], 7)])
+    return numeric, np.array([["old", "new", "other"].index(r[5]) for r in rows])
+
+
+def asked_of(rows):
+    return [(9000, *rows[5][1:]), (9001, *rows[-5][1:]), (9002, "a", "2024-05-05 05:00:00", -30.0, 100.0, "other")]
+
+
+def test_isolation_forest_learns_from_the_whole_history(make):
+    past = moved(1400)
+    asked = asked_of(past)
+    forest = outliers.IsolationForest(*forest_inputs(past), outliers._seed("a"))
+    numeric, codes = forest_inputs(asked)
+    want = dict(zip((9000, 9001, 9002), forest.decision(numeric, np.where(codes == 2, -1, codes))))
+    got = {r.event_id: r.raw_score for r in outliers.isolation_forest_scores(make(asked), make(past)).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_long_histories_are_learnt_in_parts(make):
+    past = moved(1400)
+    other = [(e + 5000, "b", t, lat, lon, d) for e, _, t, lat, lon, d in past[:30]]
+    asked = [*asked_of(past), (9003, "b", *past[3][2:])]
+    numeric, codes = forest_inputs(past)
+    drawn = outliers._drawn("a", len(past), 100, 256)
+    assert all(len(set(d)) == 256 for d in drawn.tolist()) and drawn.max() >= 1300 and drawn.min() < 100
+    forest = outliers.IsolationForest(numeric, codes, outliers._seed("a"), drawn=drawn)
+    offset = np.percentile(forest.scores(numeric, codes), 10)
+    numeric, codes = forest_inputs(asked_of(past))
+    want = dict(zip((9000, 9001, 9002), forest.scores(numeric, codes) - offset))
+    rows, history_rows = make(asked), make(past + other)
+    plain = {r.event_id: r.raw_score for r in outliers.isolation_forest_scores(rows, history_rows).collect()}
+    for skew in (outliers.SKEW, SkewPolicy(share=0.1, min_rows=50)):
+        got = {r.event_id: r.raw_score for r in outliers.isolation_forest_scores(
+            rows, history_rows, skew, chunk_rows=300, learn_rows=500).collect()}
+        assert got == pytest.approx({**want, 9003: plain[9003]}, abs=1e-9)
+
+
+def test_threshold_of_counted_scores_is_the_percentile(spark):
+    rng = np.random.default_rng(3)
+    users = {"many": -rng.random(5000), "few": -rng.random(11), "same": np.full(40, -0.5), "two": np.r_[np.full(4, -0.7), np.full(36, -0.3)],
+             "edge": np.r_[-0.9, np.full(9, -0.4), -0.35]}
+    known = spark.createDataFrame([(u, float(x)) for u, xs in users.items() for x in xs], "user_id string, score double")
+    sizes = spark.createDataFrame([(u, len(xs)) for u, xs in users.items()], "user_id string, _n long")
+    got = {r.user_id: r.offset for r in outliers._offsets(known, sizes, 0.1).collect()}
+    assert got == pytest.approx({u: np.percentile(xs, 10) for u, xs in users.items()}, abs=1e-12)
