@@ -276,3 +276,31 @@ def test_short_texts_that_agree_in_one_sketch(spark):
     rows = spark.createDataFrame([(0, before), (1, after), (2, core)], "doc_id long, text string").coalesce(1)
     got = order_minhash.groups(with_row_id(rows)).collect()
     assert {r.class_id for r in got} == {0}
+
+
+def test_rare_seeds_meet_after_any_edits():
+    """Lines within the limit share a seed, and a common passage alone gives few."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    lines, pairs = [], []
+    for n in [32, 33, 47, 48, 100, 255, 256, 300, 700] * 12:
+        a = "the common passage of all " + " ".join(rng.choice(words) for _ in range(n))
+        a = a[:n]
+        limit, b = line_join.limit_of(n), list(a)
+        for i in range(limit):  # evenly spread, which spares the shortest runs
+            at = min(len(b) - 1, (2 * i + 1) * n // (2 * limit))
+            kind = rng.randint(0, 2)
+            b[at:at + (kind != 1)] = [rng.choice("xyz")] * (kind != 2)
+        pairs.append((len(lines), len(lines) + 1))
+        lines += [a, "".join(b)]
+    counts = np.zeros(line_join.SLOTS, np.int64)
+    np.add.at(counts, (line_join.hashes_of(lines, line_join.GRAM, 0) & np.uint64(line_join.SLOTS - 1)).astype(np.int64), 1)
+    order = np.argsort(counts, kind="stable")
+    levels = np.empty(line_join.SLOTS, np.uint8)
+    levels[order] = np.searchsorted(line_join.LEVELS, np.cumsum(counts[order]) / counts.sum())
+    line, key, _ = line_join.rare_seeds(lines, levels, None)
+    given = [set(key[line == i].tolist()) for i in range(len(lines))]
+    assert all(given[a] & given[b] for a, b in pairs)
+    assert len(key) < 0.8 * sum(len(x) for x in lines)
+    common = line_join.hashes_of([lines[-2][:26]], line_join.GRAM, 0)
+    assert sum(len(g & set(common.tolist())) for g in given) < len(lines) * len(common) / 2
