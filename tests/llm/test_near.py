@@ -304,3 +304,18 @@ def test_rare_seeds_meet_after_any_edits():
     assert len(key) < 0.8 * sum(len(x) for x in lines)
     common = line_join.hashes_of([lines[-2][:26]], line_join.GRAM, 0)
     assert sum(len(g & set(common.tolist())) for g in given) < len(lines) * len(common) / 2
+
+
+def test_lines_compared_either_way_are_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcé ") for _ in range(rng.randint(20, 120))) for _ in range(12)]
+    for a in lines[:12]:
+        for _ in range(4):
+            b = list(a)
+            for _ in range(rng.randint(1, 8)):
+                b[rng.randrange(len(b))] = rng.choice("abxé")
+            lines.append("".join(b))
+    rows = line_join.lines_of(with_row_id(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")), 1)
+    short = sorted(map(tuple, line_join.links(rows).collect()))
+    monkeypatch.setattr(line_join, "LONG", 0)
+    assert short == sorted(map(tuple, line_join.links(rows).collect())) and len(short) > 20
